@@ -72,3 +72,316 @@ def _language_metrics():
 def _enrich_decks():
     return (f"SELECT doc_id, category, summary, investability_insight, competitive_analysis "
             f"FROM ({S.enriched_cte(S.decks_cte())})")
+
+
+# == portfolio family ==================================================================
+
+DIMS = L.DIMENSIONS
+
+
+def _p() -> str:
+    return f"WITH p AS ({S.portfolio_cte()}) "
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+@oracle("portfolio_stats")
+def _portfolio_stats():
+    c = "composite_score"
+    return (_p() + f"SELECT count({c}) AS n, {r6(f'avg({c})')} AS mean, {r6(f'stddev_samp({c})')} AS std, "
+            f"{r6(f'median({c})')} AS median, {r6(f'min({c})')} AS min, {r6(f'max({c})')} AS max FROM p")
+
+
+@oracle("dimension_averages")
+def _dimension_averages():
+    avgs = ", ".join(f"avg({d}) AS {d}" for d in DIMS)
+    return (_p() + f"SELECT dimension, {r6('average')} AS average FROM (UNPIVOT (SELECT {avgs} FROM p) "
+            f"ON {', '.join(DIMS)} INTO NAME dimension VALUE average)")
+
+
+@oracle("category_distribution")
+def _category_distribution():
+    return (_p() + "SELECT category, count, " + r6("count / total * CAST(100.0 AS DOUBLE)") + " AS percent FROM "
+            "(SELECT category, count(*) AS count FROM p GROUP BY category ORDER BY count DESC, category LIMIT 5), "
+            "(SELECT count(*) AS total FROM p)")
+
+
+@oracle("category_stats")
+def _category_stats():
+    n = S.np_round
+    return (_p() + f"SELECT category, {n('avg(composite_score)', 2)} AS avg_score, "
+            f"{n('median(composite_score)', 2)} AS median_score, count(*) AS count, "
+            f"{n('stddev_samp(composite_score)', 2)} AS std_score, {n('avg(problem_clarity)', 2)} AS avg_problem, "
+            f"{n('avg(market_potential)', 2)} AS avg_market, {n('avg(traction_strength)', 2)} AS avg_traction "
+            f"FROM p GROUP BY category")
+
+
+@oracle("portfolio_composition")
+def _portfolio_composition():
+    avgs = [f"avg({d})" for d in DIMS]
+    g = f"greatest({', '.join(avgs)})"
+    lo = f"least({', '.join(avgs)})"
+    strongest = "CASE " + " ".join(f"WHEN {a} = {g} THEN {S.q(d)}" for a, d in zip(avgs, DIMS)) + " END"
+    weakest = "CASE " + " ".join(f"WHEN {a} = {lo} THEN {S.q(d)}" for a, d in zip(avgs, DIMS)) + " END"
+    c = "composite_score"
+    return (_p() + f"SELECT count(*) AS total_analyzed, {r6(f'avg({c})')} AS average_quality, "
+            f"count(*) FILTER (WHERE {c} >= 7) AS investment_ready, "
+            f"count(*) FILTER (WHERE {c} >= 5 AND {c} < 7) AS needs_development, "
+            f"count(*) FILTER (WHERE {c} < 5) AS significant_work_needed, "
+            f"count(DISTINCT category) AS category_diversity, {strongest} AS strongest_dimension, "
+            f"{weakest} AS weakest_dimension, {r6(f'stddev_samp({c})')} AS score_variance FROM p")
+
+
+@oracle("portfolio_risk")
+def _portfolio_risk():
+    return (_p() + "SELECT CASE WHEN conc > 60 THEN 'High' WHEN conc > 40 THEN 'Medium' ELSE 'Low' END AS concentration_risk, "
+            "CASE WHEN low > 40 THEN 'High' WHEN low > 20 THEN 'Medium' ELSE 'Low' END AS quality_risk, "
+            "CASE WHEN trac < 4 THEN 'High' WHEN trac < 6 THEN 'Medium' ELSE 'Low' END AS execution_risk FROM ("
+            "SELECT top / total * CAST(100.0 AS DOUBLE) AS conc, low / total * CAST(100.0 AS DOUBLE) AS low, trac FROM "
+            "(SELECT count(*) AS total, count(*) FILTER (WHERE composite_score < 5) AS low, "
+            "avg(traction_strength) AS trac FROM p), "
+            "(SELECT max(n) AS top FROM (SELECT count(*) AS n FROM p GROUP BY category)))")
+
+
+@oracle("market_trends")
+def _market_trends():
+    five = ["problem_clarity", "market_potential", "traction_strength", "team_experience", "business_model"]
+    avgs = ", ".join(f"avg({d}) AS {d}" for d in five)
+    return (_p() + ", bc AS (SELECT category, avg(composite_score) AS c, avg(market_potential) AS m FROM p GROUP BY category), "
+            "n AS (SELECT count(*) AS n FROM p) "
+            "SELECT trend, name, " + r6("value") + " AS value FROM ("
+            "(SELECT 'top_performing_categories' AS trend, category AS name, c AS value FROM bc ORDER BY c DESC, category LIMIT 3) "
+            "UNION ALL (SELECT 'highest_market_potential_categories', category, m FROM bc ORDER BY m DESC, category LIMIT 3)) "
+            "WHERE (SELECT n FROM n) > 1 "
+            "UNION ALL SELECT 'dimension_strengths' AS trend, name, " + r6("value") + f" FROM (UNPIVOT (SELECT {avgs} FROM p) "
+            f"ON {', '.join(five)} INTO NAME name VALUE value)")
+
+
+def _bench_cmp() -> str:
+    pct = f"least({S.num(99)}, greatest({S.num(1)}, {S.normal_cdf('composite_score', 'b_composite_score', S.num(L.BENCHMARK_SD))} * {S.num(100)}))"
+    return (f"SELECT deck_name, category, composite_score - b_composite_score AS composite_vs_benchmark, "
+            f"market_potential - b_market_potential AS market_vs_benchmark, "
+            f"traction_strength - b_traction_strength AS traction_vs_benchmark, "
+            f"team_experience - b_team_experience AS team_vs_benchmark, {pct} AS percentile_rank, "
+            f"category AS benchmark_category, CASE WHEN composite_score > b_composite_score THEN 'Above' "
+            f"ELSE 'Below' END AS overall_vs_industry FROM p JOIN {S.benchmark_values()} b USING (category)")
+
+
+@oracle("benchmark_comparison")
+def _benchmark_comparison():
+    return (_p() + f"SELECT * EXCLUDE (percentile_rank), {r6('percentile_rank')} AS percentile_rank, "
+            f"abs(composite_vs_benchmark) AS marker_size FROM ({_bench_cmp()})")
+
+
+@oracle("benchmark_summary")
+def _benchmark_summary():
+    g = "composite_vs_benchmark"
+    return (_p() + f", cmp AS ({_bench_cmp()}) SELECT count(*) AS total_with_benchmarks, "
+            f"count(*) FILTER (WHERE {g} > 1) AS outperformers, count(*) FILTER (WHERE {g} < -1) AS underperformers, "
+            f"count(*) FILTER (WHERE {g} > 0) AS above_benchmark, {r6(f'avg({g})')} AS avg_vs_benchmark, "
+            f"(SELECT deck_name FROM cmp ORDER BY {g} DESC, deck_name LIMIT 1) AS best_deck, "
+            f"(SELECT {g} FROM cmp ORDER BY {g} DESC, deck_name LIMIT 1) AS best_vs_benchmark, "
+            f"coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories_analyzed, "
+            f"CASE WHEN count(*) = 0 THEN 'No benchmark data available' END AS message FROM cmp")
+
+
+@oracle("executive_summary")
+def _executive_summary():
+    n = S.np_round
+    c = "composite_score"
+    f2 = lambda x, d: f"printf('%.{d}f', {n(x, d)})"
+    text = ("'EXECUTIVE SUMMARY' || chr(10) || 'Analysis of ' || CAST(n_decks AS VARCHAR) || "
+            "' pitch decks completed with an average composite score of ' || " + f2("avg_score", 2) + " || '/10.' || chr(10) || "
+            "'TOP PERFORMER: ' || top_deck || ' (' || " + f2("top_score", 2) + " || '/10)' || chr(10) || "
+            "'NEEDS IMPROVEMENT: ' || bottom_deck || ' (' || " + f2("bottom_score", 2) + " || '/10)' || chr(10) || "
+            "'High performers (7+ score): ' || CAST(high_performers AS VARCHAR) || ' decks (' || " + f2("high_pct", 1)
+            + " || '%)' || chr(10) || 'Needs improvement (<5 score): ' || CAST(low_performers AS VARCHAR) || ' decks (' || "
+            + f2("low_pct", 1) + " || '%)' || chr(10) || 'Most common category: ' || coalesce(top_category, 'Unknown') || "
+            "'.' || chr(10) || 'Average problem clarity: ' || " + f2("ap", 1) + " || '/10' || chr(10) || "
+            "'Average market potential: ' || " + f2("am", 1) + " || '/10' || chr(10) || "
+            "'Average traction strength: ' || " + f2("atr", 1) + " || '/10'")
+    inner = (f"SELECT count(*) AS n_decks, avg({c}) AS avg_score, "
+             f"(SELECT deck_name FROM p ORDER BY {c} DESC, deck_name LIMIT 1) AS top_deck, max({c}) AS top_score, "
+             f"(SELECT deck_name FROM p ORDER BY {c} ASC, deck_name LIMIT 1) AS bottom_deck, min({c}) AS bottom_score, "
+             f"(SELECT category FROM p GROUP BY category ORDER BY count(*) DESC, category LIMIT 1) AS top_category, "
+             f"count(*) FILTER (WHERE {c} >= 7) AS high_performers, count(*) FILTER (WHERE {c} < 5) AS low_performers, "
+             f"avg(problem_clarity) AS ap, avg(market_potential) AS am, avg(traction_strength) AS atr FROM p")
+    mid = (f"SELECT *, high_performers / n_decks * {S.num(100)} AS high_pct, "
+           f"low_performers / n_decks * {S.num(100)} AS low_pct FROM ({inner})")
+    return (_p() + f"SELECT n_decks, {r6('avg_score')} AS avg_score, top_deck, top_score, bottom_deck, bottom_score, "
+            f"top_category, high_performers, {r6('high_pct')} AS high_pct, low_performers, {r6('low_pct')} AS low_pct, "
+            f"{text} AS summary_text FROM ({mid})")
+
+
+@oracle("batch_summary")
+def _batch_summary():
+    c = "composite_score"
+    return (_p() + f"SELECT count(*) AS total_decks, {r6(f'avg({c})')} AS portfolio_avg, "
+            f"count(*) FILTER (WHERE {c} >= 7) AS investment_ready, count(DISTINCT category) AS categories, "
+            f"max({c}) AS top_score FROM p")
+
+
+@oracle("category_performance")
+def _category_performance():
+    return _p() + f"SELECT category, {r6('avg(composite_score)')} AS mean, count(*) AS count FROM p GROUP BY category"
+
+
+@oracle("correlation_matrix")
+def _correlation_matrix():
+    dims = [*DIMS, "composite_score"]
+    parts = []
+    for i, a in enumerate(dims):
+        for b in dims[i + 1:]:
+            parts.append(f"SELECT {S.q(a)} AS dim_a, {S.q(b)} AS dim_b, {r6(f'corr({a}, {b})')} AS corr FROM p")
+            parts.append(f"SELECT {S.q(b)} AS dim_a, {S.q(a)} AS dim_b, {r6(f'corr({a}, {b})')} AS corr FROM p")
+    for d in dims:
+        parts.append(f"SELECT {S.q(d)} AS dim_a, {S.q(d)} AS dim_b, CAST(1.0 AS DOUBLE) AS corr")
+    return _p() + " UNION ALL ".join(parts)
+
+
+@oracle("score_histogram")
+def _score_histogram():
+    dims = [*DIMS, "composite_score"]
+    long = " UNION ALL ".join(f"SELECT {S.q(d)} AS \"column\", {d} AS value FROM p WHERE {d} IS NOT NULL" for d in dims)
+    w = "((hi - lo) / bins)"
+    b = f"CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / {w}), bins - 1) END AS INTEGER)"
+    return (_p() + f", l AS ({long}), r AS (SELECT \"column\", min(value) AS lo, max(value) AS hi, "
+            f"CAST(least(10, count(*)) AS INTEGER) AS bins FROM l GROUP BY \"column\") "
+            f"SELECT \"column\", bin, {r6(f'lo + bin * {w}')} AS bin_lo, {r6(f'lo + (bin + 1) * {w}')} AS bin_hi, count "
+            f"FROM (SELECT \"column\", {b} AS bin, lo, hi, bins, count(*) AS count FROM l JOIN r USING (\"column\") "
+            f"GROUP BY ALL)")
+
+
+def _tier(c: str) -> str:
+    return (f"CASE WHEN {c} > 0 AND {c} <= 4 THEN 'Needs Work' WHEN {c} > 4 AND {c} <= 7 THEN 'Promising' "
+            f"WHEN {c} > 7 AND {c} <= 10 THEN 'Investment Ready' END")
+
+
+@oracle("tier_hierarchy")
+def _tier_hierarchy():
+    return (_p() + "SELECT CASE WHEN g = 3 THEN 'Total' WHEN g = 1 THEN category ELSE category || '-' || tier END AS id, "
+            "CASE WHEN g = 3 THEN 'Portfolio' WHEN g = 1 THEN category ELSE tier END AS label, "
+            "CASE WHEN g = 3 THEN '' WHEN g = 1 THEN 'Total' ELSE category END AS parent, value FROM ("
+            f"SELECT category, tier, count(*) AS value, GROUPING(category, tier) AS g FROM "
+            f"(SELECT category, {_tier('composite_score')} AS tier FROM p) GROUP BY ROLLUP (category, tier)) "
+            "WHERE NOT (g = 0 AND tier IS NULL)")
+
+
+@oracle("distinct_categories")
+def _distinct_categories():
+    return _p() + "SELECT DISTINCT category FROM p"
+
+
+@oracle("derived_features")
+def _derived_features():
+    total = " + ".join(DIMS)
+    mean = f"(({total}) / {S.num(7)})"
+    ss = " + ".join(f"(({d} - m) * ({d} - m))" for d in DIMS)
+    return (_p() + f"SELECT deck_name, market_potential / (traction_strength + {S.num(0.1)}) AS market_traction_ratio, "
+            f"(team_experience + traction_strength) / {S.num(2)} AS team_execution_score, "
+            f"(business_model + problem_clarity) / {S.num(2)} AS business_clarity_score, m AS overall_strength, "
+            f"({ss}) / {S.num(6)} AS score_variance FROM (SELECT *, {mean} AS m FROM p)")
+
+
+@oracle("risk_factors")
+def _risk_factors():
+    from deckscope.operators.portfolio import RISK_FACTORS
+    return _p() + " UNION ALL ".join(
+        f"SELECT deck_name, {S.q(n)} AS factor, {S.num(10)} - {c} AS risk FROM p" for n, c in RISK_FACTORS)
+
+
+@oracle("due_diligence_flags")
+def _due_diligence_flags():
+    mean5 = f"((problem_clarity + market_potential + traction_strength + team_experience + business_model) / {S.num(5)})"
+    rules = [
+        f"CASE WHEN team_experience < 4 AND market_potential > 8 THEN {S.q(L.FLAG_TEAM_MARKET)} END",
+        f"CASE WHEN traction_strength > 7 AND business_model < 5 THEN {S.q(L.FLAG_TRACTION_MODEL)} END",
+        f"CASE WHEN problem_clarity < 4 AND overall_confidence > 7 THEN {S.q(L.FLAG_CONFIDENCE_PROBLEM)} END",
+        f"CASE WHEN abs(composite_score - {mean5}) > 2 THEN {S.q(L.FLAG_INCONSISTENT)} END",
+    ]
+    fl = f"list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL)"
+    return (_p() + f"SELECT deck_name, composite_score, CAST(len(f) AS INTEGER) AS n_flags, array_to_string(f, ' | ') AS flags "
+            f"FROM (SELECT deck_name, composite_score, {fl} AS f FROM p) WHERE len(f) > 0")
+
+
+@oracle("recommendations")
+def _recommendations():
+    cat = "coalesce(category, 'Unknown')"
+    cat_s = "coalesce(category, 'startup')"
+    c = "composite_score"
+    area = "CASE WHEN market_potential >= 8 THEN 'market potential' ELSE 'traction' END"
+    return (_p() + f", s AS (SELECT 'STRONG_BUY' AS type, deck_name AS deck, {c} AS score, {cat} AS category, "
+            f"printf({S.q(L.REASON_STRONG_BUY)}, {cat_s}) AS reasoning, 'HIGH' AS confidence, 1 AS priority "
+            f"FROM p ORDER BY {c} DESC, deck_name LIMIT 3), "
+            f"g AS (SELECT 'CONSIDER' AS type, deck_name AS deck, {c} AS score, {cat} AS category, "
+            f"printf({S.q(L.REASON_CONSIDER)}, {area}, {cat_s}) AS reasoning, 'MEDIUM' AS confidence, 2 AS priority "
+            f"FROM p WHERE {c} >= 6 AND {c} < 7 AND (market_potential >= 8 OR traction_strength >= 8) "
+            f"AND deck_name NOT IN (SELECT deck FROM s)), "
+            f"w AS (SELECT 'WATCH' AS type, deck_name AS deck, {c} AS score, {cat} AS category, "
+            f"{S.q(L.REASON_WATCH)} AS reasoning, 'LOW' AS confidence, 3 AS priority FROM p "
+            f"WHERE {c} >= 4 AND {c} < 6 AND team_experience >= 7 AND deck_name NOT IN (SELECT deck FROM s) "
+            f"AND deck_name NOT IN (SELECT deck FROM g)) "
+            f"SELECT * FROM s UNION ALL SELECT * FROM g UNION ALL SELECT * FROM w")
+
+
+@oracle("score_bands")
+def _score_bands():
+    c = "composite_score"
+    return (_p() + f"SELECT deck_name, {c}, {_tier(c)} AS performance_tier, "
+            f"concat_ws(' / ', CASE WHEN market_potential >= 5 THEN 'High Market' ELSE 'Low Market' END, "
+            f"CASE WHEN traction_strength >= 5 THEN 'High Execution' ELSE 'Low Execution' END) AS quadrant, "
+            f"CASE WHEN {c} >= 7 THEN 'score-good' WHEN {c} >= 5 THEN 'score-medium' ELSE 'score-poor' END AS score_class, "
+            f"CASE WHEN {c} < 4 THEN '0-4' WHEN {c} < 7 THEN '4-7' ELSE '7-10' END AS gauge_band, "
+            f"{c} - {S.num(7)} AS delta_to_7, least({c} * {S.num(10)}, {S.num(100)}) AS bar_width, "
+            f"CASE WHEN {c} >= 7 THEN 'high' WHEN {c} >= 5 THEN 'medium' ELSE 'low' END AS band FROM p")
+
+
+def _summary_table() -> str:
+    n = S.np_round
+    rounded = ", ".join(f"{n(d, 2)} AS {d}" for d in DIMS)
+    return (f"SELECT CAST(rank() OVER (ORDER BY composite_score DESC) AS INTEGER) AS rank, deck_name, composite_score, "
+            f"{', '.join(DIMS)}, category FROM (SELECT deck_name, {n('composite_score', 2)} AS composite_score, "
+            f"{rounded}, category FROM p)")
+
+
+@oracle("summary_table")
+def _summary_table_q():
+    return _p() + _summary_table()
+
+
+@oracle("top_performers")
+def _top_performers():
+    return _p() + f"SELECT * FROM ({_summary_table()}) ORDER BY composite_score DESC, deck_name LIMIT 3"
+
+
+@oracle("bottom_performers")
+def _bottom_performers():
+    return (_p() + f"SELECT * EXCLUDE (_rn, _n) FROM (SELECT *, row_number() OVER (ORDER BY composite_score ASC, "
+            f"deck_name DESC) AS _rn, count(*) OVER () AS _n FROM ({_summary_table()})) "
+            f"WHERE _n > 3 AND _rn <= least(3, _n - 3)")
+
+
+@oracle("ranking_chart")
+def _ranking_chart():
+    label = "CASE WHEN length(deck_name) > 30 THEN substr(deck_name, 1, 30) || '...' ELSE deck_name END"
+    return (_p() + f"SELECT {label} AS label, composite_score, CAST({S.np_round('composite_score', 1)} AS VARCHAR) AS text "
+            f"FROM (SELECT * FROM p ORDER BY composite_score DESC, deck_name LIMIT 15)")
+
+
+@oracle("argmax_argmin")
+def _argmax_argmin():
+    return (_p() + "SELECT t.deck_name AS top_deck, t.composite_score AS top_score, b.deck_name AS bottom_deck, "
+            "b.composite_score AS bottom_score FROM (SELECT * FROM p ORDER BY composite_score DESC, deck_name LIMIT 1) t, "
+            "(SELECT * FROM p ORDER BY composite_score ASC, deck_name LIMIT 1) b")
+
+
+@oracle("vs_reference_vector")
+def _vs_reference_vector():
+    ref = ", ".join(f"({S.q(d)}, {S.num(v)})" for d, v in zip(DIMS, L.INDUSTRY_AVERAGE))
+    label = S.initcap_words("replace(dimension, '_', ' ')")
+    return (_p() + f"SELECT deck_name, dimension, {label} AS label, score, "
+            f"industry_avg, score - industry_avg AS gap FROM (UNPIVOT (SELECT deck_name, {', '.join(DIMS)} FROM p) "
+            f"ON {', '.join(DIMS)} INTO NAME dimension VALUE score) JOIN (VALUES {ref}) AS r(dimension, industry_avg) "
+            f"USING (dimension)")

@@ -110,3 +110,194 @@ def enrich_decks(spark: SparkSession, sf: str) -> DataFrame:
     """E5-E7, E10, E11 (rule fallbacks, no model answers)."""
     e = enrich(_scored(spark, sf))
     return e.select("doc_id", "category", "summary", "investability_insight", "competitive_analysis")
+
+
+# == portfolio family (over the customer-derived portfolio and the orders history) ==========
+
+from deckscope.operators import portfolio as P  # noqa: E402
+from deckscope.operators import ranking as R  # noqa: E402
+
+
+def _pf(spark, sf) -> DataFrame:
+    return FX.portfolio(spark, sf)
+
+
+def r6(c):
+    """Aggregated doubles are rounded to 6 places for engine-independent checks."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+@register("portfolio_stats")
+def portfolio_stats(spark, sf):
+    """I1."""
+    s = P.portfolio_stats(_pf(spark, sf))
+    return s.select("n", *[r6(c).alias(c) for c in ("mean", "std", "median", "min", "max")])
+
+
+@register("dimension_averages")
+def dimension_averages(spark, sf):
+    """I2."""
+    return P.dimension_averages(_pf(spark, sf)).select("dimension", r6("average").alias("average"))
+
+
+@register("category_distribution")
+def category_distribution(spark, sf):
+    """I3 (top 5 is the report)."""
+    return P.category_distribution(_pf(spark, sf)).select("category", "count", r6("percent").alias("percent"))
+
+
+@register("category_stats")
+def category_stats(spark, sf):
+    """I4 (exact medians)."""
+    return P.category_stats(_pf(spark, sf))
+
+
+@register("portfolio_composition")
+def portfolio_composition(spark, sf):
+    """I5."""
+    c = P.portfolio_composition(_pf(spark, sf))
+    return c.withColumns({"average_quality": r6("average_quality"), "score_variance": r6("score_variance")})
+
+
+@register("portfolio_risk")
+def portfolio_risk(spark, sf):
+    """I6."""
+    return P.portfolio_risk(_pf(spark, sf))
+
+
+@register("market_trends")
+def market_trends(spark, sf):
+    """I7."""
+    return P.market_trends(_pf(spark, sf)).withColumn("value", r6("value"))
+
+
+@register("benchmark_comparison")
+def benchmark_comparison(spark, sf):
+    """H1, M3, O6 (gap size)."""
+    b = P.benchmark_comparison(_pf(spark, sf))
+    return b.withColumns({"percentile_rank": r6("percentile_rank"),
+                          "marker_size": F.abs("composite_vs_benchmark")})
+
+
+@register("benchmark_summary")
+def benchmark_summary(spark, sf):
+    """I8, K5, G6."""
+    s = P.benchmark_summary(P.benchmark_comparison(_pf(spark, sf)))
+    return s.withColumns({"avg_vs_benchmark": r6("avg_vs_benchmark"),
+                          "categories_analyzed": F.array_join("categories_analyzed", ",")})
+
+
+@register("executive_summary")
+def executive_summary(spark, sf):
+    """I9."""
+    e = P.executive_summary(_pf(spark, sf))
+    return e.select("n_decks", r6("avg_score").alias("avg_score"), "top_deck", "top_score", "bottom_deck",
+                    "bottom_score", "top_category", "high_performers", r6("high_pct").alias("high_pct"),
+                    "low_performers", r6("low_pct").alias("low_pct"), "summary_text")
+
+
+@register("batch_summary")
+def batch_summary(spark, sf):
+    """I10, I16."""
+    return P.batch_summary(_pf(spark, sf)).withColumn("portfolio_avg", r6("portfolio_avg"))
+
+
+@register("category_performance")
+def category_performance(spark, sf):
+    """I11."""
+    return P.category_performance(_pf(spark, sf)).withColumn("mean", r6("mean"))
+
+
+@register("correlation_matrix")
+def correlation_matrix(spark, sf):
+    """I12."""
+    return P.correlation_matrix(_pf(spark, sf)).withColumn("corr", r6("corr"))
+
+
+@register("score_histogram")
+def score_histogram(spark, sf):
+    """I13."""
+    h = P.histogram(_pf(spark, sf))
+    return h.withColumns({"bin_lo": r6("bin_lo"), "bin_hi": r6("bin_hi")})
+
+
+@register("tier_hierarchy")
+def tier_hierarchy(spark, sf):
+    """I14, M4."""
+    return P.tier_hierarchy(_pf(spark, sf))
+
+
+@register("distinct_categories")
+def distinct_categories(spark, sf):
+    """L3, I16."""
+    return _pf(spark, sf).select("category").distinct()
+
+
+@register("derived_features")
+def derived_features(spark, sf):
+    """M1."""
+    d = P.derived_features(_pf(spark, sf))
+    return d.select("deck_name", "market_traction_ratio", "team_execution_score", "business_clarity_score",
+                    "overall_strength", "score_variance")
+
+
+@register("risk_factors")
+def risk_factors(spark, sf):
+    """M2."""
+    return P.risk_factors(_pf(spark, sf))
+
+
+@register("due_diligence_flags")
+def due_diligence_flags(spark, sf):
+    """M5."""
+    f = P.due_diligence_flags(_pf(spark, sf))
+    return f.select("deck_name", "composite_score", F.size("flags").alias("n_flags"),
+                    F.array_join("flags", " | ").alias("flags"))
+
+
+@register("recommendations")
+def recommendations(spark, sf):
+    """M6, H3, L1, K6."""
+    return P.recommendations(_pf(spark, sf))
+
+
+@register("score_bands")
+def score_bands(spark, sf):
+    """M4, M7, M8, M9, M10, G3."""
+    return P.score_bands(_pf(spark, sf))
+
+
+@register("summary_table")
+def summary_table(spark, sf):
+    """J1, K1, G1 (rank on the rounded composite)."""
+    return R.summary_table(_pf(spark, sf))
+
+
+@register("top_performers")
+def top_performers(spark, sf):
+    """K2 (top 3 of the ranked table)."""
+    return R.top_k(R.summary_table(_pf(spark, sf)), 3)
+
+
+@register("bottom_performers")
+def bottom_performers(spark, sf):
+    """K3."""
+    return R.bottom_k(R.summary_table(_pf(spark, sf)), 3)
+
+
+@register("ranking_chart")
+def ranking_chart(spark, sf):
+    """K4, G5."""
+    return R.ranking_chart_rows(_pf(spark, sf), 15)
+
+
+@register("argmax_argmin")
+def argmax_argmin(spark, sf):
+    """K5."""
+    return R.argmax_argmin(_pf(spark, sf))
+
+
+@register("vs_reference_vector")
+def vs_reference_vector(spark, sf):
+    """H2."""
+    return P.vs_reference_vector(_pf(spark, sf))

@@ -290,3 +290,36 @@ def enriched_cte(src: str) -> str:
              f"CASE WHEN {n} < 100 THEN {q(L.COMPETITIVE_SHORT)} ELSE {q(L.COMPETITIVE_MISSING)} END AS competitive_analysis "
              f"FROM ({step1})")
     return f"SELECT *, {fallback_insight_sql('composite_score', 'category')} AS investability_insight FROM ({step2})"
+
+
+# -- portfolio helpers ----------------------------------------------------------------
+
+def np_round(x: str, d: int) -> str:
+    return f"(round_even(({x}) * {num(10 ** d)}, 0) / {num(10 ** d)})"
+
+
+def erf(x: str) -> str:
+    from deckscope.functions.mathx import ERF_A, ERF_P
+    ax = f"abs({x})"
+    t = f"({num(1)} / ({num(1)} + {num(ERF_P)} * {ax}))"
+    poly = num(ERF_A[4])
+    for a in reversed(ERF_A[:4]):
+        poly = f"({poly} * {t} + {num(a)})"
+    y = f"({num(1)} - {poly} * {t} * exp(-({ax} * {ax})))"
+    return f"(CASE WHEN {x} < 0 THEN -{y} ELSE {y} END)"
+
+
+def normal_cdf(x: str, mean: str, sd: str) -> str:
+    import math
+    return f"({num(0.5)} * ({num(1)} + {erf(f'(({x}) - ({mean})) / (({sd}) * {num(math.sqrt(2.0))})')}))"
+
+
+def initcap_words(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, ' '), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), ' ')")
+
+
+def benchmark_values() -> str:
+    rows = ", ".join("(" + ", ".join([q(r[0])] + [num(v) for v in r[1:]]) + ")" for r in L.INDUSTRY_BENCHMARKS)
+    cols = ", ".join(["category"] + [f"b_{c}" for c in L.BENCHMARK_COLUMNS])
+    return f"(SELECT * FROM (VALUES {rows}) AS t({cols}))"
