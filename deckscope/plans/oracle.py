@@ -385,3 +385,293 @@ def _vs_reference_vector():
             f"industry_avg, score - industry_avg AS gap FROM (UNPIVOT (SELECT deck_name, {', '.join(DIMS)} FROM p) "
             f"ON {', '.join(DIMS)} INTO NAME dimension VALUE score) JOIN (VALUES {ref}) AS r(dimension, industry_avg) "
             f"USING (dimension)")
+
+
+# == history, charts, casts, parsing, diagnosis ===========================================
+
+def _h() -> str:
+    return f"WITH h AS ({S.history_cte()}) "
+
+
+@oracle("analysis_number")
+def _analysis_number():
+    return (_h() + "SELECT analysis_id, deck_name, composite_score, row_number() OVER "
+            "(ORDER BY timestamp, deck_name, analysis_id) AS analysis_number FROM h")
+
+
+@oracle("timeline_frames")
+def _timeline_frames():
+    return (_h() + "SELECT CAST(dense_rank() OVER (ORDER BY analysis_date) AS INTEGER) AS frame, "
+            "strftime(analysis_date, '%Y-%m-%d') AS analysis_date, deck_name, "
+            "market_potential AS x, traction_strength AS y, composite_score AS size, category FROM ("
+            "SELECT *, row_number() OVER (PARTITION BY analysis_date, deck_name ORDER BY timestamp DESC, analysis_id DESC) AS rn "
+            "FROM h) WHERE rn = 1")
+
+
+@oracle("history_view")
+def _history_view():
+    return (_h() + "SELECT deck_name, composite_score, category, timestamp FROM h "
+            "WHERE category = 'SaaS' AND composite_score >= 5.0")
+
+
+def _cut(x: str, n: int, keep: int | None = None) -> str:
+    keep = n if keep is None else keep
+    return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {keep}) || '...' ELSE {x} END)"
+
+
+@oracle("radar_rows")
+def _radar_rows():
+    pts = [(i, d) for i, d in enumerate(DIMS)] + [(len(DIMS), DIMS[0])]
+    parts = " UNION ALL ".join(f"SELECT {_cut('deck_name', 25, 22)} AS deck_label, deck_name, {i} AS point, "
+                               f"{S.q(d)} AS dimension, {d} AS value FROM t" for i, d in pts)
+    return _p() + f", t AS (SELECT * FROM p ORDER BY composite_score DESC, deck_name LIMIT 5) {parts}"
+
+
+def _at_least(n: int) -> str:
+    return f"(SELECT count(*) FROM p) >= {n}"
+
+
+@oracle("scatter3d_rows")
+def _scatter3d_rows():
+    return (_p() + f"SELECT deck_name, market_potential AS x, traction_strength AS y, team_experience AS z, "
+            f"composite_score * {S.num(2)} AS size, composite_score AS color FROM p WHERE {_at_least(2)}")
+
+
+@oracle("parallel_rows")
+def _parallel_rows():
+    return _p() + f"SELECT deck_name, {', '.join(DIMS)}, composite_score AS color FROM p"
+
+
+@oracle("matrix_rows")
+def _matrix_rows():
+    label = S.initcap_words("replace(dimension, '_', ' ')")
+    return (_p() + f"SELECT {_cut('deck_name', 20)} AS deck_label, deck_name, {label} AS dimension, value FROM "
+            f"(UNPIVOT (SELECT deck_name, {', '.join(DIMS)} FROM p WHERE {_at_least(2)}) ON {', '.join(DIMS)} "
+            f"INTO NAME dimension VALUE value)")
+
+
+def _quadrant(m: str, t: str) -> str:
+    return (f"concat_ws(' / ', CASE WHEN {m} >= 5 THEN 'High Market' ELSE 'Low Market' END, "
+            f"CASE WHEN {t} >= 5 THEN 'High Execution' ELSE 'Low Execution' END)")
+
+
+@oracle("landscape_rows")
+def _landscape_rows():
+    return (_p() + f"SELECT category, deck_name, market_potential AS x, traction_strength AS y, "
+            f"composite_score * {S.num(3)} AS size, {_quadrant('market_potential', 'traction_strength')} AS quadrant "
+            f"FROM p WHERE {_at_least(2)}")
+
+
+@oracle("normalize_results")
+def _normalize_results():
+    m = ("SELECT c_name AS deck_name, '$' || CAST(c_acctbal AS VARCHAR) AS composite_score, c_name AS problem_clarity, "
+         "c_mktsegment AS market_potential, CAST(c_acctbal AS VARCHAR) AS traction_strength, "
+         "concat_ws('.', CAST(c_nationkey AS VARCHAR), CAST(c_custkey % 10 AS VARCHAR), '5') AS team_experience, "
+         "'-' || CAST(c_nationkey AS VARCHAR) || '-' AS business_model, CAST(NULL AS VARCHAR) AS vision_moat, "
+         "c_acctbal AS overall_confidence, printf('%d words', c_nationkey) AS word_count, "
+         "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS category FROM customer")
+
+    def sf(x):
+        return f"coalesce(TRY_CAST(regexp_replace({x}, '[^0-9.\\-]', '', 'g') AS DOUBLE), {S.num(0)})"
+
+    strs = [d for d in DIMS if d != "overall_confidence"] + ["composite_score"]
+    cols = [f"{sf(c)} AS {c}" for c in strs]
+    cols.append(f"coalesce(CAST(overall_confidence AS DOUBLE), {S.num(0)}) AS overall_confidence")
+    cols.append(f"coalesce(TRY_CAST(trunc({sf('word_count')}) AS INTEGER), 0) AS word_count")
+    cols.append("coalesce(deck_name, '') AS deck_name")
+    cols.append("coalesce(category, '') AS category")
+    return f"SELECT {', '.join(cols)} FROM ({m})"
+
+
+@oracle("weak_strong_areas")
+def _weak_strong_areas():
+    weak = ", ".join(f"CASE WHEN {d} < 5 THEN {S.q(d)} END" for d in DIMS)
+    strong = ", ".join(f"CASE WHEN {d} >= 8 THEN {S.q(d)} END" for d in DIMS)
+    return _p() + f"SELECT deck_name, concat_ws(',', {weak}) AS weak_areas, concat_ws(',', {strong}) AS strong_areas FROM p"
+
+
+@oracle("improvement_advice")
+def _improvement_advice():
+    parts = []
+    for k, (d, (area, advice)) in enumerate(zip(DIMS, L.ADVICE)):
+        before = " + ".join(f"(CASE WHEN {x} < 5 THEN 1 ELSE 0 END)" for x in DIMS[:k]) or "0"
+        parts.append(f"SELECT deck_name, CAST({before} AS INTEGER) AS pos, {S.q(area)} AS area, {S.q(advice)} AS advice "
+                     f"FROM p WHERE {d} < 5")
+    none = " AND ".join(f"{d} >= 5" for d in DIMS)
+    parts.append(f"SELECT deck_name, 0 AS pos, CAST(NULL AS VARCHAR) AS area, {S.q(L.NO_WEAK_AREAS)} AS advice "
+                 f"FROM p WHERE {none}")
+    return _p() + " UNION ALL ".join(parts)
+
+
+def _responses_cte() -> str:
+    from deckscope.sources.fixtures import RESPONSE_CATEGORIES
+    nl = "chr(10)"
+    marked = (f"array_to_string(list_transform(string_split(text, {nl}), lambda l, i: CASE WHEN (i - 1) % 3 = 0 "
+              f"THEN '• ' || l WHEN (i - 1) % 3 = 1 THEN '- ' || l ELSE l END), {nl})")
+    cats = "[" + ", ".join(S.q(c) for c in RESPONSE_CATEGORIES) + "]"
+    d = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+    return (f"SELECT doc_id, 'summary' AS kind, CASE WHEN doc_id % 4 = 0 THEN text ELSE {marked} END AS response FROM {d} "
+            f"UNION ALL SELECT doc_id, 'category', {cats}[CAST(doc_id % {len(RESPONSE_CATEGORIES)} + 1 AS INTEGER)] FROM {d} "
+            f"UNION ALL SELECT doc_id, 'insight', text FROM {d} "
+            f"UNION ALL SELECT doc_id, 'competitive', CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END FROM {d}")
+
+
+def _parse_bullets(r: str) -> str:
+    nl = "chr(10)"
+    lines = f"list_transform(string_split({r}, {nl}), lambda s: {S.strip_ws('s')})"
+    marked = f"list_filter({lines}, lambda s: starts_with(s, '•') OR starts_with(s, '-') OR starts_with(s, '*'))"
+    cleaned = f"list_transform({marked}, lambda s: {S.strip_ws(chr(114) + 'egexp_replace(s, ' + S.q('^[•*\\- ]+') + ', ' + chr(39) * 2 + ')')})"
+    bullets = f"list_transform(list_filter({cleaned}, lambda s: s <> ''), lambda s: '• ' || s)"
+    return f"(CASE WHEN len({bullets}) > 0 THEN array_to_string(({bullets})[1:4], {nl}) END)"
+
+
+def _match_category(r: str) -> str:
+    cleaned = f"lower(replace(replace({S.strip_ws(r)}, '\"', ''), '''', ''))"
+    return "(CASE " + " ".join(f"WHEN contains({cleaned}, {S.q(c.lower())}) THEN {S.q(c)}" for c in L.MODEL_CATEGORIES) + " END)"
+
+
+def _trim_insight(r: str) -> str:
+    first = S.strip_ws(f"split_part({r}, '.', 1)")
+    return f"(CASE WHEN length({first}) > 120 THEN substr({first}, 1, 117) || '...' ELSE {first} END)"
+
+
+@oracle("enrich_with_responses")
+def _enrich_with_responses():
+    def nonempty(x):
+        return f"(CASE WHEN length({S.strip_ws(x)}) > 0 THEN {S.strip_ws(x)} END)"
+
+    wide = ("SELECT doc_id, " + ", ".join(
+        f"max(CASE WHEN kind = {S.q(k)} THEN {nonempty('response')} END) AS r_{k}"
+        for k in ("summary", "category", "insight", "competitive")) + " FROM r GROUP BY doc_id")
+    base = S.enriched_cte(S.decks_cte())
+    n = "length(coalesce(full_text, ''))"
+    cat = f"CASE WHEN {n} < 50 THEN 'Other' ELSE coalesce({_match_category('r_category')}, category) END"
+    step = f"SELECT doc_id, full_text, composite_score, summary AS fb_summary, r_summary, r_insight, r_competitive, {cat} AS category FROM ({base}) b LEFT JOIN w USING (doc_id)"
+    return (f"WITH r AS ({_responses_cte()}), w AS ({wide}) SELECT doc_id, category, "
+            f"CASE WHEN {n} < 100 THEN {S.q(L.SUMMARY_SHORT)} ELSE coalesce({_parse_bullets('r_summary')}, fb_summary) END AS summary, "
+            f"coalesce({_trim_insight('r_insight')}, {S.fallback_insight_sql('composite_score', 'category')}) AS investability_insight, "
+            f"CASE WHEN {n} < 100 THEN {S.q(L.COMPETITIVE_SHORT)} ELSE coalesce(r_competitive, {S.q(L.COMPETITIVE_MISSING)}) END "
+            f"AS competitive_analysis FROM ({step})")
+
+
+@oracle("prompts")
+def _prompts():
+    n = "length(coalesce(full_text, ''))"
+    full = "coalesce(full_text, '')"
+    cats = ", ".join(L.MODEL_CATEGORIES[:-1])
+    weak = f"concat_ws(', ', {', '.join(f'CASE WHEN {d} < 5 THEN {S.q(d)} END' for d in DIMS)})"
+    strong = f"concat_ws(', ', {', '.join(f'CASE WHEN {d} >= 8 THEN {S.q(d)} END' for d in DIMS)})"
+    none = lambda x: f"(CASE WHEN {x} = '' THEN 'None' ELSE {x} END)"
+    rule = f"(CASE WHEN {n} < 50 THEN 'Other' ELSE {S.classify_sql('full_text')} END)"
+    score = f"CAST({S.np_round('composite_score', 1)} AS VARCHAR)"
+    base = f"({S.scored_cte(S.decks_cte())})"
+    return (f"SELECT doc_id, 'summary' AS kind, printf({S.q(L.PROMPT_SUMMARY)}, substr({full}, 1, 3000)) AS prompt "
+            f"FROM {base} WHERE {n} >= 100 UNION ALL "
+            f"SELECT doc_id, 'category', printf({S.q(L.PROMPT_CATEGORY)}, {S.q(cats)}, substr({full}, 1, 2000)) "
+            f"FROM {base} WHERE {n} >= 50 UNION ALL "
+            f"SELECT doc_id, 'insight', printf({S.q(L.PROMPT_INSIGHT)}, {rule}, {score}, {none(strong)}, {none(weak)}, "
+            f"substr({full}, 1, 500)) FROM {base} UNION ALL "
+            f"SELECT doc_id, 'competitive', printf({S.q(L.PROMPT_COMPETITIVE)}, substr({full}, 1, 2000)) "
+            f"FROM {base} WHERE {n} >= 100")
+
+
+def _pages() -> str:
+    return ("SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_no, text, "
+            "CAST((conv_id + turn) % 3 AS INTEGER) AS n_images FROM conversations")
+
+
+def _diagnosis() -> str:
+    t = "t"
+    f = f"SELECT doc_id, page_no, n_images, {S.strip_ws('coalesce(text, ' + chr(39) * 2 + ')')} AS t FROM pg WHERE page_no < 3"
+    g = (f"SELECT doc_id, min(CASE WHEN length({t}) > 50 THEN page_no END) AS stop, "
+         f"arg_min(CASE WHEN length({t}) > 50 THEN {t} END, CASE WHEN length({t}) > 50 THEN page_no END) AS sample, "
+         f"list(page_no) FILTER (WHERE n_images > 0) AS imgs FROM f GROUP BY doc_id")
+    has_text = "(stop IS NOT NULL)"
+    has_img = "(len(list_filter(coalesce(imgs, []), lambda x: x < coalesce(stop, 3))) > 0)"
+    out = (f"SELECT c.doc_id, c.pages, false AS encrypted, coalesce({has_text}, false) AS has_text, "
+           f"coalesce({has_img}, false) AS has_images, CASE WHEN {has_text} THEN substr(sample, 1, 200) || '...' ELSE '' END "
+           f"AS text_sample FROM (SELECT doc_id, count(*) AS pages FROM pg GROUP BY doc_id) c LEFT JOIN g USING (doc_id)")
+    return (f"WITH pg AS ({_pages()}), f AS ({f}), g AS ({g}) SELECT *, CASE WHEN has_text OR has_images THEN 'ok' "
+            f"ELSE 'warning' END AS status, CASE WHEN NOT (has_text OR has_images) THEN 'No readable content detected' END "
+            f"AS message, true AS can_process FROM ({out})")
+
+
+@oracle("page_diagnosis")
+def _page_diagnosis():
+    return _diagnosis()
+
+
+@oracle("diagnosis_summary")
+def _diagnosis_summary():
+    return (f"SELECT count(*) FILTER (WHERE can_process) AS processable, count(*) AS total, "
+            f"count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'warning') AS warning, "
+            f"count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE can_process) > 0 AS any_processable "
+            f"FROM ({_diagnosis()})")
+
+
+@oracle("choose_extraction")
+def _choose_extraction():
+    c = ("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS c1, "
+         "CASE WHEN doc_id % 3 = 1 THEN text END AS c2, text AS c3, doc_id % 2 = 0 AS has_images FROM documents")
+    ln = lambda x: f"length(coalesce({x}, ''))"
+    method = (f"CASE WHEN {ln('c1')} >= 50 THEN 'PyMuPDF' WHEN {ln('c2')} >= 50 THEN 'pdfplumber' "
+              f"WHEN coalesce(has_images, false) AND {ln('c3')} >= 50 THEN 'OCR' ELSE 'none' END")
+    text = (f"CASE WHEN {ln('c1')} >= 50 THEN c1 WHEN {ln('c2')} >= 50 THEN c2 WHEN coalesce(has_images, false) "
+            f"THEN coalesce(c3, '') ELSE coalesce(c2, '') END")
+    return (f"SELECT doc_id, {method} AS extraction_method, CAST(length(t) AS INTEGER) AS text_length, "
+            f"length(t) >= 50 AS sufficient FROM (SELECT *, {text} AS t FROM ({c}))")
+
+
+@oracle("section_preview")
+def _section_preview():
+    from deckscope.operators.extract import SECTION_LABELS
+    parts = []
+    for key, title in SECTION_LABELS:
+        c = f"coalesce(sec_{key}, '')"
+        shown = f"(length({S.strip_ws(c)}) > 20)"
+        wc = f"CAST(len(list_filter(string_split_regex({c}, {S.q(S.WS_CLASS + '+')}), lambda w: w <> '')) AS INTEGER)"
+        parts.append(
+            f"SELECT deck_name, {S.q(key)} AS section, {S.q(title)} AS title, {shown} AS shown, "
+            f"CASE WHEN {shown} THEN (CASE WHEN length({c}) > 500 THEN substr({c}, 1, 500) || '...' ELSE {c} END) "
+            f"ELSE {S.q(title + ': No significant content detected')} END AS preview, "
+            f"CASE WHEN {shown} THEN {wc} END AS word_count FROM s")
+    return f"WITH s AS ({S.sectionized_cte(S.decks_cte())}) " + " UNION ALL ".join(parts)
+
+
+@oracle("assemble_pages")
+def _assemble_pages():
+    agg = "string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn)"
+    return f"SELECT conv_id AS doc_id, {S.strip_ws(agg)} AS text FROM conversations GROUP BY conv_id"
+
+
+@oracle("deck_names")
+def _deck_names():
+    return "SELECT page_id, replace(string_split(url, '/')[-1], '.pdf', '') AS deck_name FROM pages"
+
+
+@oracle("sentence_sections")
+def _sentence_sections():
+    terms = ", ".join(f"({S.q(s)}, {S.q(t)})" for s, ts in L.SECTION_TERMS.items() for t in ts)
+    s = (f"SELECT doc_id, unnest(_s) AS sentence, unnest(generate_series(0, len(_s) - 1)) AS pos FROM "
+         f"(SELECT doc_id, {S.sentences('full_text')} AS _s FROM (SELECT doc_id, {S.clean('text')} AS full_text "
+         f"FROM ({S.decks_cte()})))")
+    return (f"SELECT DISTINCT doc_id, CAST(pos AS INTEGER) AS pos, section FROM ({s}) x "
+            f"JOIN (VALUES {terms}) AS t(section, term) ON contains(lower(x.sentence), t.term)")
+
+
+@oracle("sentiment_labels")
+def _sentiment_labels():
+    lab = "CASE WHEN v > 0.1 THEN 'Positive' WHEN v < -0.1 THEN 'Negative' ELSE 'Neutral' END"
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {S.q(s.capitalize())} AS section, {s}_sentiment AS v FROM lm WHERE {s}_sentiment IS NOT NULL"
+        for s in L.SENTIMENT_SECTIONS)
+    return (f"WITH lm AS ({S.language_cte(S.decks_cte())}) SELECT doc_id, section, v AS sentiment, {lab} AS sentiment_label "
+            f"FROM ({parts})")
+
+
+@oracle("language_profile")
+def _language_profile():
+    rows = [("Confidence Indicators", "confidence_score"), ("Technical Sophistication", "tech_sophistication"),
+            ("Vocabulary Diversity", f"vocabulary_diversity * {S.num(100)}"), ("Readability Score", "readability_score")]
+    parts = " UNION ALL ".join(f"SELECT doc_id, {S.q(m)} AS metric, {e} AS value FROM lm" for m, e in rows)
+    return f"WITH lm AS ({S.language_cte(S.decks_cte())}) {parts}"

@@ -301,3 +301,163 @@ def argmax_argmin(spark, sf):
 def vs_reference_vector(spark, sf):
     """H2."""
     return P.vs_reference_vector(_pf(spark, sf))
+
+
+# == history, charts, casts, parsing, diagnosis ===============================================
+
+from deckscope.operators import charts as CH  # noqa: E402
+from deckscope.operators import enrich as EN  # noqa: E402
+from deckscope.operators import extract as EX  # noqa: E402
+from deckscope.operators.normalize import normalize_results  # noqa: E402
+from deckscope.operators.sections import sentence_sections as _sentence_sections  # noqa: E402
+from deckscope.sources.documents import assemble_pages as _assemble_pages  # noqa: E402
+
+
+def _hist(spark, sf) -> DataFrame:
+    return FX.history(spark, sf)
+
+
+@register("analysis_number")
+def analysis_number(spark, sf):
+    """Sequence over the whole history in time order (distributed positions)."""
+    h = R.global_positions(_hist(spark, sf), [F.col("timestamp"), F.col("deck_name"), F.col("analysis_id")],
+                           None, "analysis_number")
+    return h.select("analysis_id", "deck_name", "composite_score", "analysis_number")
+
+
+@register("timeline_frames")
+def timeline_frames(spark, sf):
+    """J3 (dates as ISO text)."""
+    t = R.timeline_frames(_hist(spark, sf))
+    return t.withColumn("analysis_date", F.date_format("analysis_date", "yyyy-MM-dd"))
+
+
+@register("history_view")
+def history_view(spark, sf):
+    """G2 + K7: one category, composite >= 5, newest first."""
+    return R.history_recent_first(P.filter_history(_hist(spark, sf), "SaaS", 5.0))
+
+
+@register("radar_rows")
+def radar_rows(spark, sf):
+    """O1."""
+    return CH.radar_rows(_pf(spark, sf))
+
+
+@register("scatter3d_rows")
+def scatter3d_rows(spark, sf):
+    """O2."""
+    return CH.scatter3d_rows(_pf(spark, sf))
+
+
+@register("parallel_rows")
+def parallel_rows(spark, sf):
+    """O3."""
+    return CH.parallel_rows(_pf(spark, sf))
+
+
+@register("matrix_rows")
+def matrix_rows(spark, sf):
+    """O4."""
+    return CH.matrix_rows(_pf(spark, sf))
+
+
+@register("landscape_rows")
+def landscape_rows(spark, sf):
+    """O5, M7."""
+    return CH.landscape_rows(_pf(spark, sf))
+
+
+@register("normalize_results")
+def normalize_q(spark, sf):
+    """F1-F3 on loosely typed rows."""
+    return normalize_results(FX.messy_results(spark, sf))
+
+
+@register("weak_strong_areas")
+def weak_strong_areas(spark, sf):
+    """E8 (+ F4 labels)."""
+    w = EN.weak_strong_areas(_pf(spark, sf))
+    return w.select("deck_name", F.array_join("weak_areas", ",").alias("weak_areas"),
+                    F.array_join("strong_areas", ",").alias("strong_areas"))
+
+
+@register("improvement_advice")
+def improvement_advice(spark, sf):
+    """E9, H4."""
+    return EN.improvement_advice(_pf(spark, sf))
+
+
+@register("enrich_with_responses")
+def enrich_with_responses(spark, sf):
+    """E2-E4, E10, E11 with model answers (a responses table)."""
+    e = EN.enrich(_scored(spark, sf), FX.responses(spark, sf))
+    return e.select("doc_id", "category", "summary", "investability_insight", "competitive_analysis")
+
+
+@register("prompts")
+def prompts(spark, sf):
+    """Prompt rows for an external batch-inference job."""
+    return EN.build_prompts(_scored(spark, sf))
+
+
+@register("page_diagnosis")
+def page_diagnosis(spark, sf):
+    """B1 (content part)."""
+    return EX.diagnose_pages(FX.page_table(spark, sf))
+
+
+@register("diagnosis_summary")
+def diagnosis_summary(spark, sf):
+    """B2."""
+    return EX.diagnosis_summary(EX.diagnose_pages(FX.page_table(spark, sf)))
+
+
+@register("choose_extraction")
+def choose_extraction(spark, sf):
+    """B3 + B4 on three extractor outputs."""
+    c = EX.choose_extraction(FX.extraction_candidates(spark, sf))
+    return c.select("doc_id", "extraction_method", F.length("text").alias("text_length"),
+                    (F.length("text") >= L.MIN_TEXT_LENGTH).alias("sufficient"))
+
+
+@register("section_preview")
+def section_preview(spark, sf):
+    """B9, B10."""
+    return EX.section_preview(sectionize(_decks(spark, sf)))
+
+
+@register("assemble_pages")
+def assemble_pages(spark, sf):
+    """A3: conversation turns as pages -> one text per document."""
+    return _assemble_pages(FX.page_table(spark, sf))
+
+
+@register("deck_names")
+def deck_names(spark, sf):
+    """A2: names from paths (pages' URLs)."""
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", T.deck_name_from_path(F.col("url")).alias("deck_name"))
+
+
+@register("sentence_sections")
+def sentence_sections(spark, sf):
+    """H6 / Q5: relational sentence x lexicon theta join (broadcast lexicon)."""
+    s = sectionize(_decks(spark, sf))
+    return _sentence_sections(s)
+
+
+@register("sentiment_labels")
+def sentiment_labels(spark, sf):
+    """D8."""
+    from deckscope.operators.language import sentiment_labels as _sl
+    lm = language_metrics(sectionize(_decks(spark, sf)))
+    return _sl(lm, "doc_id")
+
+
+@register("language_profile")
+def language_profile(spark, sf):
+    """D9."""
+    from deckscope.operators.language import language_profile_long
+    lm = language_metrics(sectionize(_decks(spark, sf)))
+    return language_profile_long(lm, "doc_id")

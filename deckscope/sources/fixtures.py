@@ -115,3 +115,70 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("timestamp"),
         F.to_date("o_orderdate").alias("analysis_date"),
     )
+
+
+# -- derived inputs for the parsing, diagnosis and normalisation operators -------------
+
+RESPONSE_CATEGORIES = ['"Fintech"', "This looks like a HealthTech company", "unknown space",
+                       "saas", "'Social Media' app", "BIOTECH", "e-commerce marketplace", ""]
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in answers of an external model, derived from ``documents``:
+    summary = the text's lines with bullet marks on two of every three lines
+    (one document in four gets no marks), category = one of a few answer
+    shapes, insight and competitive = the whole text (empty for one in five)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.split("text", "\n")
+    marked = F.array_join(F.transform(lines, lambda l, i: F.when(i % 3 == 0, F.concat(F.lit("• "), l))
+                                      .when(i % 3 == 1, F.concat(F.lit("- "), l)).otherwise(l)), "\n")
+    cats = F.array(*[F.lit(c) for c in RESPONSE_CATEGORIES])
+    k = F.col("doc_id")
+    rows = F.array(
+        F.struct(F.lit("summary").alias("kind"), F.when(k % 4 == 0, F.col("text")).otherwise(marked).alias("response")),
+        F.struct(F.lit("category").alias("kind"),
+                 F.element_at(cats, (k % len(RESPONSE_CATEGORIES) + 1).cast("int")).alias("response")),
+        F.struct(F.lit("insight").alias("kind"), F.col("text").alias("response")),
+        F.struct(F.lit("competitive").alias("kind"),
+                 F.when(k % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("response")),
+    )
+    return docs.select("doc_id", F.inline(rows))
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from ``conversations``: one conversation = one document, turns in
+    order = pages (``turn`` is already 0, 1, 2, ...), image count (conv_id + turn) % 3."""
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"),
+                       "text", ((F.col("conv_id") + F.col("turn")) % 3).cast("int").alias("n_images"))
+
+
+def extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three extractor outputs per document, derived from ``documents``:
+    the first extractor returns the text for one document in three, the
+    second for another third, OCR always; images for even ids."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    return d.select("doc_id", F.when(k % 3 == 0, F.col("text")).otherwise(F.lit("")).alias("c1"),
+                    F.when(k % 3 == 1, F.col("text")).alias("c2"), F.col("text").alias("c3"),
+                    (k % 2 == 0).alias("has_images"))
+
+
+def messy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows with loosely typed fields (strings with symbols, NULLs),
+    derived from ``customer`` for the tolerant casts."""
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.col("c_name").alias("deck_name"),
+        F.format_string("$%s", F.col("c_acctbal").cast("string")).alias("composite_score"),
+        F.col("c_name").alias("problem_clarity"),
+        F.col("c_mktsegment").alias("market_potential"),
+        F.col("c_acctbal").cast("string").alias("traction_strength"),
+        F.concat_ws(".", F.col("c_nationkey").cast("string"), (k % 10).cast("string"), F.lit("5")).alias("team_experience"),
+        F.concat(F.lit("-"), F.col("c_nationkey").cast("string"), F.lit("-")).alias("business_model"),
+        F.lit(None).cast("string").alias("vision_moat"),
+        F.col("c_acctbal").alias("overall_confidence"),
+        F.format_string("%d words", F.col("c_nationkey")).alias("word_count"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("category"),
+    )
