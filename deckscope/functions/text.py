@@ -30,9 +30,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as plain characters, for character-set trims (no regex).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (a character-set trim, no regex)."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c) -> Column:

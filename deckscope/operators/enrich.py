@@ -26,10 +26,17 @@ RESPONSE_KINDS = ["summary", "category", "insight", "competitive"]
 
 def classify_keywords(full_text: Column, category_terms: dict | None = None) -> Column:
     """E5: category with the most distinct keyword hits on the lower-cased
-    text; first listed wins ties; no hit -> 'Other'."""
+    text; first listed wins ties; no hit -> 'Other'.
+
+    Self-contained expression (each score appears more than once); on a
+    DataFrame prefer :func:`with_rule_category`, which computes every score
+    once in its own column."""
     terms = category_terms or L.CATEGORY_TERMS
     lc = F.lower(F.coalesce(full_text, F.lit("")))
-    scores = {c: LX.distinct_hits(lc, ts) for c, ts in terms.items()}
+    return _pick_category({c: LX.distinct_hits(lc, ts) for c, ts in terms.items()})
+
+
+def _pick_category(scores: dict) -> Column:
     best = F.greatest(*scores.values()) if len(scores) > 1 else list(scores.values())[0]
     out = F.when(best == 0, F.lit("Other"))
     for c, s in scores.items():
@@ -37,6 +44,24 @@ def classify_keywords(full_text: Column, category_terms: dict | None = None) ->
     return out
 
 
+def with_rule_category(df: DataFrame, out_col: str = "_rule_category", text_col: str = "full_text",
+                       category_terms: dict | None = None) -> DataFrame:
+    """E5 as columns: lower-case once, one column per category score, the
+    best score, then the pick -- each substring test runs once per row.
+    Texts shorter than 50 characters are 'Other'."""
+    terms = category_terms or L.CATEGORY_TERMS
+    names = [f"_cs_{i}" for i in range(len(terms))]
+    out = df.withColumn("_cs_lc", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumns({n: LX.distinct_hits(F.col("_cs_lc"), ts) for n, ts in zip(names, terms.values())})
+    out = out.withColumn("_cs_best", F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0]))
+    pick = F.when(F.col("_cs_best") == 0, F.lit("Other"))
+    for n, c in zip(names, terms):
+        pick = pick.when(F.col(n) == F.col("_cs_best"), F.lit(c))
+    short = F.length(F.coalesce(F.col(text_col), F.lit(""))) < 50
+    out = out.withColumn(out_col, F.when(short, F.lit("Other")).otherwise(pick))
+    return out.drop("_cs_lc", "_cs_best", *names)
+
+
 def fallback_summary(sections: Column) -> Column:
     """Up to four '• Name: first 70 chars...' lines, padded to four."""
     items = F.array(*[F.struct(F.lit(name).alias("name"), sections[key].alias("text"))
@@ -105,8 +130,8 @@ def enrich(df: DataFrame, responses: DataFrame | None = None, id_col: str = "doc
     ``competitive_analysis``.  Needs ``full_text``, ``sections`` and
     ``composite_score``."""
     n = F.length(F.coalesce(F.col("full_text"), F.lit("")))
-    out = df.withColumns({
-        "_rule_category": F.when(n < 50, F.lit("Other")).otherwise(classify_keywords(F.col("full_text"), category_terms)),
+    out = with_rule_category(df, "_rule_category", "full_text", category_terms)
+    out = out.withColumns({
         "_fallback_summary": F.when(n < 100, F.lit(L.SUMMARY_SHORT)).otherwise(fallback_summary(F.col("sections"))),
         "_len_full": n,
     })
@@ -165,10 +190,10 @@ def build_prompts(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     full = F.coalesce(F.col("full_text"), F.lit(""))
     n = F.length(full)
     cats = ", ".join(L.MODEL_CATEGORIES[:-1])
-    areas = weak_strong_areas(df)
+    areas = with_rule_category(weak_strong_areas(df), "_rule_category")
+    rule_cat = F.col("_rule_category")
     join_or_none = lambda a: F.when(F.size(a) > 0, F.array_join(a, ", ")).otherwise(F.lit("None"))
     score1 = (F.rint(F.col("composite_score") * 10) / 10).cast("string")
-    rule_cat = F.when(n < 50, F.lit("Other")).otherwise(classify_keywords(full))
     rows = F.array(
         F.struct(F.lit("summary").alias("kind"), F.when(n >= 100, F.format_string(
             L.PROMPT_SUMMARY, F.substring(full, 1, 3000))).alias("prompt")),

@@ -18,6 +18,8 @@ distributed forms replace it here:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +43,30 @@ def rank_desc(df: DataFrame, score_col: str, rank_col: str = "rank") -> DataFram
     return df.join(ranks, score_col, "left")
 
 
-def summary_table(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame once as a parquet table in the shared checkpoint folder
+    and read it back: one pass over the upstream plan (``checkpoint()`` would
+    run it twice unless cached), lineage cut, and the copy survives the loss
+    of any executor."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def summary_table(df: DataFrame, materialize_input: bool = True) -> DataFrame:
     """J1 + G1 + K1: scores rounded (half-even) to 2 places *first*, then
     ranked on the rounded composite; columns in report order, existing only;
-    sorted by composite desc (``deck_name`` breaks ties)."""
+    sorted by composite desc (``deck_name`` breaks ties).
+
+    The rank needs two passes (score counts, then the join back); the narrow
+    projection is materialised once so the upstream plan runs once."""
     scores = [c for c in [*L.DIMENSIONS, "composite_score"] if c in df.columns]
-    out = df.withColumns({c: np_round(c, 2) for c in scores})
+    keep = ["deck_name", *scores,
+            *[c for c in ("category", "investability_insight", "word_count", "extraction_method") if c in df.columns]]
+    out = df.select(*keep).withColumns({c: np_round(c, 2) for c in scores})
+    if materialize_input:
+        out = materialize(out)
     out = rank_desc(out, "composite_score")
     order = ["rank", "deck_name", "composite_score", *[c for c in L.DIMENSIONS if c in out.columns],
              *[c for c in ("category", "investability_insight", "word_count", "extraction_method") if c in out.columns]]
@@ -68,7 +88,7 @@ def global_positions(df: DataFrame, order_cols: list, group_cols: list | None =
     keys = [F.col(g) for g in groups] + list(order_cols) + [F.col("_tie")]
     ordered = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     ordered = ordered.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    ordered = ordered.checkpoint(eager=True)
+    ordered = materialize(ordered)
     gcols = [F.col(g) for g in groups]
     per = ordered.groupBy("_pid", *gcols).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if groups \

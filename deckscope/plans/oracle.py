@@ -675,3 +675,23 @@ def _language_profile():
             ("Vocabulary Diversity", f"vocabulary_diversity * {S.num(100)}"), ("Readability Score", "readability_score")]
     parts = " UNION ALL ".join(f"SELECT doc_id, {S.q(m)} AS metric, {e} AS value FROM lm" for m, e in rows)
     return f"WITH lm AS ({S.language_cte(S.decks_cte())}) {parts}"
+
+
+@oracle("export_scores_long")
+def _export_scores_long():
+    return _p() + " UNION ALL ".join(
+        f"SELECT deck_name, {S.q(label)} AS Metric, coalesce(CAST({c} AS DOUBLE), {S.num(0)}) AS Score FROM p"
+        for c, label in L.EXPORT_LABELS)
+
+
+@oracle("ranked_results")
+def _ranked_results():
+    n = S.np_round
+    ext = S.strip_ws("coalesce(text, '')")
+    src = f"SELECT * FROM ({S.documents_cte()}) WHERE length({ext}) >= {L.MIN_TEXT_LENGTH}"
+    e = S.enriched_cte(src)
+    rounded = ", ".join(f"{n(d, 2)} AS {d}" for d in DIMS)
+    return (f"SELECT CAST(rank() OVER (ORDER BY composite_score DESC) AS INTEGER) AS rank, deck_name, composite_score, "
+            f"{', '.join(DIMS)}, category, investability_insight, word_count, extraction_method FROM ("
+            f"SELECT deck_name, {n('composite_score', 2)} AS composite_score, {rounded}, category, investability_insight, "
+            f"word_count, 'text' AS extraction_method FROM ({e}))")

@@ -461,3 +461,75 @@ def language_profile(spark, sf):
     from deckscope.operators.language import language_profile_long
     lm = language_metrics(sectionize(_decks(spark, sf)))
     return language_profile_long(lm, "doc_id")
+
+
+# == ML (rows-only checks), export, flagship ===================================================
+
+from deckscope.operators import ml as ML  # noqa: E402
+from deckscope.plans.document_plan import analyze  # noqa: E402
+from deckscope.sources import sinks as SK  # noqa: E402
+
+
+@register("ml_feature_importance")
+def ml_feature_importance(spark, sf):
+    """Importances of the success model, top 10."""
+    m = ML.fit_success_model(_pf(spark, sf))
+    return m.importances(spark).limit(10)
+
+
+@register("ml_model_scores")
+def ml_model_scores(spark, sf):
+    """R^2 on train and test rows."""
+    m = ML.fit_success_model(_pf(spark, sf))
+    train_r2, test_r2 = m.r2()
+    return spark.createDataFrame([(float(train_r2), float(test_r2), len(m.feature_names))],
+                                 "train_r2 double, test_r2 double, n_features int")
+
+
+@register("ml_predictions")
+def ml_predictions(spark, sf):
+    """N8, H5, K9, M9, A8."""
+    pf = _pf(spark, sf)
+    m = ML.fit_success_model(pf)
+    return ML.prediction_ranking(m.predict(pf))
+
+
+@register("ml_probability_histogram")
+def ml_probability_histogram(spark, sf):
+    """I13 (20 bins of the success probability)."""
+    pf = _pf(spark, sf)
+    m = ML.fit_success_model(pf)
+    return P.histogram(m.predict(pf), ["success_probability"], 20)
+
+
+@register("ml_clusters")
+def ml_clusters(spark, sf):
+    """K-means groups named by mean composite."""
+    c = ML.cluster_performance(_pf(spark, sf))
+    return c.select("deck_name", "composite_score", "cluster", "cluster_name")
+
+
+@register("ml_projection")
+def ml_projection(spark, sf):
+    """2-D projection of the clustered rows."""
+    return ML.project_2d(ML.cluster_performance(_pf(spark, sf)))
+
+
+@register("export_scores_long")
+def export_scores_long(spark, sf):
+    """Eight (Metric, Score) rows per document."""
+    return SK.scores_long(_pf(spark, sf))
+
+
+@register("export_json")
+def export_json(spark, sf):
+    """One JSON document per result row."""
+    return SK.to_json_rows(_pf(spark, sf))
+
+
+@register("ranked_results")
+def ranked_results(spark, sf):
+    """Flagship (E-1): documents -> clean -> sections -> scores -> category,
+    insight -> ranked summary table (J1 + G1 + K1)."""
+    a = analyze(_docs(spark, sf))
+    return R.summary_table(a)

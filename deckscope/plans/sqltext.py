@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from deckscope import lexicons as L
 from deckscope.functions.sentiment import DEFAULT_LEXICON, PUNCTUATION, SentimentLexicon
-from deckscope.functions.text import DROP_CLASS, SENTENCE_SPLIT, WS_CLASS, terms_regex
+from deckscope.functions.text import DROP_CLASS, SENTENCE_SPLIT, WS_CHARS, WS_CLASS, terms_regex
 from deckscope.sources.fixtures import DECK_PHRASES, PORTFOLIO_CATEGORIES, PORTFOLIO_RULES
 
 
@@ -23,7 +23,7 @@ def num(x: float) -> str:
 
 
 def strip_ws(t: str) -> str:
-    return f"regexp_replace({t}, {q('^' + WS_CLASS + '+|' + WS_CLASS + '+$')}, '', 'g')"
+    return f"trim({t}, {q(WS_CHARS)})"
 
 
 def clean(t: str) -> str:
