@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions.text import title_case_dim, truncate_label
-from deckscope.operators.portfolio import attach_one_row, existing, landscape_quadrant
+from deckscope.operators.portfolio import at_least_rows, existing, landscape_quadrant
 from deckscope.operators.ranking import top_k
 
 
 def _min_rows(df: DataFrame, n: int) -> DataFrame:
     """Keep all rows only when the frame has at least ``n`` rows."""
-    cnt = df.agg(F.count(F.lit(1)).alias("_rows"))
-    return attach_one_row(df, cnt).filter(F.col("_rows") >= n).drop("_rows")
+    return at_least_rows(df, n)
 
 
 def radar_rows(df: DataFrame, k: int = 5) -> DataFrame:

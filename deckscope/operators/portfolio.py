@@ -8,12 +8,12 @@ vector) are fixed-size literals and are the only broadcast sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions.mathx import normal_cdf
-from deckscope.operators.ranking import exact_median, np_round, top_k
+from deckscope.operators.ranking import exact_median, global_positions, np_round, top_k
 
 FIVE = ["problem_clarity", "market_potential", "traction_strength", "team_experience", "business_model"]
 
@@ -27,11 +27,10 @@ def select_existing(df: DataFrame, cols) -> DataFrame:
     return df.select(*existing(df, cols))
 
 
-def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a single-row aggregate to every row (equi-join on a
-    constant key; the one-row side is broadcast, its size is one row)."""
-    k = "_one_row_key"
-    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "inner").drop(k)
+def at_least_rows(df: DataFrame, n: int) -> DataFrame:
+    """The frame itself when it has at least ``n`` rows, else an empty frame
+    (the count is one small job; no join, no single-partition window)."""
+    return df if df.limit(n).count() >= n else df.limit(0)
 
 
 def with_missing_as_zero(df: DataFrame, cols) -> DataFrame:
@@ -42,11 +41,18 @@ def with_missing_as_zero(df: DataFrame, cols) -> DataFrame:
 # -- I: aggregations --------------------------------------------------------------------
 
 def portfolio_stats(df: DataFrame, col: str = "composite_score") -> DataFrame:
-    """N, mean, sample std, exact median, min, max of the composite."""
-    agg = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-                 F.min(col).alias("min"), F.max(col).alias("max"))
-    med = exact_median(df, col, None, "median")
-    return attach_one_row(agg, med)
+    """N, mean, sample std, exact median, min, max of the composite.
+
+    One aggregation over the distributed positions (see ``global_positions``):
+    the two middle positions are known from the row count, so the median is
+    a conditional average in the same pass as the other statistics."""
+    vals = df.select(col).filter(F.col(col).isNotNull())
+    n = vals.count()
+    pos = global_positions(vals, [F.col(col)], None, "_pos")
+    lo, hi = (n + 1) // 2, (n + 2) // 2
+    mid = (F.col("_pos") == lo) | (F.col("_pos") == hi)
+    return pos.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                   F.avg(F.when(mid, F.col(col))).alias("median"), F.min(col).alias("min"), F.max(col).alias("max"))
 
 
 def dimension_averages(df: DataFrame) -> DataFrame:
@@ -57,12 +63,12 @@ def dimension_averages(df: DataFrame) -> DataFrame:
 
 
 def category_distribution(df: DataFrame, k: int = 5) -> DataFrame:
-    """Count and share of the top-k categories (ties: name)."""
+    """Count and share of the top-k categories (ties: name).  The total
+    is a window sum over the grouped frame (one row per category)."""
     counts = df.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    counts = counts.withColumn("_total", F.sum("count").over(Window.partitionBy()))
     top = counts.orderBy(F.col("count").desc(), F.col("category")).limit(k)
-    return attach_one_row(top, total).select(
-        "category", "count", (F.col("count") / F.col("_total") * F.lit(100.0)).alias("percent"))
+    return top.select("category", "count", (F.col("count") / F.col("_total") * F.lit(100.0)).alias("percent"))
 
 
 def category_stats(df: DataFrame) -> DataFrame:
@@ -111,10 +117,11 @@ def portfolio_risk(df: DataFrame) -> DataFrame:
     """Concentration (top category share > 60 High, > 40 Medium),
     quality (share below 5: > 40 High, > 20 Medium), execution (mean traction
     < 4 High, < 6 Medium)."""
-    top = df.groupBy("category").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_top"))
-    agg = df.agg(F.count(F.lit(1)).alias("_total"), F.count_if(F.col("composite_score") < 5).alias("_low"),
-                 F.avg("traction_strength").alias("_trac"))
-    both = attach_one_row(agg, top)
+    per = df.groupBy("category").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("composite_score") < 5).alias("_l"),
+        F.sum("traction_strength").alias("_ts"), F.count("traction_strength").alias("_tc"))
+    both = per.agg(F.sum("_n").alias("_total"), F.max("_n").alias("_top"), F.sum("_l").alias("_low"),
+                   (F.sum("_ts") / F.sum("_tc")).alias("_trac"))
     conc = F.col("_top") / F.col("_total") * F.lit(100.0)
     low = F.col("_low") / F.col("_total") * F.lit(100.0)
     level = lambda x, hi, mid: F.when(x > hi, "High").when(x > mid, "Medium").otherwise("Low")
@@ -127,8 +134,9 @@ def market_trends(df: DataFrame, k: int = 3) -> DataFrame:
     """Top-3 categories by mean composite and by mean market potential
     (when more than one row), and the five dimension means; long form
     ``(trend, position, name, value)``."""
-    by_cat = df.groupBy("category").agg(F.avg("composite_score").alias("c"), F.avg("market_potential").alias("m"))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    by_cat = df.groupBy("category").agg(F.avg("composite_score").alias("c"), F.avg("market_potential").alias("m"),
+                                        F.count(F.lit(1)).alias("_cnt"))
+    by_cat = by_cat.withColumn("_n", F.sum("_cnt").over(Window.partitionBy())).filter(F.col("_n") > 1)
 
     def topk(col, trend):
         t = by_cat.orderBy(F.col(col).desc(), F.col("category")).limit(k)
@@ -136,7 +144,6 @@ def market_trends(df: DataFrame, k: int = 3) -> DataFrame:
         return t
 
     cats = topk("c", "top_performing_categories").unionByName(topk("m", "highest_market_potential_categories"))
-    cats = attach_one_row(cats, n).filter(F.col("_n") > 1).drop("_n")
     dims = df.agg(*[F.avg(d).alias(d) for d in existing(df, FIVE)]).unpivot([], existing(df, FIVE), "name", "value")
     dims = dims.select(F.lit("dimension_strengths").alias("trend"), "name", "value")
     return cats.unionByName(dims)
