@@ -74,3 +74,22 @@ def results(df: DataFrame, text_col: str = "text", responses: DataFrame | None =
         "competitive_analysis", F.lit(None).cast("double").alias("processing_time"),
         F.current_timestamp().alias("timestamp"), *L.DIMENSIONS, "composite_score",
     )
+
+
+def batch_run_metrics(extracted: DataFrame) -> DataFrame:
+    """Documents processed / failed / total in a run (one row, one
+    pass).  ``extracted`` is the output of :func:`with_extraction`.
+    Per-document wall time is not measured inside a distributed plan; stage
+    timings are in the Spark event log."""
+    ok = F.col("extracted_len") >= L.MIN_TEXT_LENGTH
+    return extracted.agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"),
+                         F.count(F.lit(1)).alias("total"))
+
+
+def collect_results(*frames: DataFrame) -> DataFrame:
+    """L2: gather result rows of several batches into one table; columns
+    missing from a batch are NULL."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

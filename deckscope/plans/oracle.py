@@ -695,3 +695,31 @@ def _ranked_results():
             f"{', '.join(DIMS)}, category, investability_insight, word_count, extraction_method FROM ("
             f"SELECT deck_name, {n('composite_score', 2)} AS composite_score, {rounded}, category, investability_insight, "
             f"word_count, 'text' AS extraction_method FROM ({e}))")
+
+
+@oracle("batch_run_metrics")
+def _batch_run_metrics():
+    ext = f"length({S.strip_ws('coalesce(text, ' + chr(39) * 2 + ')')})"
+    return (f"SELECT count(*) FILTER (WHERE {ext} >= {L.MIN_TEXT_LENGTH}) AS succeeded, "
+            f"count(*) FILTER (WHERE {ext} < {L.MIN_TEXT_LENGTH}) AS failed, count(*) AS total FROM documents")
+
+
+@oracle("result_rows")
+def _result_rows():
+    ext = S.strip_ws("coalesce(text, '')")
+    src = f"SELECT * FROM ({S.decks_cte()}) WHERE length({ext}) >= {L.MIN_TEXT_LENGTH}"
+    return (f"SELECT deck_name, word_count, 'text' AS extraction_method, category, summary, investability_insight, "
+            f"competitive_analysis, {', '.join(DIMS)}, composite_score FROM ({S.enriched_cte(src)})")
+
+
+@oracle("collect_results")
+def _collect_results():
+    def ok(src):
+        ext = S.strip_ws("coalesce(text, '')")
+        return f"SELECT * FROM ({src}) WHERE length({ext}) >= {L.MIN_TEXT_LENGTH}"
+    a = f"SELECT doc_id, deck_name, composite_score, category, NULL::DOUBLE AS readability_score, 'decks' AS batch FROM ({S.enriched_cte(ok(S.decks_cte()))})"
+    lang = S.language_cte(ok(S.documents_cte()))
+    scored = S.scored_cte(ok(S.documents_cte()))
+    b = (f"SELECT s.doc_id, s.deck_name, s.composite_score, NULL::VARCHAR AS category, l.readability_score, "
+         f"'documents' AS batch FROM ({scored}) s JOIN ({lang}) l USING (doc_id)")
+    return f"{a} UNION ALL {b}"

@@ -533,3 +533,28 @@ def ranked_results(spark, sf):
     insight -> ranked summary table (J1 + G1 + K1)."""
     a = analyze(_docs(spark, sf))
     return R.summary_table(a)
+
+
+@register("batch_run_metrics")
+def batch_run_metrics(spark, sf):
+    """I15."""
+    from deckscope.plans.document_plan import batch_run_metrics as _brm
+    return _brm(with_extraction(_docs(spark, sf)))
+
+
+@register("result_rows")
+def result_rows(spark, sf):
+    """The result projection of the per-document plan (without the
+    run-time stamp and timing columns)."""
+    from deckscope.plans.document_plan import results
+    return results(_decks(spark, sf)).drop("timestamp", "processing_time")
+
+
+@register("collect_results")
+def collect_results_q(spark, sf):
+    """L2: two result batches with different columns in one table."""
+    from deckscope.plans.document_plan import collect_results
+    a = analyze(_decks(spark, sf)).select("doc_id", "deck_name", "composite_score", "category")
+    b = analyze(_docs(spark, sf), with_language=True).select("doc_id", "deck_name", "composite_score",
+                                                             "readability_score")
+    return collect_results(a.withColumn("batch", F.lit("decks")), b.withColumn("batch", F.lit("documents")))

@@ -94,3 +94,29 @@ def test_rounding_is_half_even_before_rank(spark):
     out = {r["deck_name"]: (r["composite_score"], r["rank"]) for r in summary_table(df).collect()}
     assert out["a"] == (1.12, 2) and out["b"] == (1.12, 2)   # ties share the smallest rank
     assert out["c"] == (2.68, 1)                               # numpy: rint(2.675 * 100) / 100 = 2.68
+
+
+def test_custom_weights_and_lexicons(spark):
+    from deckscope.operators.scoring import validate_weights
+    with pytest.raises(ValueError):
+        validate_weights({"problem_clarity": 1.0})
+    w = {d: 0.0 for d in L.DIMENSIONS}
+    w["vision_moat"] = 1.0
+    t = "Our vision is to transform payment with a proprietary patent and a network effect for everyone"
+    df = sectionize(spark.createDataFrame([(1, t)], "doc_id long, text string"))
+    r = one(score_documents(df, weights=w))
+    assert r["composite_score"] == pytest.approx(r["vision_moat"])
+    custom = one(sectionize(spark.createDataFrame([(1, t)], "doc_id long, text string"),
+                            section_terms={"moat": ["patent"], "other": ["zzz"]}))
+    assert custom["sections"]["moat"].startswith("Our vision") and custom["sections"]["other"] == ""
+
+
+def test_custom_benchmark_table(spark):
+    from deckscope.operators.portfolio import benchmark_comparison
+    bench = spark.createDataFrame([("Gaming", 5.0, 5.0, 5.0, 5.0, 5.0, 5.0)],
+                                  "category string, " + ", ".join(f"b_{c} double" for c in L.BENCHMARK_COLUMNS))
+    df = spark.createDataFrame([("g", "Gaming", 6.5, 6.0, 4.0, 5.0)],
+                               "deck_name string, category string, composite_score double, market_potential double, "
+                               "traction_strength double, team_experience double")
+    r = one(benchmark_comparison(df, bench))
+    assert r["composite_vs_benchmark"] == 1.5 and r["traction_vs_benchmark"] == -1.0
