@@ -83,7 +83,7 @@ def _re_escape(t: str) -> str:
 
 
 def section_texts(sentences: Column, section_terms: dict[str, list[str]],
-                  sentences_lc: Column | None = None) -> dict[str, Column]:
+                  sentences_lc: Column | None = None, text_lc: Column | None = None) -> dict[str, Column]:
     """Per section, concatenation of ``sentence + '. '`` for every kept
     sentence whose lower-cased form contains one of the section's terms.
 
@@ -92,6 +92,10 @@ def section_texts(sentences: Column, section_terms: dict[str, list[str]],
     same split of the lower-cased text as ``sentences_lc`` so each sentence is
     lower-cased once, not once per section.  Membership is one regex
     alternation of the escaped terms per section (a literal substring test).
+
+    With ``text_lc`` (the lower-cased whole text) a section whose terms occur
+    nowhere in the text is '' without visiting its sentences: a term inside a
+    sentence is also inside the text, so the pre-check only skips work.
     """
     def matcher(pattern):
         if sentences_lc is None:
@@ -101,7 +105,14 @@ def section_texts(sentences: Column, section_terms: dict[str, list[str]],
     out = {}
     for name, terms in section_terms.items():
         hit = F.filter(sentences, matcher(terms_regex(terms)))
-        out[name] = F.array_join(F.transform(hit, lambda s: F.concat(s, F.lit(". "))), "")
+        joined = F.array_join(F.transform(hit, lambda s: F.concat(s, F.lit(". "))), "")
+        if text_lc is not None:
+            present = None
+            for t in terms:
+                c = text_lc.contains(F.lit(t))
+                present = c if present is None else present | c
+            joined = F.when(present, joined).otherwise(F.lit(""))
+        out[name] = joined
     return out
 
 
