@@ -124,31 +124,55 @@ def _nonempty(c: Column) -> Column:
 
 # -- the operator ---------------------------------------------------------------------
 
+def parse_responses(responses: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per document with every answer already parsed (short strings):
+    ``_resp_summary`` (<= 4 bullets), ``_resp_category`` (a valid name),
+    ``_resp_insight`` (<= 120 chars), ``_resp_competitive`` (stripped answer).
+    Parsing happens before any join, so only the parsed values move."""
+    kinds = F.col("kind")
+    wide = responses.groupBy(id_col).agg(*[
+        F.max(F.when(kinds == k, _nonempty(F.col("response")))).alias(f"_raw_{k}") for k in RESPONSE_KINDS])
+    return wide.select(
+        id_col,
+        parse_bullets(F.col("_raw_summary")).alias("_resp_summary"),
+        match_category(F.col("_raw_category")).alias("_resp_category"),
+        trim_insight(F.col("_raw_insight")).alias("_resp_insight"),
+        F.col("_raw_competitive").alias("_resp_competitive"))
+
+
+HEAVY_TEXT = ["text", "extracted", "full_text", "sections", "sentences"]
+
+
 def enrich(df: DataFrame, responses: DataFrame | None = None, id_col: str = "doc_id",
-           category_terms: dict | None = None) -> DataFrame:
+           category_terms: dict | None = None, keep_text: bool = True) -> DataFrame:
     """Add ``category``, ``summary``, ``investability_insight`` and
     ``competitive_analysis``.  Needs ``full_text``, ``sections`` and
-    ``composite_score``."""
+    ``composite_score``.
+
+    Every text-derived input (rule category, summary fallback, length
+    guards) is computed first, in the narrow per-document projection.  With
+    a ``responses`` table, the answers are parsed on their own side and then
+    joined by ``id_col``; pass ``keep_text=False`` to drop the heavy text
+    columns before that join so only short per-document rows are shuffled."""
     n = F.length(F.coalesce(F.col("full_text"), F.lit("")))
     out = with_rule_category(df, "_rule_category", "full_text", category_terms)
     out = out.withColumns({
         "_fallback_summary": F.when(n < 100, F.lit(L.SUMMARY_SHORT)).otherwise(fallback_summary(F.col("sections"))),
         "_len_full": n,
     })
+    if not keep_text:
+        out = out.drop(*[c for c in HEAVY_TEXT if c in out.columns])
     if responses is not None:
-        kinds = F.col("kind")
-        wide = responses.groupBy(id_col).agg(*[
-            F.max(F.when(kinds == k, _nonempty(F.col("response")))).alias(f"_resp_{k}") for k in RESPONSE_KINDS])
-        out = out.join(wide, id_col, "left")
+        out = out.join(parse_responses(responses, id_col), id_col, "left")
     else:
         out = out.withColumns({f"_resp_{k}": F.lit(None).cast("string") for k in RESPONSE_KINDS})
     long_enough = F.col("_len_full") >= 100
     out = out.withColumn("category", F.when(F.col("_len_full") < 50, F.lit("Other")).otherwise(
-        F.coalesce(match_category(F.col("_resp_category")), F.col("_rule_category"))))
+        F.coalesce(F.col("_resp_category"), F.col("_rule_category"))))
     out = out.withColumns({
         "summary": F.when(~long_enough, F.lit(L.SUMMARY_SHORT)).otherwise(
-            F.coalesce(parse_bullets(F.col("_resp_summary")), F.col("_fallback_summary"))),
-        "investability_insight": F.coalesce(trim_insight(F.col("_resp_insight")),
+            F.coalesce(F.col("_resp_summary"), F.col("_fallback_summary"))),
+        "investability_insight": F.coalesce(F.col("_resp_insight"),
                                             fallback_insight(F.col("composite_score"), F.col("category"))),
         "competitive_analysis": F.when(~long_enough, F.lit(L.COMPETITIVE_SHORT)).otherwise(
             F.coalesce(F.col("_resp_competitive"), F.lit(L.COMPETITIVE_MISSING))),

@@ -48,18 +48,24 @@ def route_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def analyze(df: DataFrame, text_col: str = "text", responses: DataFrame | None = None,
-            with_language: bool = False, weights: dict | None = None) -> DataFrame:
+            with_language: bool = False, weights: dict | None = None, keep_text: bool | None = None) -> DataFrame:
     """Full per-document analysis of the rows that pass the length check.
 
     Keeps the input columns, adds ``full_text``, ``word_count``, ``sections``,
     the scores, ``category``, ``summary``, ``investability_insight``,
-    ``competitive_analysis`` and (optionally) the language metrics."""
+    ``competitive_analysis`` and (optionally) the language metrics.
+
+    ``keep_text`` (default: True without responses, False with them) keeps
+    the text columns; with a responses table they are dropped before the
+    join so the shuffle carries only short per-document rows."""
+    if keep_text is None:
+        keep_text = responses is None
     ok, _ = route_errors(with_extraction(df, text_col))
-    out = sectionize(ok, "extracted")
+    out = sectionize(ok.drop("extracted_len"), "extracted")
     out = score_documents(out, weights=weights, keep_internal=True)
     if with_language:
         out = language_metrics(out)
-    out = enrich(out, responses)
+    out = enrich(out, responses, keep_text=keep_text)
     return drop_internal(out)
 
 

@@ -391,7 +391,7 @@ def improvement_advice(spark, sf):
 @register("enrich_with_responses")
 def enrich_with_responses(spark, sf):
     """E2-E4, E10, E11 with model answers (a responses table)."""
-    e = EN.enrich(_scored(spark, sf), FX.responses(spark, sf))
+    e = EN.enrich(_scored(spark, sf), FX.responses(spark, sf), keep_text=False)
     return e.select("doc_id", "category", "summary", "investability_insight", "competitive_analysis")
 
 
