@@ -112,7 +112,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(
         F.col("o_orderkey").alias("analysis_id"),
         *[c for c in port.columns],
-        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("timestamp"),   # wall-clock time, no zone shift
         F.to_date("o_orderdate").alias("analysis_date"),
     )
 
