@@ -108,8 +108,7 @@ def fit_success_model(df: DataFrame, key: str = "deck_name", num_trees: int = 10
         return None
     pipe, cols = feature_pipeline(data)
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
-                               featureSubsetStrategy="all", seed=seed, maxMemoryInMB=2048,
-                               cacheNodeIds=True)
+                               featureSubsetStrategy="all", seed=seed, cacheNodeIds=True)
     model = Pipeline(stages=pipe.getStages() + [rf]).fit(train)
     train.unpersist()
     return SuccessModel(model, cols, train, test)
