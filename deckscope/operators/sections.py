@@ -43,20 +43,19 @@ def explode_sentences(df: DataFrame, text_col: str = "full_text", id_col: str =
 
 
 def sentence_sections(df: DataFrame, section_terms: dict | None = None, id_col: str = "doc_id") -> DataFrame:
-    """H6 relational form: (document, sentence position, section) for every
-    sentence that contains a term of the section.
+    """H6 relational form: one row (document, sentence position, section)
+    for every sentence that contains a term of the section.
 
-    The lexicon is a fixed-size table, so it is broadcast; the join condition
-    is a substring test (theta join), evaluated as a broadcast nested loop
-    with the sentences streaming through.  Use ``sectionize`` for the
-    no-join array form; both give the same membership.
-    """
+    Each exploded sentence carries the list of sections it matches (one
+    regex alternation per section over the lower-cased sentence), which is
+    exploded again: no join, and no row is made for a non-matching
+    (sentence, term) pair.  ``sectionize`` gives the same membership as
+    concatenated section texts."""
     terms = section_terms or L.SECTION_TERMS
-    spark = df.sparkSession
-    lex = spark.createDataFrame([(s, t) for s, ts in terms.items() for t in ts], "section string, term string")
     sents = explode_sentences(df, id_col=id_col).withColumn("_lc", F.lower("sentence"))
-    hits = sents.join(F.broadcast(lex), F.col("_lc").contains(F.col("term")), "inner")
-    return hits.select(id_col, "pos", "section").distinct()
+    matched = F.filter(F.array(*[F.when(F.col("_lc").rlike(T.terms_regex(ts)), F.lit(name))
+                                 for name, ts in terms.items()]), lambda x: x.isNotNull())
+    return sents.select(id_col, "pos", F.explode(matched).alias("section"))
 
 
 def lexicon_from_table(df: DataFrame, group_col: str = "section", term_col: str = "term") -> dict[str, list[str]]:

@@ -42,16 +42,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there and it is used as is.  Only when it
     is unset (local runs and tests) do we create one under the local temp dir.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no driver context (e.g. a remote session)
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None and hasattr(sc, "getCheckpointDir") else None
     if d:
         return d
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="deckscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if sc is not None:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir() or conf_dir
+    return conf_dir
 
 
 def default_parallelism(spark: SparkSession) -> int:

@@ -25,7 +25,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     """Repartition only when the scan gives fewer partitions than cores."""
-    target = default_parallelism(df.sparkSession) * per_core
-    if df.rdd.getNumPartitions() < default_parallelism(df.sparkSession):
-        return df.repartition(target)
-    return df
+    cores = default_parallelism(df.sparkSession)
+    try:
+        n = df.rdd.getNumPartitions()     # planning only, no job
+    except Exception:  # noqa: BLE001 - sessions without RDD access: keep the scan partitions
+        return df
+    return df.repartition(cores * per_core) if n < cores else df

@@ -36,3 +36,16 @@ def test_portfolio_aggregates_have_no_cross_join(spark):
     for df in (P.portfolio_risk(pf), P.category_distribution(pf), P.market_trends(pf)):
         plan = _plan(df)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_registered_query_plans_a_cross_or_nested_loop_join(spark):
+    import __spark_entry__ as E
+
+    bad = {}
+    for name, fn in E.queries().items():
+        if name.startswith("ml_"):
+            continue
+        plan = _plan(fn(spark, SF_SMALL))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan or "BatchEvalPython" in plan:
+            bad[name] = plan[:300]
+    assert not bad, bad
