@@ -15,11 +15,20 @@ from pyspark.sql import functions as F
 
 
 
-def distinct_hits(text_lc: Column, terms) -> Column:
+def _sql_str(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def distinct_hits(text_lc, terms) -> Column:
     """Number of terms that occur at least once in ``text_lc``.
 
     Written as a sum of ``contains`` tests (not a lambda over an array) so it
-    compiles into the generated code of the projection."""
+    compiles into the generated code of the projection.  When ``text_lc`` is
+    a column name the sum is handed to Spark as one SQL text."""
+    if isinstance(text_lc, str):
+        c = f"`{text_lc}`"
+        return F.expr("(" + " + ".join(f"(CASE WHEN contains({c}, {_sql_str(t)}) THEN 1 ELSE 0 END)"
+                                       for t in terms) + ")")
     total = None
     for t in terms:
         x = F.when(text_lc.contains(F.lit(t)), F.lit(1)).otherwise(F.lit(0))
@@ -27,7 +36,7 @@ def distinct_hits(text_lc: Column, terms) -> Column:
     return total
 
 
-def lexicon_hits(text_lc: Column, terms, weight: float, cap: float) -> Column:
+def lexicon_hits(text_lc, terms, weight: float, cap: float) -> Column:
     """``min(#terms present * weight, cap)`` as double."""
     return F.least(distinct_hits(text_lc, terms) * F.lit(float(weight)), F.lit(float(cap)))
 
@@ -59,7 +68,13 @@ def occurrences(text_lc: Column, term: str) -> Column:
     return F.floor((F.length(text_lc) - removed) / F.lit(len(term))).cast("long")
 
 
-def total_occurrences(text_lc: Column, terms) -> Column:
+def total_occurrences(text_lc, terms) -> Column:
+    """Sum of :func:`occurrences` over the terms (one SQL text for a column name)."""
+    if isinstance(text_lc, str):
+        c = f"`{text_lc}`"
+        parts = [f"CAST(floor((length({c}) - length(replace({c}, {_sql_str(t)}, ''))) / {len(t)}) AS BIGINT)"
+                 for t in terms]
+        return F.expr("(" + " + ".join(parts) + ")")
     total = None
     for t in terms:
         n = occurrences(text_lc, t)

@@ -68,38 +68,62 @@ def token_key(t: Column) -> Column:
     return F.when(F.length(stripped) <= 2, t).otherwise(stripped)
 
 
-def valences(toks: Column, lex: SentimentLexicon = DEFAULT_LEXICON) -> Column:
+def sql_str(x: str) -> str:
+    """Spark SQL string literal (backslash and quote escaped)."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_num(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _key_sql(t: str) -> str:
+    p = sql_str(PUNCTUATION)
+    return f"(CASE WHEN length(btrim({t}, {p})) <= 2 THEN {t} ELSE btrim({t}, {p}) END)"
+
+
+def valences_sql(toks: str, lex: SentimentLexicon = DEFAULT_LEXICON) -> str:
+    """Spark SQL text of :func:`valences` over the token-array column ``toks``."""
+    words = ", ".join(sql_str(w) for w, _ in lex.entries)
+    lexmap = "map(" + ", ".join(f"{sql_str(w)}, {sql_num(v)}" for w, v in lex.entries) + ")"
+    up = ", ".join(sql_str(w) for w in lex.boosters_up)
+    down = ", ".join(sql_str(w) for w in lex.boosters_down)
+    neg = ", ".join(sql_str(w) for w in lex.negators)
+
+    def prev(d):
+        return f"(CASE WHEN i >= {d} THEN {_key_sql(f'element_at({toks}, i - {d} + 1)')} END)"
+
+    def boost(d):
+        w = prev(d)
+        return (f"(CASE WHEN {w} IN ({up}) THEN {sql_num(lex.booster_step)} WHEN {w} IN ({down}) "
+                f"THEN {sql_num(-lex.booster_step)} ELSE 0.0D END)")
+
+    def negate(d):
+        return f"(CASE WHEN {prev(d)} IN ({neg}) THEN {sql_num(lex.negation_scalar)} ELSE 1.0D END)"
+
+    k = _key_sql("t")
+    v0 = f"try_element_at({lexmap}, {k})"
+    sign = f"(CASE WHEN {v0} < 0 THEN -1.0D ELSE 1.0D END)"
+    v = v0
+    for d in (1, 2, 3):
+        v = f"({v} + (({boost(d)} * {sign}) * {sql_num(lex.booster_decay[d - 1])}))"
+    for d in (1, 2, 3):
+        v = f"({v} * {negate(d)})"
+    return f"filter(transform({toks}, (t, i) -> CASE WHEN {k} IN ({words}) THEN {v} ELSE 0.0D END), v -> v != 0)"
+
+
+def valences(toks, lex: SentimentLexicon = DEFAULT_LEXICON) -> Column:
     """Array of the non-zero final valences of the tokens, in token order.
 
-    One pass over the tokens: a hash-set probe per token; look-back to the 3
-    previous tokens and the valence map lookup only run for lexicon hits.
-    """
-    words = [w for w, _ in lex.entries]
-    lexmap = F.create_map(*[x for w, v in lex.entries for x in (F.lit(w), F.lit(float(v)))])
-
-    def prev(i, d):
-        return F.when(i >= d, token_key(F.element_at(toks, i - d + 1)))
-
-    def boost(w):
-        return (F.when(w.isin(list(lex.boosters_up)), F.lit(lex.booster_step))
-                .when(w.isin(list(lex.boosters_down)), F.lit(-lex.booster_step))
-                .otherwise(F.lit(0.0)))
-
-    def negate(w):
-        return F.when(w.isin(list(lex.negators)), F.lit(lex.negation_scalar)).otherwise(F.lit(1.0))
-
-    def value(t, i):
-        k = token_key(t)
-        v0 = F.try_element_at(lexmap, k)
-        sign = F.when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        v = v0
-        for d in (1, 2, 3):
-            v = v + boost(prev(i, d)) * sign * F.lit(lex.booster_decay[d - 1])
-        for d in (1, 2, 3):
-            v = v * negate(prev(i, d))
-        return F.when(k.isin(words), v).otherwise(F.lit(0.0))
-
-    return F.filter(F.transform(toks, value), lambda v: v != 0)
+    ``toks`` is the name of a token-array column (see :func:`tokens`).  One
+    pass over the tokens: a hash-set probe per token (``IN`` over literals
+    becomes ``InSet``); the look-back to the 3 previous tokens and the
+    valence lookup only run for lexicon hits.  The expression is handed to
+    Spark as one SQL text (one parse on the JVM instead of hundreds of
+    literal objects built one by one)."""
+    if not isinstance(toks, str):
+        raise TypeError("valences() takes the name of a token-array column")
+    return F.expr(valences_sql(f"`{toks}`", lex))
 
 
 def scores(vals: Column, n_tokens: Column, lex: SentimentLexicon = DEFAULT_LEXICON) -> Column:

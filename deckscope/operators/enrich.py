@@ -52,7 +52,7 @@ def with_rule_category(df: DataFrame, out_col: str = "_rule_category", text_col:
     terms = category_terms or L.CATEGORY_TERMS
     names = [f"_cs_{i}" for i in range(len(terms))]
     out = df.withColumn("_cs_lc", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.withColumns({n: LX.distinct_hits(F.col("_cs_lc"), ts) for n, ts in zip(names, terms.values())})
+    out = out.withColumns({n: LX.distinct_hits("_cs_lc", ts) for n, ts in zip(names, terms.values())})
     out = out.withColumn("_cs_best", F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0]))
     pick = F.when(F.col("_cs_best") == 0, F.lit("Other"))
     for n, c in zip(names, terms):

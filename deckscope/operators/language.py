@@ -54,9 +54,9 @@ def language_metrics(df: DataFrame, sentiment_sections: list[str] | None = None)
     }
     cols.update({
         "confidence_score": F.when(short, F.lit(0.0)).otherwise(
-            LX.total_occurrences(F.col("_lw_lc"), L.CONFIDENCE_DENSITY_TERMS) / n_words * F.lit(1000.0)),
+            LX.total_occurrences("_lw_lc", L.CONFIDENCE_DENSITY_TERMS) / n_words * F.lit(1000.0)),
         "tech_sophistication": F.when(short, F.lit(0.0)).otherwise(
-            LX.total_occurrences(F.col("_lw_lc"), L.TECH_DENSITY_TERMS) / n_words * F.lit(1000.0)),
+            LX.total_occurrences("_lw_lc", L.TECH_DENSITY_TERMS) / n_words * F.lit(1000.0)),
         "vocabulary_diversity": F.when(short | (n_words == 0), F.lit(0.0)).otherwise(
             F.size(F.array_distinct("_lw_words")) / n_words),
         "avg_sentence_length": F.when(short | (n_sents == 0), F.lit(0.0)).otherwise(sent_words / n_sents),

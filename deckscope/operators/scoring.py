@@ -37,7 +37,7 @@ def add_sentiments(df: DataFrame, sources: list[str], lex: S.SentimentLexicon =
         return df
     col = lambda s: F.col("full_text") if s == "full_text" else F.col(f"sections.{s}")
     out = df.withColumns({f"_tok_{s}": S.tokens(col(s)) for s in todo})
-    out = out.withColumns({f"_val_{s}": S.valences(F.col(f"_tok_{s}"), lex) for s in todo})
+    out = out.withColumns({f"_val_{s}": S.valences(f"_tok_{s}", lex) for s in todo})
     out = out.withColumns({_sent_name(s): S.scores(F.col(f"_val_{s}"), F.size(F.col(f"_tok_{s}")), lex)
                            for s in todo})
     return out.drop(*[f"_tok_{s}" for s in todo], *[f"_val_{s}" for s in todo])
@@ -48,7 +48,7 @@ def _component(spec: dict, comp: dict) -> Column:
     lc = F.col(_lc_name(src))
     kind = comp["kind"]
     if kind == "terms":
-        return LX.lexicon_hits(lc, comp["terms"], comp["weight"], comp["cap"])
+        return LX.lexicon_hits(_lc_name(src), comp["terms"], comp["weight"], comp["cap"])
     text = lc if comp.get("case") == "lower" else _source(spec)
     if kind == "regex":
         return LX.regex_hits(text, comp["patterns"], comp["weight"], comp["cap"])

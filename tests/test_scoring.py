@@ -22,7 +22,7 @@ def _score(spark, text):
 
 def _sent(spark, text):
     df = spark.createDataFrame([(text,)], "t string").withColumn("k", S.tokens(F.col("t")))
-    df = df.withColumn("v", S.valences(F.col("k")))
+    df = df.withColumn("v", S.valences("k"))
     return one(df.select(S.scores(F.col("v"), F.size("k")).alias("s"), "v"))
 
 
