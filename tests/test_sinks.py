@@ -66,3 +66,15 @@ def test_assemble_pages_order_and_skip_empty(spark):
     assert got == {1: "first\nsecond", 2: ""}
     skip = {r["doc_id"]: r["text"] for r in assemble_pages(pages, skip_empty=True).collect()}
     assert skip == {1: "first\nsecond"}
+
+
+def test_per_document_csv_and_predictions_export(spark):
+    d = tempfile.mkdtemp(prefix="deckscope-perdoc-")
+    pf = FX.portfolio(spark, SF_SMALL).limit(3)
+    SK.write_result_per_document(pf.select("deck_name", "composite_score", "category"), os.path.join(d, "docs"))
+    dirs = sorted(x for x in os.listdir(os.path.join(d, "docs")) if x.startswith("deck_name="))
+    assert len(dirs) == 3
+    pred = pf.withColumn("success_probability", F.lit(0.5))
+    SK.export_predictions(pred, os.path.join(d, "pred"))
+    back = spark.read.option("header", True).csv(os.path.join(d, "pred"))
+    assert back.columns == ["deck_name", "composite_score", "success_probability", "category"] and back.count() == 3

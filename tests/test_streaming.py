@@ -44,3 +44,19 @@ def test_binary_watch_matches_pdf_any_case(spark):
     q.awaitTermination(120)
     names = sorted(r["deck_name"] for r in spark.sql("SELECT deck_name FROM bin_watch").collect())
     assert names == ["a", "b.PDF"]     # '.pdf' removed only in lower case
+
+
+def test_stream_isolates_short_documents_as_errors(spark):
+    root = tempfile.mkdtemp(prefix="deckscope-err-")
+    inbox, out, ckpt = (os.path.join(root, x) for x in ("in", "out", "ckpt"))
+    rows = [(1, "deck_1", "Our team built a product for this market challenge today and it works well."),
+            (2, "deck_2", "too short"), (3, "deck_3", None)]
+    df = spark.createDataFrame(rows, "doc_id long, deck_name string, text string")
+    df.coalesce(1).write.parquet(inbox)
+    q = start_scoring(spark, inbox, out, ckpt, df.schema)
+    q.awaitTermination(300)
+    ok = [r["doc_id"] for r in spark.read.parquet(os.path.join(out, "results")).collect()]
+    err = sorted((r["doc_id"], r["error"]) for r in spark.read.parquet(os.path.join(out, "errors")).collect())
+    assert ok == [1]
+    assert err == [(2, "Could not extract sufficient text (got 9 chars, need 50+)"),
+                   (3, "Could not extract sufficient text (got 0 chars, need 50+)")]
