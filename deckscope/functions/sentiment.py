@@ -56,9 +56,14 @@ class SentimentLexicon:
 DEFAULT_LEXICON = SentimentLexicon()
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased whitespace tokens of ``text`` (punctuation not yet stripped)."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{WS_CLASS}+"), lambda t: t != "")
+def tokens(text: Column, cleaned: bool = False) -> Column:
+    """Lower-cased whitespace tokens of ``text`` (punctuation not yet stripped).
+
+    ``cleaned=True`` for output of ``clean_text`` (and sections built from
+    it), whose only whitespace is the plain space: a split on ' ' then gives
+    the same tokens without a regex."""
+    sep = " " if cleaned else f"{WS_CLASS}+"
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), sep), lambda t: t != "")
 
 
 def token_key(t: Column) -> Column:

@@ -36,7 +36,7 @@ def add_sentiments(df: DataFrame, sources: list[str], lex: S.SentimentLexicon =
     if not todo:
         return df
     col = lambda s: F.col("full_text") if s == "full_text" else F.col(f"sections.{s}")
-    out = df.withColumns({f"_tok_{s}": S.tokens(col(s)) for s in todo})
+    out = df.withColumns({f"_tok_{s}": S.tokens(col(s), cleaned=True) for s in todo})
     out = out.withColumns({f"_val_{s}": S.valences(f"_tok_{s}", lex) for s in todo})
     out = out.withColumns({_sent_name(s): S.scores(F.col(f"_val_{s}"), F.size(F.col(f"_tok_{s}")), lex)
                            for s in todo})
