@@ -37,7 +37,7 @@ def with_extraction(df: DataFrame, text_col: str = "text", method: str = "text")
 
 
 def route_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ok rows, error rows).  Error rows carry the reference message."""
+    """(ok rows, error rows).  Error rows carry the fixed message text."""
     short = F.col("extracted_len") < L.MIN_TEXT_LENGTH
     errors = df.filter(short).select(
         *[c for c in ("doc_id", "deck_name") if c in df.columns],
