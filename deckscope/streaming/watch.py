@@ -66,10 +66,14 @@ def dedupe_documents(stream: DataFrame, key: str = "doc_id", event_time: str | N
 def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str, schema,
                   fmt: str = "parquet", text_col: str = "text", available_now: bool = True,
                   on_result: Callable[[DataFrame, int], None] | None = None,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, per_document_csv: bool = False) -> StreamingQuery:
     """Watch ``input_dir``; per micro batch write scored rows to
     ``output_dir/results`` and too-short documents to ``output_dir/errors``
-    (P5), both partitioned by batch id, then call ``on_result`` (P6)."""
+    (P5), both partitioned by batch id, then call ``on_result`` (P6).
+
+    ``per_document_csv`` also writes one CSV folder per document under
+    ``output_dir/per_document/batch_id=<id>/deck_name=<name>/`` (P4 / A5),
+    replaced as a whole when the batch is retried."""
     stream = watch_table(spark, input_dir, schema, fmt, max_files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -83,6 +87,10 @@ def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoi
          .parquet(f"{output_dir}/results"))
         (errors.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{output_dir}/errors"))
+        if per_document_csv:
+            flat = res.select(*[c for c in res.columns if c not in ("sections",)])
+            (flat.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+             .partitionBy("batch_id", "deck_name").csv(f"{output_dir}/per_document"))
         if on_result is not None:
             on_result(res, batch_id)
 

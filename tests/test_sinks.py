@@ -78,3 +78,18 @@ def test_per_document_csv_and_predictions_export(spark):
     SK.export_predictions(pred, os.path.join(d, "pred"))
     back = spark.read.option("header", True).csv(os.path.join(d, "pred"))
     assert back.columns == ["deck_name", "composite_score", "success_probability", "category"] and back.count() == 3
+
+
+def test_diagnose_files_size_and_encryption(spark):
+    from deckscope.operators.extract import diagnose_files, diagnosis_summary
+    mb = 1024 * 1024
+    files = spark.createDataFrame([("/d/a.pdf", 10 * mb, False), ("/d/big.pdf", 60 * mb, True),
+                                   ("/d/locked.PDF", 1 * mb, True), ("/d/edge.pdf", 50 * mb, False)],
+                                  "path string, length long, encrypted boolean")
+    got = {r["filename"]: (r["status"], r["message"], r["can_process"]) for r in diagnose_files(files).collect()}
+    assert got["a.pdf"] == ("ok", None, True)
+    assert got["big.pdf"] == ("warning", "Large file (60.0MB) - may be slow", True)   # size checked before encryption
+    assert got["locked.PDF"] == ("error", "PDF is password protected", False)
+    assert got["edge.pdf"] == ("ok", None, True)                                       # 50 MB is not above the limit
+    s = diagnosis_summary(diagnose_files(files)).collect()[0]
+    assert (s["processable"], s["total"], s["error"], s["any_processable"]) == (3, 4, 1, True)

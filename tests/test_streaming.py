@@ -60,3 +60,15 @@ def test_stream_isolates_short_documents_as_errors(spark):
     assert ok == [1]
     assert err == [(2, "Could not extract sufficient text (got 9 chars, need 50+)"),
                    (3, "Could not extract sufficient text (got 0 chars, need 50+)")]
+
+
+def test_stream_per_document_csv(spark):
+    root = tempfile.mkdtemp(prefix="deckscope-perdoc-")
+    inbox, out, ckpt = (os.path.join(root, x) for x in ("in", "out", "ckpt"))
+    rows = [(i, f"deck_{i}", "Our team built a product for this market challenge today and it works well.") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, deck_name string, text string")
+    df.coalesce(1).write.parquet(inbox)
+    start_scoring(spark, inbox, out, ckpt, df.schema, per_document_csv=True).awaitTermination(300)
+    batches = [d for d in os.listdir(os.path.join(out, "per_document")) if d.startswith("batch_id=")]
+    decks = os.listdir(os.path.join(out, "per_document", batches[0]))
+    assert sorted(d for d in decks if d.startswith("deck_name=")) == [f"deck_name=deck_{i}" for i in range(3)]
