@@ -63,7 +63,7 @@ def tokens(text: Column, cleaned: bool = False) -> Column:
     it), whose only whitespace is the plain space: a split on ' ' then gives
     the same tokens without a regex."""
     sep = " " if cleaned else f"{WS_CLASS}+"
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), sep), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), sep), "")
 
 
 def token_key(t: Column) -> Column:
@@ -114,7 +114,7 @@ def valences_sql(toks: str, lex: SentimentLexicon = DEFAULT_LEXICON) -> str:
         v = f"({v} + (({boost(d)} * {sign}) * {sql_num(lex.booster_decay[d - 1])}))"
     for d in (1, 2, 3):
         v = f"({v} * {negate(d)})"
-    return f"filter(transform({toks}, (t, i) -> CASE WHEN {k} IN ({words}) THEN {v} ELSE 0.0D END), v -> v != 0)"
+    return f"array_remove(transform({toks}, (t, i) -> CASE WHEN {k} IN ({words}) THEN {v} ELSE 0.0D END), 0.0D)"
 
 
 def valences(toks, lex: SentimentLexicon = DEFAULT_LEXICON) -> Column:

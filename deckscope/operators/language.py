@@ -14,12 +14,13 @@ METRICS = ["confidence_score", "tech_sophistication", "vocabulary_diversity", "a
 
 
 def _words(full: Column) -> Column:
-    return F.filter(F.split(full, " "), lambda w: w != "")
+    """Whitespace tokens of cleaned text (its only whitespace is ' ')."""
+    return F.array_remove(F.split(full, " "), "")
 
 
 def _dot_sentences(full: Column) -> Column:
     """Split on '.' only, strip, drop blanks (the metric's own sentence rule)."""
-    return F.filter(F.transform(F.split(full, r"\."), lambda s: F.trim(s)), lambda s: s != "")
+    return F.array_remove(F.transform(F.split(full, r"\."), lambda s: F.trim(s)), "")
 
 
 def language_metrics(df: DataFrame, sentiment_sections: list[str] | None = None) -> DataFrame:
@@ -40,10 +41,11 @@ def language_metrics(df: DataFrame, sentiment_sections: list[str] | None = None)
     n_words = F.size("_lw_words")
     n_sents = F.size("_lw_sents")
     short = F.length(full) < 50
-    sent_words = F.aggregate(F.transform("_lw_sents", lambda s: F.size(_words(s))), F.lit(0),
-                             lambda a, x: a + x)
-    char_total = F.aggregate(F.transform("_lw_words", lambda w: F.length(w)), F.lit(0).cast("long"),
-                             lambda a, x: a + x)
+    # Cleaned text has only ' ' as whitespace, so: the words of all '.'-pieces
+    # are the non-space runs once '.' is a space, and the characters of all
+    # words are the text's characters minus its spaces (no per-word pass).
+    sent_words = F.regexp_count(F.replace(full, F.lit("."), F.lit(" ")), F.lit(r"[^ ]+"))
+    char_total = F.length(F.replace(full, F.lit(" "), F.lit("")))
     asl = n_words / n_sents
     awl = char_total / n_words
     raw = asl * F.lit(1.015) + awl * F.lit(84.6) - F.lit(206.835)
