@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions import text as T
+from deckscope.operators.ranking import np_round
 
 DIAGNOSIS_PAGES = 3
 TEXT_SAMPLE = 200
@@ -66,7 +67,7 @@ def diagnose_files(files: DataFrame) -> DataFrame:
         "path", T.deck_name_from_path(F.col("path")).alias("deck_name"),
         F.element_at(F.split("path", "/"), -1).alias("filename"), mb.alias("file_size_mb"),
         F.when(large, "warning").when(enc, "error").otherwise("ok").alias("status"),
-        F.when(large, F.format_string("Large file (%.1fMB) - may be slow", mb))
+        F.when(large, F.format_string("Large file (%.1fMB) - may be slow", np_round(mb, 1)))
         .when(enc, F.lit("PDF is password protected")).alias("message"),
         (large | ~enc).alias("can_process"))
 
