@@ -128,16 +128,20 @@ def parse_responses(responses: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document with every answer already parsed (short strings):
     ``_resp_summary`` (<= 4 bullets), ``_resp_category`` (a valid name),
     ``_resp_insight`` (<= 120 chars), ``_resp_competitive`` (stripped answer).
-    Parsing happens before any join, so only the parsed values move."""
-    kinds = F.col("kind")
-    wide = responses.groupBy(id_col).agg(*[
-        F.max(F.when(kinds == k, _nonempty(F.col("response")))).alias(f"_raw_{k}") for k in RESPONSE_KINDS])
-    return wide.select(
+
+    Each answer row is parsed where it is read (narrow), and only the parsed
+    values are grouped by document, so the shuffle carries short strings.
+    With several answers of one kind for a document, the greatest parsed
+    value is kept."""
+    kind = F.col("kind")
+    r = _nonempty(F.col("response"))
+    parsed = responses.select(
         id_col,
-        parse_bullets(F.col("_raw_summary")).alias("_resp_summary"),
-        match_category(F.col("_raw_category")).alias("_resp_category"),
-        trim_insight(F.col("_raw_insight")).alias("_resp_insight"),
-        F.col("_raw_competitive").alias("_resp_competitive"))
+        F.when(kind == "summary", parse_bullets(r)).alias("_resp_summary"),
+        F.when(kind == "category", match_category(r)).alias("_resp_category"),
+        F.when(kind == "insight", trim_insight(r)).alias("_resp_insight"),
+        F.when(kind == "competitive", r).alias("_resp_competitive"))
+    return parsed.groupBy(id_col).agg(*[F.max(f"_resp_{k}").alias(f"_resp_{k}") for k in RESPONSE_KINDS])
 
 
 HEAVY_TEXT = ["text", "extracted", "full_text", "sections", "sentences"]
