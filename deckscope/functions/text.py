@@ -63,15 +63,6 @@ def word_count(c) -> Column:
     return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(r"[^ ]+"))
 
 
-def terms_array(terms) -> Column:
-    return F.array(*[F.lit(t) for t in terms])
-
-
-def contains_any(text_lc: Column, terms) -> Column:
-    """True when any term is a substring of the (already lower-cased) text."""
-    return F.exists(terms_array(terms), lambda k: text_lc.contains(k))
-
-
 def terms_regex(terms) -> str:
     """One alternation of the literal terms: matches iff any term is a substring."""
     return "|".join(_re_escape(t) for t in terms)

@@ -101,7 +101,6 @@ def score_documents(df: DataFrame, specs: list[dict] | None = None, weights: dic
     Input needs ``full_text`` and ``sections`` (see ``sectionize``).
     """
     specs = specs or L.DIMENSION_SPECS
-    srcs = list(dict.fromkeys(s["source"] for s in specs))
     lc = {}
     for s in specs:
         if any(c["kind"] in ("terms",) or c.get("case") == "lower" for c in s["components"]):

@@ -72,3 +72,22 @@ def test_stream_per_document_csv(spark):
     batches = [d for d in os.listdir(os.path.join(out, "per_document")) if d.startswith("batch_id=")]
     decks = os.listdir(os.path.join(out, "per_document", batches[0]))
     assert sorted(d for d in decks if d.startswith("deck_name=")) == [f"deck_name=deck_{i}" for i in range(3)]
+
+
+def test_score_stream_and_watermark_dedupe(spark):
+    import datetime as dt
+
+    from deckscope.streaming.watch import dedupe_documents, score_stream, watch_table
+    root = tempfile.mkdtemp(prefix="deckscope-dedupe-")
+    inbox = os.path.join(root, "in")
+    t = "Our team built a product for this market challenge today and it works well."
+    ts = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, "a", t, ts), (1, "a", t, ts), (2, "b", t, ts)],
+                               "doc_id long, deck_name string, text string, event_time timestamp")
+    df.coalesce(1).write.parquet(inbox)
+    s = dedupe_documents(watch_table(spark, inbox, df.schema), "doc_id", "event_time", "1 hour")
+    q = score_stream(s).select("doc_id", "composite_score").writeStream.format("memory").queryName("dedupe_out") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert sorted(r["doc_id"] for r in spark.sql("SELECT doc_id FROM dedupe_out").collect()) == [1, 2]
+    assert dedupe_documents(df, "doc_id") is df

@@ -69,3 +69,13 @@ def test_deck_name_and_title_case(spark):
     rows = df.select(T.deck_name_from_path(F.col("p")).alias("n"), T.title_case_dim(F.col("d")).alias("t")).collect()
     assert [r["n"] for r in rows] == ["My.Deck", "B.PDF"]
     assert [r["t"] for r in rows] == ["Market Potential", "Vision Moat"]
+
+
+def test_missing_sections_and_select_existing(spark):
+    from deckscope.operators.extract import missing_sections
+    from deckscope.operators.portfolio import select_existing
+    t = "Our team built a product for this market challenge today. Revenue growth was strong this quarter"
+    df = sectionize(spark.createDataFrame([(1, "d1", t)], "doc_id long, deck_name string, text string"))
+    missing = sorted(r["section"] for r in missing_sections(df).collect())
+    assert missing == ["ask", "business_model"]
+    assert select_existing(df, ["word_count", "nope", "deck_name"]).columns == ["word_count", "deck_name"]
