@@ -470,17 +470,33 @@ from deckscope.plans.document_plan import analyze  # noqa: E402
 from deckscope.sources import sinks as SK  # noqa: E402
 
 
+_MODELS: dict = {}
+
+
+def _success_model(spark, sf):
+    """The seeded forest for one session and input folder, fitted once and
+    shared by the ML queries (the fit is deterministic)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        app = None
+    key = (id(spark), app, sf)
+    if key not in _MODELS:
+        _MODELS[key] = ML.fit_success_model(_pf(spark, sf))
+    return _MODELS[key]
+
+
 @register("ml_feature_importance")
 def ml_feature_importance(spark, sf):
     """Importances of the success model, top 10."""
-    m = ML.fit_success_model(_pf(spark, sf))
+    m = _success_model(spark, sf)
     return m.importances(spark).limit(10)
 
 
 @register("ml_model_scores")
 def ml_model_scores(spark, sf):
     """R^2 on train and test rows."""
-    m = ML.fit_success_model(_pf(spark, sf))
+    m = _success_model(spark, sf)
     train_r2, test_r2 = m.r2()
     return spark.createDataFrame([(float(train_r2), float(test_r2), len(m.feature_names))],
                                  "train_r2 double, test_r2 double, n_features int")
@@ -490,7 +506,7 @@ def ml_model_scores(spark, sf):
 def ml_predictions(spark, sf):
     """N8, H5, K9, M9, A8."""
     pf = _pf(spark, sf)
-    m = ML.fit_success_model(pf)
+    m = _success_model(spark, sf)
     return ML.prediction_ranking(m.predict(pf))
 
 
@@ -498,7 +514,7 @@ def ml_predictions(spark, sf):
 def ml_probability_histogram(spark, sf):
     """I13 (20 bins of the success probability)."""
     pf = _pf(spark, sf)
-    m = ML.fit_success_model(pf)
+    m = _success_model(spark, sf)
     return P.histogram(m.predict(pf), ["success_probability"], 20)
 
 
