@@ -96,7 +96,9 @@ def parse_bullets(response: Column) -> Column:
     marked = F.filter(lines, lambda s: s.startswith("•") | s.startswith("-") | s.startswith("*"))
     cleaned = F.transform(marked, lambda s: T.strip_ws(F.regexp_replace(s, r"^[•*\- ]+", "")))
     bullets = F.transform(F.filter(cleaned, lambda s: s != ""), lambda s: F.concat(F.lit("• "), s))
-    return F.when(F.size(bullets) > 0, F.array_join(F.slice(bullets, 1, 4), "\n"))
+    # every bullet starts with '• ', so an empty join means "no bullets" (one
+    # reference to the array: a second one would evaluate the lambdas again)
+    return F.nullif(F.array_join(F.slice(bullets, 1, 4), "\n"), F.lit(""))
 
 
 def match_category(response: Column, categories: list[str] | None = None) -> Column:
