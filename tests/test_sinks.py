@@ -93,3 +93,16 @@ def test_diagnose_files_size_and_encryption(spark):
     assert got["edge.pdf"] == ("ok", None, True)                                       # 50 MB is not above the limit
     s = diagnosis_summary(diagnose_files(files)).collect()[0]
     assert (s["processable"], s["total"], s["error"], s["any_processable"]) == (3, 4, 1, True)
+
+
+def test_portfolio_insights_and_report(spark):
+    from deckscope.plans.portfolio_plan import portfolio_insights, write_report
+    pf = FX.portfolio(spark, SF_SMALL)
+    ins = portfolio_insights(pf)
+    assert set(ins) == {"portfolio_summary", "risk_assessment", "investment_recommendations", "market_trends",
+                        "due_diligence_flags", "benchmark_analysis"}
+    assert ins["portfolio_summary"].collect()[0]["total_analyzed"] == pf.count()
+    d = tempfile.mkdtemp(prefix="deckscope-report-")
+    status = write_report(pf, d, ["ranked_table", "radar_chart", "hierarchy", "executive_summary"])
+    assert status == {"ranked_table": "ok", "radar_chart": "ok", "hierarchy": "ok", "executive_summary": "ok"}
+    assert spark.read.json(os.path.join(d, "ranked_table")).count() == pf.count()
