@@ -106,3 +106,17 @@ def test_portfolio_insights_and_report(spark):
     status = write_report(pf, d, ["ranked_table", "radar_chart", "hierarchy", "executive_summary"])
     assert status == {"ranked_table": "ok", "radar_chart": "ok", "hierarchy": "ok", "executive_summary": "ok"}
     assert spark.read.json(os.path.join(d, "ranked_table")).count() == pf.count()
+
+
+def test_cli_batch(spark):
+    from deckscope.plans.cli import run_batch
+    d = tempfile.mkdtemp(prefix="deckscope-cli-")
+    src = os.path.join(d, "docs")
+    FX.documents(spark, SF_SMALL).write.parquet(src)
+    out = run_batch(spark, src, os.path.join(d, "out"))
+    m = out["metrics"]
+    assert m["total"] == 200 and m["succeeded"] + m["failed"] == 200
+    ranked = spark.read.option("header", True).csv(os.path.join(d, "out", "ranked"))
+    assert ranked.count() == m["succeeded"] and ranked.columns[:3] == ["rank", "deck_name", "composite_score"]
+    assert out["report"]["ranked_table"] == "ok"
+    assert spark.read.parquet(os.path.join(d, "out", "history")).count() == m["succeeded"]
