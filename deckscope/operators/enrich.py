@@ -51,7 +51,10 @@ def with_rule_category(df: DataFrame, out_col: str = "_rule_category", text_col:
     Texts shorter than 50 characters are 'Other'."""
     terms = category_terms or L.CATEGORY_TERMS
     names = [f"_cs_{i}" for i in range(len(terms))]
-    out = df.withColumn("_cs_lc", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    if text_col == "full_text" and "_lc_full_text" in df.columns:
+        out = df.withColumn("_cs_lc", F.coalesce(F.col("_lc_full_text"), F.lit("")))
+    else:
+        out = df.withColumn("_cs_lc", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     out = out.withColumns({n: LX.distinct_hits("_cs_lc", ts) for n, ts in zip(names, terms.values())})
     out = out.withColumn("_cs_best", F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0]))
     pick = F.when(F.col("_cs_best") == 0, F.lit("Other"))
@@ -167,7 +170,7 @@ def enrich(df: DataFrame, responses: DataFrame | None = None, id_col: str = "doc
         "_len_full": n,
     })
     if not keep_text:
-        out = out.drop(*[c for c in HEAVY_TEXT if c in out.columns])
+        out = out.drop(*[c for c in out.columns if c in HEAVY_TEXT or c.startswith("_lc_")])
     if responses is not None:
         out = out.join(parse_responses(responses, id_col), id_col, "left")
     else:

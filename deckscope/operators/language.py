@@ -36,7 +36,7 @@ def language_metrics(df: DataFrame, sentiment_sections: list[str] | None = None)
     out = out.withColumns({
         "_lw_words": _words(full),
         "_lw_sents": _dot_sentences(full),
-        "_lw_lc": F.lower(full),
+        "_lw_lc": F.col("_lc_full_text") if "_lc_full_text" in out.columns else F.lower(full),
     })
     n_words = F.size("_lw_words")
     n_sents = F.size("_lw_sents")

@@ -103,7 +103,8 @@ def score_documents(df: DataFrame, specs: list[dict] | None = None, weights: dic
     specs = specs or L.DIMENSION_SPECS
     lc = {}
     for s in specs:
-        if any(c["kind"] in ("terms",) or c.get("case") == "lower" for c in s["components"]):
+        needs = any(c["kind"] in ("terms",) or c.get("case") == "lower" for c in s["components"])
+        if needs and _lc_name(s["source"]) not in df.columns:
             lc[_lc_name(s["source"])] = F.lower(F.coalesce(_source(s), F.lit("")))
     out = df.withColumns(lc)
     sent_srcs = [s["source"] for s in specs if any(c["kind"] in ("neg", "pos") for c in s["components"])]

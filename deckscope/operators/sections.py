@@ -23,14 +23,18 @@ def sectionize(df: DataFrame, text_col: str = "text", section_terms: dict | None
     """
     terms = section_terms or L.SECTION_TERMS
     out = df.withColumn("full_text", T.clean_text(F.col(text_col)))
-    out = out.withColumns({"_sentences": T.split_sentences(F.col("full_text")), "_full_lc": F.lower("full_text")})
+    out = out.withColumns({"_sentences": T.split_sentences(F.col("full_text")),
+                           "_lc_full_text": F.lower("full_text")})
     out = out.withColumn("_sentences_lc", F.transform("_sentences", lambda s: F.lower(s)))
-    secs = T.section_texts(F.col("_sentences"), terms, F.col("_sentences_lc"), F.col("_full_lc"))
+    secs = T.section_texts(F.col("_sentences"), terms, F.col("_sentences_lc"), F.col("_lc_full_text"))
     out = out.withColumns({
         "word_count": T.word_count(F.col("full_text")).cast("int"),
         "sections": F.struct(*[c.alias(k) for k, c in secs.items()]),
     })
-    out = out.drop("_sentences_lc", "_full_lc")
+    # ``_lc_full_text`` (lower-cased full text) stays as an internal column:
+    # scoring, category and language metrics reuse it instead of lower-casing
+    # the whole text again; ``drop_internal`` removes it at the end.
+    out = out.drop("_sentences_lc")
     if keep_sentences:
         return out.withColumnRenamed("_sentences", "sentences")
     return out.drop("_sentences")

@@ -49,3 +49,17 @@ def test_no_registered_query_plans_a_cross_or_nested_loop_join(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan or "BatchEvalPython" in plan:
             bad[name] = plan[:300]
     assert not bad, bad
+
+
+def test_responses_join_shuffles_no_text(spark):
+    """With answers joined by document, no text column reaches the join."""
+    from deckscope.operators.enrich import enrich
+    from deckscope.operators.scoring import score_documents
+    from deckscope.operators.sections import sectionize
+
+    scored = score_documents(sectionize(FX.decks(spark, SF_SMALL)), keep_internal=True)
+    out = enrich(scored, FX.responses(spark, SF_SMALL), keep_text=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join_part = plan[plan.find("Join"):]
+    assert "full_text" not in join_part.split("Project")[0]
+    assert not any(c in out.columns for c in ("text", "full_text", "sections", "_lc_full_text"))
