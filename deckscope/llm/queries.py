@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_cascade, secret_scan
+from . import line_dedup, quality_cascade, secret_scan, token_files
 from .shared import read_documents
 
 
@@ -17,6 +17,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k[0]) for k in secret_scan.KINDS), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    vocabulary = token_files.vocabulary_text(path or tokenizer_path("word_bpe_49k.json"))
+    blocks, ids = token_files.write_files(read_documents(spark, sf_dir), vocabulary)
+    return token_files.read_documents_ids(blocks, ids, token_files.digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     out = line_dedup.dedup_lines(docs, n_lines="n_lines", n_dropped="n_dropped")
@@ -30,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_token_files, op8_line_dedup, op10_quality_rules)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
