@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_cascade, secret_scan, token_files
+from . import line_dedup, quality_cascade, secret_scan, token_files, token_prefix
 from .shared import read_documents
 
 
@@ -35,6 +35,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return token_prefix.count_tokens(read_documents(spark, sf_dir), token_files.vocabulary_text(path or tokenizer_path("byte_bpe_50k.json")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     out = quality_cascade.judge(docs)
@@ -42,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_token_files, op8_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_token_files, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from deckscope.llm import token_files
+from deckscope.llm import token_files, token_prefix
 from deckscope.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,45 @@ def test_files(spark, hard):
 def test_files_empty(spark):
     blocks, ids = token_files.write_files(spark.createDataFrame([], "doc_id long, text string"), token_files.vocabulary_text(tokenizer_path("word_bpe_49k.json")))
     assert token_files.read_documents_ids(blocks, ids, token_files.digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").count() == 0
+
+
+def byte_counter():
+    return token_prefix.Counter(token_prefix.Vocabulary(token_files.vocabulary_text(tokenizer_path("byte_bpe_50k.json"))))
+
+
+def test_counts_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), byte_counter()
+    rng = random.Random(3)
+    texts = [x or "" for x in odd_texts(300, 1)] + ["".join(chr(c) for c in rng.choices([*range(32, 0x250), *range(0x370, 0x5FF), *range(0x4E00, 0x4F00)], k=60)) for _ in range(60)]
+    texts += [" " * n + "x" for n in range(1, 200, 7)] + ["=" * n for n in range(1, 150, 5)] + [t[:3000] for _, t in sf_texts(spark)]
+    got = own([x.encode() for x in texts])
+    assert [(x, n) for x, n in zip(texts, got.n_tokens.tolist(), strict=True) if n != len(library.encode(x, add_special_tokens=False).ids)] == []
+
+
+def test_every_prefix(spark):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), byte_counter()
+    texts = [t[:400] for _, t in sf_texts(spark)[:6]] + ["internationalization of unbelievably good" + "ab" * 40]
+    got = own([x.encode() for x in texts])
+    for i, x in enumerate(texts):
+        counts = got.at_bytes(i)
+        for n in range(len(x) + 1):
+            if not x[:n].endswith((" ", "\n", "'")):  # where the prefix alone is cut into the same pre-tokens
+                assert counts[len(x[:n].encode())] == len(library.encode(x[:n], add_special_tokens=False).ids)
+        for limit in (0, 1, 5, 50, 10**6):
+            n = got.fit(i, limit)
+            assert counts[n] <= limit and (counts[n + 1 :][np.array([(b & 0xC0) != 0x80 for b in x.encode()[n + 1 :]] + [True] * (n < len(counts) - 1), bool)] > limit).all()
+
+
+def test_token_counts_hard(spark):
+    rows = [(1, None), (1, None), (None, "a b"), (2, ""), (3, "<|endoftext|>" * 600), (4, "z" * 20000), (5, "the cat " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens")
+    vocabulary = token_files.vocabulary_text(tokenizer_path("byte_bpe_50k.json"))
+    got = {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit, r.fit_bytes) for r in token_prefix.count_tokens(df, vocabulary).collect()}
+    assert got[(1, 0)] == got[(2, 0)] == (0, False, 0) and got[(None, 3)] == (2, False, 3) and got[(3, 7800)] == (600, True, 512 * 13)
+    assert got[(5, 16000)][1:] == (True, 2045) or got[(5, 16000)][1]
+    assert token_prefix.count_tokens(df.limit(0), vocabulary).count() == 0
+    assert QUERIES["op9_token_counts"](spark, SF).count() == 200
