@@ -13,8 +13,8 @@ import numpy as np
 
 from .texts import mix
 
-#: Compatible pairs remembered at most.
-REMEMBERED = 2_000_000
+#: Places for remembered pairs, as a power of two; a new pair takes the place of the one before.
+PLACES = 21
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -25,6 +25,20 @@ def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[k] == x, k, -1)
 
 
+class SortedKeys:
+    """``find`` in sorted keys, after a look at a table of bits that most others fail."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.maybe = keys, np.zeros(1 << 21, bool)
+        self.maybe[keys >> np.uint64(43)] = True
+
+    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in x that are keys, index of the key of each)."""
+        at = np.flatnonzero(self.maybe[x >> np.uint64(43)])
+        k = find(self.keys, x[at])
+        return at[k >= 0], k[k >= 0]
+
+
 class Merges:
     """``rank``: of each token's last merge, -1 for single symbols; ``left``, ``right``: what it joined."""
 
@@ -34,7 +48,7 @@ class Merges:
         keys = self.left[made] << 32 | self.right[made]
         order = np.argsort(keys)
         self.pairs, self.pair_rank = keys[order], self.rank[made][order]
-        self.known, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known, self.good = np.full(1 << PLACES, -1, np.int64), np.zeros(1 << PLACES, bool)
 
     def undo(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether no merge before ``limit`` crosses the border of x and y."""
@@ -63,18 +77,18 @@ class Merges:
 
     def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         keys = x.astype(np.int64) << 32 | y
-        k = find(self.known, keys)
-        new = np.unique(keys[k < 0])
+        place = (mix(keys.view(np.uint64)) >> np.uint64(64 - PLACES)).astype(np.int64)
+        good = self.good[place]
+        new = np.flatnonzero(self.known[place] != keys)
         if len(new):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, self.good = self.known[:0], self.good[:0]
-                new = np.unique(keys)
-            good = self.undo(new >> 32, new & 0xFFFFFFFF, np.full(len(new), np.iinfo(np.int64).max))
-            keys_, good_ = np.concatenate([self.known, new]), np.concatenate([self.good, good])
-            order = np.argsort(keys_, kind="stable")
-            self.known, self.good = keys_[order], good_[order]
-            k = find(self.known, keys)
-        return self.good[k]
+            one, inverse = np.unique(keys[new], return_inverse=True)
+            fit = self.undo(one >> 32, one & 0xFFFFFFFF, np.full(len(one), np.iinfo(np.int64).max))[inverse]
+            good[new] = fit
+            self.known[place[new]], self.good[place[new]] = keys[new], fit
+            clash = self.known[place[new]] != keys[new]  # of two in one place the last stays, with its own answer
+            last = np.flatnonzero(~clash)
+            self.good[place[new[last]]] = fit[last]
+        return good
 
 
 def symbol_hash(symbols: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_cascade, secret_scan, token_files, token_prefix
+from . import line_dedup, piece_viterbi, quality_cascade, secret_scan, token_files, token_prefix
 from .shared import read_documents
 
 
@@ -23,6 +23,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def model_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return piece_viterbi.encode_documents(read_documents(spark, sf_dir), model_bytes(path or tokenizer_path("piece_bpe_32k.model")), ids=False)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     vocabulary = token_files.vocabulary_text(path or tokenizer_path("word_bpe_49k.json"))
     blocks, ids = token_files.write_files(read_documents(spark, sf_dir), vocabulary)
@@ -46,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_token_files, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_sentencepiece, op6_token_files, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .bpe_merges import Merges, by_length, find, symbol_hash
+from .bpe_merges import Merges, SortedKeys, by_length, find, symbol_hash
 from .shared import col
 from .texts import _BASE, _INVERSE, _power, hash_of, mix, rolled, slices, texts_of
 
@@ -60,7 +60,7 @@ class Vocabulary:
         self.longest = max(len(b) for b, _ in tokens)
         keys = np.array([hash_of(rolled(symbol_hash(np.frombuffer(b, np.uint8))), np.array([0]), np.array([len(b)]))[0] for b, _ in tokens], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array([i for _, i in tokens], np.int64)[order]
+        self.keys, self.ids = SortedKeys(keys[order]), np.array([i for _, i in tokens], np.int64)[order]
 
 
 class Counter:
@@ -83,11 +83,10 @@ class Counter:
         for j in range(1, length + 1):
             open_ = np.arange(n)
             for i in range(max(0, j - v.longest), j):
-                k = find(v.keys, mix((sums[open_, j] - sums[open_, i]) * inverse[i] + np.uint64(j - i)))
-                hit = np.flatnonzero(k >= 0)
+                hit, k = v.keys.hits(mix((sums[open_, j] - sums[open_, i]) * inverse[i] + np.uint64(j - i)))
                 if not len(hit):
                     continue
-                rows, token = open_[hit], v.ids[k[hit]]
+                rows, token = open_[hit], v.ids[k]
                 if i:
                     fits = v.merges.compatible(last[rows, i], token)
                     rows, token, hit = rows[fits], token[fits], hit[fits]
@@ -103,9 +102,8 @@ class Counter:
         sums, starts, ends, tokens = rolled(symbol_hash(symbols)), [], [], []
         for m in range(1, min(n, v.longest) + 1):
             i = np.arange(n - m + 1)
-            k = find(v.keys, hash_of(sums, i, i + m))
-            hit = k >= 0
-            starts.append(i[hit]), ends.append(i[hit] + m), tokens.append(v.ids[k[hit]])
+            hit, k = v.keys.hits(hash_of(sums, i, i + m))
+            starts.append(i[hit]), ends.append(i[hit] + m), tokens.append(v.ids[k])
         start, end, token = (np.concatenate(x) for x in (starts, ends, tokens))
         order = np.lexsort((start, end))
         last, count, known = [-1] * (n + 1), [0] * (n + 1), {}
@@ -143,17 +141,16 @@ class Counter:
             for p in parts:
                 if p in self.v.special:
                     special.append(len(pieces) + len(found))
-                    found.append(len(p.encode()))
-                elif p.isascii():
-                    found.extend(map(len, PRETOKEN.findall(p)))
+                    found.append(len(p))
                 else:
-                    found.extend(len(w.encode()) for w in PRETOKEN.findall(p))
+                    found.extend(map(len, PRETOKEN.findall(p)))
             data.append(x)
             pieces.extend(found)
             first.append(len(pieces))
         data, size = np.frombuffer(b"".join(data), np.uint8), np.array(pieces, np.int64)
-        end = np.cumsum(size)
-        start = end - size
+        character = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # lengths so far are in code points
+        edge = character[np.concatenate([[0], np.cumsum(size)])]
+        start, end, size = edge[:-1], edge[1:], np.diff(edge)
         h = hash_of(rolled(symbol_hash(data)), start, end)
         is_special = np.zeros(len(size), bool)
         is_special[special] = True

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from deckscope.llm import token_files, token_prefix
+from deckscope.llm import piece_viterbi, token_files, token_prefix
 from deckscope.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +112,29 @@ def test_token_counts_hard(spark):
     assert got[(5, 16000)][1:] == (True, 2045) or got[(5, 16000)][1]
     assert token_prefix.count_tokens(df.limit(0), vocabulary).count() == 0
     assert QUERIES["op9_token_counts"](spark, SF).count() == 200
+
+
+def test_pieces_are_the_librarys(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=path), piece_viterbi.Pieces.load(path)
+    own, decoder = piece_viterbi.Encoder(pieces), piece_viterbi.Decoder(pieces)
+    rng = random.Random(5)
+    texts = [x or "" for x in odd_texts(300, 2)] + ["".join(chr(c) for c in rng.choices([*range(32, 0x250), *range(0x370, 0x5FF), *range(0x4E00, 0x4F00)], k=60)) for _ in range(60)]
+    texts += [" " * n + "x" for n in range(1, 60)] + ["=" * n for n in range(1, 90)] + ["a▁b ▁▁c", "<s> </s> <unk> <0x41>", "▁"] + [t for _, t in sf_texts(spark)]
+    for _ in range(2):  # anew, and from memory
+        ids, begin = own([x.encode() for x in texts])
+        assert [x for i, x in enumerate(texts) if ids[begin[i] : begin[i + 1]].tolist() != library.encode(x)] == []
+    for x, y in zip(texts, decoder(ids, begin), strict=True):
+        assert y.decode() == x.replace("▁", " ")
+
+
+def test_pieces_hard(spark):
+    rows = [(1, None), (1, None), (None, "a b"), (2, ""), (3, "z" * 20000), (4, "the cat " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as ids")
+    model = open(tokenizer_path("piece_bpe_32k.model"), "rb").read()
+    got = piece_viterbi.encode_documents(df, model).collect()
+    assert len(got) == 6 and all(r.round_trip and len(r.ids) == r.n_tokens for r in got)
+    assert piece_viterbi.encode_documents(df.limit(0), model).count() == 0
+    assert QUERIES["op5_sentencepiece"](spark, SF).where("round_trip").count() == 200
