@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, piece_viterbi, quality_cascade, secret_scan, token_files, token_prefix
+from . import line_dedup, ngram_join, piece_viterbi, quality_cascade, secret_scan, token_files, token_prefix
 from .shared import read_documents
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(read_documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read_documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["order"] < len(secret_scan.KINDS))
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_sentencepiece, op6_token_files, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_scan, op5_sentencepiece, op6_token_files, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
