@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, piece_viterbi, quality_cascade, secret_scan, token_files, token_prefix
+from . import html_wrapper, langid, line_dedup, ngram_join, piece_viterbi, quality_cascade, secret_scan, string_tiling, token_files, token_prefix
 from .shared import read_documents
 
 
@@ -13,6 +13,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(read_documents(spark, sf_dir))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read_documents(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read_documents(spark, sf_dir))
     base = F.filter("spans", lambda x: x["order"] < len(secret_scan.KINDS))
@@ -27,6 +31,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~out).select("text", "lang"))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -42,6 +53,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.read_documents_ids(blocks, ids, token_files.digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and test item that contaminates it."""
+    return string_tiling.contaminated_pairs(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     out = line_dedup.dedup_lines(docs, n_lines="n_lines", n_dropped="n_dropped")
@@ -59,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_scan, op5_sentencepiece, op6_token_files, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_secret_scan, op4_language_id, op5_sentencepiece, op6_token_files, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"

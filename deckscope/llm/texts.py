@@ -15,6 +15,8 @@ import pyarrow as pa
 SLICE = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: All of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240229)
@@ -72,12 +74,12 @@ def hash_of(sums: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of texts: ``start``, ``end`` (bytes of ``data``), ``doc``, 64-bit ``hash``; ``first``: of each text, and the end."""
+    """The words of texts, ``[^\\x20\\x09-\\x0D]+`` if no other bytes are said to be between words: ``start``, ``end`` (bytes of ``data``), ``doc``, 64-bit ``hash``; ``first``: of each text, and the end."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, space: np.ndarray = _SPACE):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         inside = np.zeros(len(self.data) + 1, np.int8)
-        inside[1:] = ~_SPACE[self.data]
+        inside[1:] = ~space[self.data]
         turn = np.diff(inside)
         self.start, self.end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
         self.begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
