@@ -13,7 +13,8 @@ merge the shortest ones and to probe the long ones (DivideSkip):
    of the others holds every partner.  They are merged by a shuffle on the key.
    Each list's most central class is compared with the others first; what that
    links needs no further pair.  Lists that still hold several components give
-   the pairs between them.
+   the pairs between them whose sizes, places in the lists' order and hash
+   places leave room for the overlap.
 4. A candidate's remaining lists are probed by binary search in the sorted keys
    of its partner, unless even all of them could not reach the overlap.
 
@@ -39,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import col, shuffle_partitions, stored
-from .texts import Words, distinct_by_doc, shingle_hashes, slices, texts_of
+from .texts import Words, distinct_by_doc, mix, shingle_hashes, slices, texts_of
 
 N, PERCENT = 5, 75
 #: Shingles of a block of documents, at most (a longer document is a block of its own); bits of a key within its bucket.
 BLOCK, BITS = 1 << 20, 40
 BUCKETS_A_PARTITION = 4
+#: Words of 64 hash places that tell most unlike sets apart.
+WIDTH = 4
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -117,7 +120,7 @@ def _shared(table: pa.Table, buckets: int) -> pa.Table:
 
 
 _SHARED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("df", pa.binary())])
-_SETS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("center", pa.int64()), ("keys", pa.binary()), ("short", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("center", pa.int64()), ("gap", pa.int64()), ("keys", pa.binary()), ("short", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
 
 def _sets(table: pa.Table, buckets: int, percent: int) -> pa.Table:
@@ -139,12 +142,15 @@ def _sets(table: pa.Table, buckets: int, percent: int) -> pa.Table:
     doc, key, df = doc[order], key[order], df[order]
     first = np.searchsorted(doc, np.arange(len(n) + 1))
     center = np.bincount(doc, weights=np.log2(df), minlength=len(n)) * 1000 / np.maximum(n, 1)
-    keys, short = [None] * len(n), [None] * len(n)
+    keys, short, bits = [None] * len(n), [None] * len(n), [None] * len(n)
+    flag = np.zeros((len(n), 64 * WIDTH), bool)  # which of that many hash places a set has
+    flag[doc, (mix(key) % np.uint64(64 * WIDTH)).astype(np.int64)] = True
+    flag = np.packbits(flag, axis=1, bitorder="little").view("<i8")
     for i in np.flatnonzero(may):
         k, d = key[first[i] : first[i + 1]], df[first[i] : first[i + 1]]
         keys[i] = k.tobytes()
-        short[i] = k[np.lexsort((k, d))[: len(k) - need[i] + 1]].view(np.int64)
-    columns = [(head["block"] << 20) + np.arange(len(n)), pa.array(ids, pa.int64(), mask=~known), n, found == n, center.astype(np.int64), pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64()))]
+        short[i], bits[i] = k[np.lexsort((k, d))[: len(k) - need[i] + 1]].view(np.int64), flag[i]
+    columns = [(head["block"] << 20) + np.arange(len(n)), pa.array(ids, pa.int64(), mask=~known), n, found == n, center.astype(np.int64), n - found, pa.array(keys, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
     return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_SETS)
 
 
@@ -179,7 +185,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(col(id_col).cast("bigint"), col(text_col)).mapInArrow(lambda x: _blocks(x, n, buckets), "bucket int, block bigint, docs binary, counts binary, keys binary")
     shared = rows.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), "bucket int, block bigint, docs binary, counts binary, keys binary, df binary")
     sets = stored(shared.groupBy("block").applyInArrow(lambda t: _sets(t, buckets, percent),
-                                                       "node bigint, doc_id bigint, n bigint, whole boolean, center bigint, keys binary, short array<bigint>"), "sets")
+                                                       "node bigint, doc_id bigint, n bigint, whole boolean, center bigint, gap bigint, keys binary, short array<bigint>, bits array<bigint>"), "sets")
     some = sets.where(F.col("keys").isNotNull())
     # equal sets are one class; a set with a key of its own has no equal
     sign = [F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2")]
@@ -187,19 +193,27 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = equal.groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.count("*").alias("many"))
     copies = classes.where("many > 1").select("s1", "s2", "rep")
     to_rep = stored(equal.join(copies, ["s1", "s2"]).where("node <> rep").select("node", "rep"), "copies")
-    lists = stored(some.join(to_rep.select("node"), "node", "left_anti").select("node", "n", "center", F.explode("short").alias("key")), "lists")
-    heads = lists.groupBy("key").agg(F.max(F.struct("center", (-F.col("node")).alias("m"), "n")).alias("h"), F.count("*").alias("many")).where("many > 1")
-    fits = lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x)
-    stars = (lists.join(heads.select("key", (-F.col("h.m")).alias("b"), F.col("h.n").alias("n_b")), "key").where((F.col("node") != F.col("b")) & fits(F.col("n"), F.col("n_b")))
-             .select(F.col("node").alias("a"), "b").distinct())
+    lists = stored(some.join(to_rep.select("node"), "node", "left_anti").select("node", "n", "center", "gap", F.posexplode("short").alias("at", "key")).select("node", "n", "center", "key", (F.col("n") - F.col("gap") - F.col("at")).alias("rest")), "lists")
+    # an overlap can begin at a shared list only if both sets go on long enough from there, in the lists' common order
+    room = lambda rest_a, rest_b, n_a, n_b: (100 + percent) * F.least(rest_a, rest_b) >= percent * (F.col(n_a) + F.col(n_b))
+    heads = lists.groupBy("key").agg(F.max(F.struct("center", (-F.col("node")).alias("m"), "n", "rest")).alias("h"), F.count("*").alias("many")).where("many > 1")
+    heads = heads.select("key", (-F.col("h.m")).alias("b"), F.col("h.n").alias("n_b"), F.col("h.rest").alias("rest_b"))
+    stars = lists.join(heads, "key").where((F.col("node") != F.col("b")) & room("rest", "rest_b", "n", "n_b")).select(F.col("node").alias("a"), "b").distinct()
     links = stored(_alike(stars, sets, percent), "star-links")
     comp = stored(components(links), "star-components")
     # what the stars leave: pairs between components that share a short list
-    placed = stored(lists.join(comp, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp")), "placed")
+    placed = stored(lists.join(comp, "node", "left").select("key", "node", "n", "rest", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key")
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "ab")
-    cross = x.join(y, "key").where((F.col("comp_a") < F.col("comp_b")) & fits(F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    left = placed.join(mixed, "key").join(sets.select("node", "bits"), "node")
+    # partners' sizes are in the same band or the next, so bands are part of the key
+    left = left.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent) * 1.000001)).cast("int"))
+    x, y = (left.select("key", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "rest", "comp", "bits"))) for s in "ab")
+    x = x.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(WIDTH)), F.lit(0))
+    both, smaller = F.col("n_a") + F.col("n_b"), (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    # keys that only one set has are at least as many as hash places that only one has
+    may = smaller & (F.col("comp_a") != F.col("comp_b")) & room("rest_a", "rest_b", "n_a", "n_b") & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    cross = x.join(y, ["key", "band"]).where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = stored(_alike(cross, sets, percent), "cross-links")
     whole = stored(components(links.union(more)), "components")
     # back to documents: a class's copies, the smallest id of each component
