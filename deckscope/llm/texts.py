@@ -20,7 +20,7 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
+BYTE_VALUES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -76,7 +76,7 @@ def hash_of(sums: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 class Words:
     """The words of texts, ``[^\\x20\\x09-\\x0D]+`` if no other bytes are said to be between words: ``start``, ``end`` (bytes of ``data``), ``doc``, 64-bit ``hash``; ``first``: of each text, and the end."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True, space: np.ndarray = _SPACE):
+    def __init__(self, texts: list[bytes], lower: bool = True, space: np.ndarray = _SPACE, hashed: bool = True):
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         inside = np.zeros(len(self.data) + 1, np.int8)
         inside[1:] = ~space[self.data]
@@ -85,8 +85,8 @@ class Words:
         self.begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
         self.first = np.searchsorted(self.start, self.begin)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.sums = rolled(_BYTE[_LOWER[self.data] if lower else self.data])
-        self.hash = hash_of(self.sums, self.start, self.end)
+        if hashed:
+            self.hash = hash_of(rolled(BYTE_VALUES[_LOWER[self.data] if lower else self.data]), self.start, self.end)
 
 
 def shingle_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import col, shuffle_partitions, stored
-from .texts import Words, slices, texts_of
+from .texts import BYTE_VALUES, Words, hash_of, rolled, slices, texts_of
 
 END_ID = 1
 #: Distinct pieces a task remembers at most, and ids of a block at most (a longer document is a block of its own).
@@ -83,7 +83,7 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, where each text's begin and the end)."""
-        w = Words(texts, lower=False)
+        w = Words(texts, hashed=False)
         start, end, doc = w.start, w.end, w.doc
         cut = end.copy()
         for _ in range(4):
@@ -96,11 +96,9 @@ class Encoder:
         odd = np.zeros(len(w.data) + 1, np.int64)
         np.cumsum(w.data == ord("<"), out=odd[1:])
         kept = odd[end] > odd[start]
-        from .texts import _BYTE, hash_of, rolled
-
-        h = hash_of(rolled(_BYTE[_FOLD[w.data]]), start, end)
+        h = hash_of(rolled(BYTE_VALUES[_FOLD[w.data]]), start, end)
         if kept.any():
-            h[kept] = hash_of(rolled(_BYTE[w.data]), start[kept], end[kept]) ^ np.uint64(0x5555)
+            h[kept] = hash_of(rolled(BYTE_VALUES[w.data]), start[kept], end[kept]) ^ np.uint64(0x5555)
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hash) + len(u) > REMEMBERED:
             self.forget()
@@ -122,12 +120,17 @@ class Encoder:
 
 
 def pack(ids: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Ids on their way to the files: their four bytes in planes, compressed."""
-    return squeeze.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Ids on their way to the files: the planes of their bytes that are not all zero, compressed."""
+    x = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    planes = max(1, (int(ids.max()).bit_length() + 7) // 8)
+    return squeeze.compress(x[:planes].tobytes())
 
 
-def unpack(packed: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed, max_output_size=4 * n), np.uint8).reshape(4, n).T).view("<u4").reshape(-1)
+def unpack(packed: bytes, n: int, expand: zstandard.ZstdDecompressor) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    planes = np.frombuffer(expand.decompress(packed), np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u4").reshape(-1)
 
 
 # --- the coding -------------------------------------------------------------
@@ -176,17 +179,25 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     return docs.select(col(id_col), col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, packed binary")
 
 
+def _added(total: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    got = np.bincount(np.concatenate(parts), minlength=len(total)) if parts else total
+    got[: len(total)] += total if parts else 0
+    return got
+
+
 def id_counts(encoded: DataFrame) -> DataFrame:
     """``id, n`` over all documents; a task sends one row for each id it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, expand = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
+            parts, size = [], 0
             for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(unpack(packed, n))
-                if len(got) > len(total):
-                    total, got = got, total
-                total[: len(got)] += got
+                parts.append(unpack(packed, n, expand))
+                size += n
+                if size > BLOCK_IDS:
+                    total, parts, size = _added(total, parts), [], 0
+            total = _added(total, parts)
         met = np.flatnonzero(total)
         yield pa.record_batch([pa.array(met, pa.int64()), pa.array(total[met], pa.int64())], ["id", "n"])
 
@@ -212,7 +223,7 @@ def write_blocks(encoded: DataFrame, ids: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0  # before: the shard's ids before the block
-        docs, parts, size = [], [], 0
+        docs, parts, size, expand = [], [], 0, zstandard.ZstdDecompressor()
 
         def flush():
             ranks = shared.value[np.concatenate(parts)]
@@ -229,7 +240,7 @@ def write_blocks(encoded: DataFrame, ids: np.ndarray) -> DataFrame:
                     yield flush()
                     before, docs, parts, size = before + size, [], [], 0
                 docs.append(d)
-                parts.append(unpack(packed, n))
+                parts.append(unpack(packed, n, expand))
                 size += n
         if docs:
             yield flush()
