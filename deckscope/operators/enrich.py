@@ -129,24 +129,30 @@ def _nonempty(c: Column) -> Column:
 
 # -- the operator ---------------------------------------------------------------------
 
-def parse_responses(responses: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def parse_responses(responses: DataFrame, id_col: str = "doc_id", order_col: str | None = None) -> DataFrame:
     """One row per document with every answer already parsed (short strings):
     ``_resp_summary`` (<= 4 bullets), ``_resp_category`` (a valid name),
     ``_resp_insight`` (<= 120 chars), ``_resp_competitive`` (stripped answer).
 
     Each answer row is parsed where it is read (narrow), and only the parsed
     values are grouped by document, so the shuffle carries short strings.
-    With several answers of one kind for a document, the greatest parsed
-    value is kept."""
+    Of several answers of one kind for a document the last by ``order_col``
+    counts; without such a column they are an error, not a silent choice."""
     kind = F.col("kind")
     r = _nonempty(F.col("response"))
     parsed = responses.select(
-        id_col,
+        id_col, *([F.col(order_col).alias("_order")] if order_col is not None else []),
         F.when(kind == "summary", parse_bullets(r)).alias("_resp_summary"),
         F.when(kind == "category", match_category(r)).alias("_resp_category"),
         F.when(kind == "insight", trim_insight(r)).alias("_resp_insight"),
         F.when(kind == "competitive", r).alias("_resp_competitive"))
-    return parsed.groupBy(id_col).agg(*[F.max(f"_resp_{k}").alias(f"_resp_{k}") for k in RESPONSE_KINDS])
+    if order_col is not None:
+        last = [F.max_by(f"_resp_{k}", F.when(F.col(f"_resp_{k}").isNotNull(), F.col("_order"))).alias(f"_resp_{k}") for k in RESPONSE_KINDS]
+        return parsed.groupBy(id_col).agg(*last)
+    twice = lambda k: F.raise_error(F.format_string("several %s answers for one document; give order_col", F.lit(k)))
+    return parsed.groupBy(id_col).agg(*[
+        F.when(F.count(f"_resp_{k}") > 1, twice(k).cast("string")).otherwise(F.max(f"_resp_{k}")).alias(f"_resp_{k}")
+        for k in RESPONSE_KINDS])
 
 
 HEAVY_TEXT = ["text", "extracted", "full_text", "sections", "sentences"]
@@ -219,7 +225,8 @@ def improvement_advice(df: DataFrame, id_col: str = "deck_name") -> DataFrame:
 
 def build_prompts(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, kind, prompt)`` rows for the documents that need a model
-    call (the short-text guards answer the others without one)."""
+    call (the short-text guards answer the others without one).  Prompts hold
+    the whole text; cutting it to a model's window is that job's choice."""
     full = F.coalesce(F.col("full_text"), F.lit(""))
     n = F.length(full)
     cats = ", ".join(L.MODEL_CATEGORIES[:-1])
@@ -229,14 +236,14 @@ def build_prompts(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     score1 = (F.rint(F.col("composite_score") * 10) / 10).cast("string")
     rows = F.array(
         F.struct(F.lit("summary").alias("kind"), F.when(n >= 100, F.format_string(
-            L.PROMPT_SUMMARY, F.substring(full, 1, 3000))).alias("prompt")),
+            L.PROMPT_SUMMARY, full)).alias("prompt")),
         F.struct(F.lit("category").alias("kind"), F.when(n >= 50, F.format_string(
-            L.PROMPT_CATEGORY, F.lit(cats), F.substring(full, 1, 2000))).alias("prompt")),
+            L.PROMPT_CATEGORY, F.lit(cats), full)).alias("prompt")),
         F.struct(F.lit("insight").alias("kind"), F.format_string(
             L.PROMPT_INSIGHT, rule_cat, score1, join_or_none(F.col("strong_areas")),
-            join_or_none(F.col("weak_areas")), F.substring(full, 1, 500)).alias("prompt")),
+            join_or_none(F.col("weak_areas")), full).alias("prompt")),
         F.struct(F.lit("competitive").alias("kind"), F.when(n >= 100, F.format_string(
-            L.PROMPT_COMPETITIVE, F.substring(full, 1, 2000))).alias("prompt")),
+            L.PROMPT_COMPETITIVE, full)).alias("prompt")),
     )
     out = areas.select(id_col, F.inline(rows))
     return out.filter(F.col("prompt").isNotNull())

@@ -15,7 +15,6 @@ from deckscope import lexicons as L
 from deckscope.functions import text as T
 from deckscope.operators.ranking import np_round
 
-DIAGNOSIS_PAGES = 3
 TEXT_SAMPLE = 200
 SECTION_LABELS = [
     ("problem", "Problem Statement"), ("solution", "Solution Description"), ("market", "Market Analysis"),
@@ -25,29 +24,25 @@ SECTION_LABELS = [
 
 
 def diagnose_pages(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """B1 (content part): over the first three pages, the first page whose
-    stripped text is longer than 50 sets ``has_text`` and a 200-char sample
-    and ends the scan; a page with images *before* that stop sets
-    ``has_images``.  Neither -> status 'warning'.
-
-    Only pages 0-2 are read per document (filter before the aggregation), so
-    the grouped state is at most three rows per document."""
-    first = pages.filter(F.col("page_no") < DIAGNOSIS_PAGES).select(
-        id_col, "page_no", "n_images", T.strip_ws(F.coalesce("text", F.lit(""))).alias("_t"))
-    counts = pages.groupBy(id_col).agg(F.count(F.lit(1)).alias("pages"))
-    g = first.groupBy(id_col).agg(
-        F.min(F.when(F.length("_t") > 50, F.col("page_no"))).alias("_stop"),
-        F.min_by(F.when(F.length("_t") > 50, F.col("_t")),
-                 F.when(F.length("_t") > 50, F.col("page_no"))).alias("_sample"),
-        F.collect_list(F.when(F.col("n_images") > 0, F.col("page_no"))).alias("_img_pages"))
+    """B1 (content part): the first page whose stripped text is longer than 50
+    sets ``has_text`` and a 200-char sample and ends the scan; a page with
+    images *before* that stop sets ``has_images``.  Neither -> status
+    'warning'.
+
+    All pages count, in one scan and one aggregate; the state of a document is
+    two page numbers and the sample."""
+    t = T.strip_ws(F.coalesce("text", F.lit("")))
+    p = pages.select(id_col, "page_no", "n_images", F.when(F.length(t) > 50, F.substring(t, 1, TEXT_SAMPLE)).alias("_t"))
+    g = p.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("pages"),
+        F.min(F.when(F.col("_t").isNotNull(), F.col("page_no"))).alias("_stop"),
+        F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("page_no"))).alias("_sample"),
+        F.min(F.when(F.col("n_images") > 0, F.col("page_no"))).alias("_image"))
     has_text = F.col("_stop").isNotNull()
-    stop = F.coalesce(F.col("_stop"), F.lit(DIAGNOSIS_PAGES))
-    has_images = F.exists("_img_pages", lambda p: p < stop)
-    out = counts.join(g, id_col, "left").select(
-        id_col, "pages", F.lit(False).alias("encrypted"), F.coalesce(has_text, F.lit(False)).alias("has_text"),
-        F.coalesce(has_images, F.lit(False)).alias("has_images"),
-        F.when(has_text, F.concat(F.substring("_sample", 1, TEXT_SAMPLE), F.lit("..."))).otherwise(F.lit(""))
-        .alias("text_sample"))
+    has_images = F.coalesce(F.col("_image") < F.col("_stop"), F.col("_image").isNotNull())
+    out = g.select(
+        id_col, "pages", F.lit(False).alias("encrypted"), has_text.alias("has_text"), has_images.alias("has_images"),
+        F.when(has_text, F.concat("_sample", F.lit("..."))).otherwise(F.lit("")).alias("text_sample"))
     ok = F.col("has_text") | F.col("has_images")
     return out.withColumns({
         "status": F.when(ok, F.lit("ok")).otherwise(F.lit("warning")),

@@ -95,7 +95,7 @@ class SuccessModel:
             "prediction", "raw_features", "features", "category_encoded")
 
 
-def fit_success_model(df: DataFrame, key: str = "deck_name", num_trees: int = 100, max_depth: int = 10,
+def fit_success_model(df: DataFrame, key: str = "deck_name", num_trees: int = 100, max_depth: int = 30,
                       seed: int = 42, min_rows: int = 4) -> SuccessModel | None:
     """Random-forest regressor on the soft label (100 trees, all features
     per split, seed 42), fitted on the train rows.  Returns None when there
@@ -108,7 +108,7 @@ def fit_success_model(df: DataFrame, key: str = "deck_name", num_trees: int = 10
         return None
     pipe, cols = feature_pipeline(data)
     rf = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
-                               featureSubsetStrategy="all", seed=seed, cacheNodeIds=True)
+                               featureSubsetStrategy="all", seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)
     model = Pipeline(stages=pipe.getStages() + [rf]).fit(train)
     train.unpersist()
     return SuccessModel(model, cols, train, test)

@@ -62,10 +62,17 @@ def dimension_averages(df: DataFrame) -> DataFrame:
     return wide.unpivot([], dims, "dimension", "average")
 
 
+def _with_category(df: DataFrame) -> DataFrame:
+    """Rows that have a category; a frame without the column has none."""
+    if "category" not in df.columns:
+        df = df.withColumn("category", F.lit(None).cast("string"))
+    return df.filter(F.col("category").isNotNull())
+
+
 def category_distribution(df: DataFrame, k: int = 5) -> DataFrame:
-    """Count and share of the top-k categories (ties: name).  The total
-    is a window sum over the grouped frame (one row per category)."""
-    counts = df.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
+    """Count and share of the top-k categories (ties: name); rows without
+    a category are no group and not in the total.  The total is a window sum over the grouped frame (one row per category)."""
+    counts = _with_category(df).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
     counts = counts.withColumn("_total", F.sum("count").over(Window.partitionBy()))
     top = counts.orderBy(F.col("count").desc(), F.col("category")).limit(k)
     return top.select("category", "count", (F.col("count") / F.col("_total") * F.lit(100.0)).alias("percent"))
@@ -74,6 +81,7 @@ def category_distribution(df: DataFrame, k: int = 5) -> DataFrame:
 def category_stats(df: DataFrame) -> DataFrame:
     """I4: per category mean / exact median / count / sample std of the
     composite and means of problem, market, traction; all rounded to 2."""
+    df = _with_category(df)
     agg = df.groupBy("category").agg(
         F.avg("composite_score").alias("avg_score"), F.count(F.lit(1)).alias("count"),
         F.stddev_samp("composite_score").alias("std_score"), F.avg("problem_clarity").alias("avg_problem"),
@@ -117,10 +125,14 @@ def portfolio_risk(df: DataFrame) -> DataFrame:
     """Concentration (top category share > 60 High, > 40 Medium),
     quality (share below 5: > 40 High, > 20 Medium), execution (mean traction
     < 4 High, < 6 Medium)."""
+    if "category" not in df.columns:
+        df = df.withColumn("category", F.lit(None).cast("string"))
+    if "traction_strength" not in df.columns:
+        df = df.withColumn("traction_strength", F.lit(None).cast("double"))
     per = df.groupBy("category").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("composite_score") < 5).alias("_l"),
         F.sum("traction_strength").alias("_ts"), F.count("traction_strength").alias("_tc"))
-    both = per.agg(F.sum("_n").alias("_total"), F.max("_n").alias("_top"), F.sum("_l").alias("_low"),
+    both = per.agg(F.sum("_n").alias("_total"), F.max(F.when(F.col("category").isNotNull(), F.col("_n"))).alias("_top"), F.sum("_l").alias("_low"),
                    (F.sum("_ts") / F.sum("_tc")).alias("_trac"))
     conc = F.col("_top") / F.col("_total") * F.lit(100.0)
     low = F.col("_low") / F.col("_total") * F.lit(100.0)
@@ -134,7 +146,7 @@ def market_trends(df: DataFrame, k: int = 3) -> DataFrame:
     """Top-3 categories by mean composite and by mean market potential
     (when more than one row), and the five dimension means; long form
     ``(trend, position, name, value)``."""
-    by_cat = df.groupBy("category").agg(F.avg("composite_score").alias("c"), F.avg("market_potential").alias("m"),
+    by_cat = _with_category(df).groupBy("category").agg(F.avg("composite_score").alias("c"), F.avg("market_potential").alias("m"),
                                         F.count(F.lit(1)).alias("_cnt"))
     by_cat = by_cat.withColumn("_n", F.sum("_cnt").over(Window.partitionBy())).filter(F.col("_n") > 1)
 
@@ -219,8 +231,8 @@ def executive_summary(df: DataFrame) -> DataFrame:
     out = agg.select(
         "n_decks", "avg_score", F.col("_top.deck_name").alias("top_deck"), F.col("_top.s").alias("top_score"),
         F.col("_bottom.deck_name").alias("bottom_deck"), F.col("_bottom.s").alias("bottom_score"), "top_category",
-        "high_performers", (F.col("high_performers") / F.col("n_decks") * F.lit(100.0)).alias("high_pct"),
-        "low_performers", (F.col("low_performers") / F.col("n_decks") * F.lit(100.0)).alias("low_pct"),
+        "high_performers", (F.try_divide("high_performers", "n_decks") * F.lit(100.0)).alias("high_pct"),
+        "low_performers", (F.try_divide("low_performers", "n_decks") * F.lit(100.0)).alias("low_pct"),
         "avg_problem_clarity", "avg_market_potential", "avg_traction_strength")
     r = lambda x, d: F.format_string(f"%.{d}f", np_round(x, d))
     text = F.concat(
@@ -234,7 +246,7 @@ def executive_summary(df: DataFrame) -> DataFrame:
         F.lit(".\nAverage problem clarity: "), r("avg_problem_clarity", 1),
         F.lit("/10\nAverage market potential: "), r("avg_market_potential", 1),
         F.lit("/10\nAverage traction strength: "), r("avg_traction_strength", 1), F.lit("/10"))
-    return out.withColumn("summary_text", text)
+    return out.withColumn("summary_text", F.when(F.col("n_decks") == 0, F.lit("No data available for analysis.")).otherwise(text))
 
 
 def batch_summary(df: DataFrame) -> DataFrame:
@@ -367,25 +379,32 @@ def due_diligence_flags(df: DataFrame) -> DataFrame:
 def recommendations(df: DataFrame) -> DataFrame:
     """M6 + H3 + L1 + K6: STRONG_BUY top 3; CONSIDER 6 <= c < 7 with market
     or traction >= 8; WATCH 4 <= c < 6 with team >= 7; each tier without the
-    names of earlier tiers (anti-joins); sorted by priority, score desc."""
+    names of earlier tiers (anti-joins), and in CONSIDER and WATCH one row per
+    name; sorted by priority, score desc."""
     d = with_missing_as_zero(df, ["market_potential", "traction_strength", "team_experience"])
     c = F.col("composite_score")
     cat = F.coalesce(F.col("category"), F.lit("Unknown")) if "category" in df.columns else F.lit("Unknown")
     cat_s = F.coalesce(F.col("category"), F.lit("startup")) if "category" in df.columns else F.lit("startup")
     d = d.withColumns({"_cat": cat, "_cat_s": cat_s})
+    rest = [x for x in ("market_potential", "traction_strength", "team_experience", "_cat", "_cat_s") if x in d.columns]
+
+    def one_per_name(tier: DataFrame) -> DataFrame:  # of a name's rows the best score, then the greatest other values
+        kept = tier.groupBy("deck_name").agg(F.max(F.struct("composite_score", *rest)).alias("_row"))
+        return kept.select("deck_name", "_row.*")
+
     strong = top_k(d, 3).select(
         F.lit("STRONG_BUY").alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
         F.format_string(L.REASON_STRONG_BUY, F.col("_cat_s")).alias("reasoning"), F.lit("HIGH").alias("confidence"),
         F.lit(1).alias("priority"))
     gems = d.filter((c >= 6) & (c < 7) & ((F.col("market_potential") >= 8) | (F.col("traction_strength") >= 8)))
-    gems = gems.join(strong.select(F.col("deck").alias("deck_name")), "deck_name", "left_anti")
+    gems = one_per_name(gems).join(strong.select(F.col("deck").alias("deck_name")), "deck_name", "left_anti")
     area = F.when(F.col("market_potential") >= 8, F.lit("market potential")).otherwise(F.lit("traction"))
     consider = gems.select(
         F.lit("CONSIDER").alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
         F.format_string(L.REASON_CONSIDER, area, F.col("_cat_s")).alias("reasoning"), F.lit("MEDIUM").alias("confidence"),
         F.lit(2).alias("priority"))
     earlier = strong.select("deck").unionByName(consider.select("deck")).withColumnRenamed("deck", "deck_name")
-    watch = d.filter((c >= 4) & (c < 6) & (F.col("team_experience") >= 7)).join(earlier, "deck_name", "left_anti")
+    watch = one_per_name(d.filter((c >= 4) & (c < 6) & (F.col("team_experience") >= 7))).join(earlier, "deck_name", "left_anti")
     watch = watch.select(
         F.lit("WATCH").alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
         F.lit(L.REASON_WATCH).alias("reasoning"), F.lit("LOW").alias("confidence"), F.lit(3).alias("priority"))
@@ -413,16 +432,16 @@ def score_bands(df: DataFrame) -> DataFrame:
         performance_tier(c).alias("performance_tier"),
         landscape_quadrant(F.col("market_potential"), F.col("traction_strength")).alias("quadrant"),
         score_class(c).alias("score_class"),
-        F.when(c < 4, "0-4").when(c < 7, "4-7").otherwise("7-10").alias("gauge_band"),
+        F.when(c < 4, "0-4").when(c < 7, "4-7").when(c >= 7, "7-10").alias("gauge_band"),
         (c - F.lit(7.0)).alias("delta_to_7"),
-        F.least(c * F.lit(10.0), F.lit(100.0)).alias("bar_width"),
-        F.when(c >= 7, "high").when(c >= 5, "medium").otherwise("low").alias("band"),
+        F.when(c.isNotNull(), F.least(c * F.lit(10.0), F.lit(100.0))).alias("bar_width"),
+        F.when(c >= 7, "high").when(c >= 5, "medium").when(c < 5, "low").alias("band"),
     )
 
 
 def probability_band(p: Column) -> Column:
     """M9 (probability gauge): < 30 red, < 70 yellow, else green (p in %)."""
-    return F.when(p < 30, "red").when(p < 70, "yellow").otherwise("green")
+    return F.when(p < 30, "red").when(p < 70, "yellow").when(p >= 70, "green")
 
 
 def filter_history(df: DataFrame, category: str = "All", min_score: float = 0.0) -> DataFrame:

@@ -39,7 +39,7 @@ def rank_desc(df: DataFrame, score_col: str, rank_col: str = "rank") -> DataFram
     """Rank descending, method 'min' (ties share the smallest rank)."""
     counts = df.groupBy(score_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(F.col(score_col).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(score_col, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("int").alias(rank_col))
+    ranks = counts.select(score_col, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("long").alias(rank_col))
     return df.join(ranks, score_col, "left")
 
 

@@ -341,7 +341,7 @@ def _score_bands():
 def _summary_table() -> str:
     n = S.np_round
     rounded = ", ".join(f"{n(d, 2)} AS {d}" for d in DIMS)
-    return (f"SELECT CAST(rank() OVER (ORDER BY composite_score DESC) AS INTEGER) AS rank, deck_name, composite_score, "
+    return (f"SELECT CAST(rank() OVER (ORDER BY composite_score DESC) AS BIGINT) AS rank, deck_name, composite_score, "
             f"{', '.join(DIMS)}, category FROM (SELECT deck_name, {n('composite_score', 2)} AS composite_score, "
             f"{rounded}, category FROM p)")
 
@@ -565,13 +565,13 @@ def _prompts():
     rule = f"(CASE WHEN {n} < 50 THEN 'Other' ELSE {S.classify_sql('full_text')} END)"
     score = f"CAST({S.np_round('composite_score', 1)} AS VARCHAR)"
     base = f"({S.scored_cte(S.decks_cte())})"
-    return (f"SELECT doc_id, 'summary' AS kind, printf({S.q(L.PROMPT_SUMMARY)}, substr({full}, 1, 3000)) AS prompt "
+    return (f"SELECT doc_id, 'summary' AS kind, printf({S.q(L.PROMPT_SUMMARY)}, {full}) AS prompt "
             f"FROM {base} WHERE {n} >= 100 UNION ALL "
-            f"SELECT doc_id, 'category', printf({S.q(L.PROMPT_CATEGORY)}, {S.q(cats)}, substr({full}, 1, 2000)) "
+            f"SELECT doc_id, 'category', printf({S.q(L.PROMPT_CATEGORY)}, {S.q(cats)}, {full}) "
             f"FROM {base} WHERE {n} >= 50 UNION ALL "
             f"SELECT doc_id, 'insight', printf({S.q(L.PROMPT_INSIGHT)}, {rule}, {score}, {none(strong)}, {none(weak)}, "
-            f"substr({full}, 1, 500)) FROM {base} UNION ALL "
-            f"SELECT doc_id, 'competitive', printf({S.q(L.PROMPT_COMPETITIVE)}, substr({full}, 1, 2000)) "
+            f"{full}) FROM {base} UNION ALL "
+            f"SELECT doc_id, 'competitive', printf({S.q(L.PROMPT_COMPETITIVE)}, {full}) "
             f"FROM {base} WHERE {n} >= 100")
 
 
@@ -582,12 +582,12 @@ def _pages() -> str:
 
 def _diagnosis() -> str:
     t = "t"
-    f = f"SELECT doc_id, page_no, n_images, {S.strip_ws('coalesce(text, ' + chr(39) * 2 + ')')} AS t FROM pg WHERE page_no < 3"
+    f = f"SELECT doc_id, page_no, n_images, {S.strip_ws('coalesce(text, ' + chr(39) * 2 + ')')} AS t FROM pg"
     g = (f"SELECT doc_id, min(CASE WHEN length({t}) > 50 THEN page_no END) AS stop, "
          f"arg_min(CASE WHEN length({t}) > 50 THEN {t} END, CASE WHEN length({t}) > 50 THEN page_no END) AS sample, "
          f"list(page_no) FILTER (WHERE n_images > 0) AS imgs FROM f GROUP BY doc_id")
     has_text = "(stop IS NOT NULL)"
-    has_img = "(len(list_filter(coalesce(imgs, []), lambda x: x < coalesce(stop, 3))) > 0)"
+    has_img = "(len(list_filter(coalesce(imgs, []), lambda x: x < coalesce(stop, 2147483647))) > 0)"
     out = (f"SELECT c.doc_id, c.pages, false AS encrypted, coalesce({has_text}, false) AS has_text, "
            f"coalesce({has_img}, false) AS has_images, CASE WHEN {has_text} THEN substr(sample, 1, 200) || '...' ELSE '' END "
            f"AS text_sample FROM (SELECT doc_id, count(*) AS pages FROM pg GROUP BY doc_id) c LEFT JOIN g USING (doc_id)")
@@ -691,7 +691,7 @@ def _ranked_results():
     src = f"SELECT * FROM ({S.documents_cte()}) WHERE length({ext}) >= {L.MIN_TEXT_LENGTH}"
     e = S.enriched_cte(src)
     rounded = ", ".join(f"{n(d, 2)} AS {d}" for d in DIMS)
-    return (f"SELECT CAST(rank() OVER (ORDER BY composite_score DESC) AS INTEGER) AS rank, deck_name, composite_score, "
+    return (f"SELECT CAST(rank() OVER (ORDER BY composite_score DESC) AS BIGINT) AS rank, deck_name, composite_score, "
             f"{', '.join(DIMS)}, category, investability_insight, word_count, extraction_method FROM ("
             f"SELECT deck_name, {n('composite_score', 2)} AS composite_score, {rounded}, category, investability_insight, "
             f"word_count, 'text' AS extraction_method FROM ({e}))")

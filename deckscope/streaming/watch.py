@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -57,32 +59,52 @@ def dedupe_documents(stream: DataFrame, key: str = "doc_id", event_time: str | N
     checkpoint).  For repeated *content* under new paths, de-duplicate by key
     within an event-time watermark, so the state stays bounded by the delay
     instead of growing with the whole corpus.  Without an event-time column
-    nothing is dropped here (unbounded state is not an option at scale)."""
+    there is no such bound: use :func:`drop_written` per micro batch."""
     if event_time is None:
-        return stream
+        raise ValueError("de-duplication in the stream needs an event-time column; use drop_written in foreachBatch")
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def drop_written(batch: DataFrame, results_path: str, batch_id: int, key: str = "doc_id") -> DataFrame:
+    """P2, complete: one row per key of the batch, without keys that an earlier
+    batch has written (anti-join; a retried batch does not see itself).
+    Rows without a key all stay."""
+    spark = batch.sparkSession
+    one = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(batch.where(F.col(key).isNull()))
+    try:
+        seen = spark.read.parquet(results_path)
+    except AnalysisException:  # nothing written so far
+        return one
+    return one.join(seen.where(F.col("batch_id") < batch_id).select(key).distinct(), key, "left_anti")
+
+
 def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str, schema,
                   fmt: str = "parquet", text_col: str = "text", available_now: bool = True,
                   on_result: Callable[[DataFrame, int], None] | None = None,
-                  max_files_per_trigger: int | None = None, per_document_csv: bool = False) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, per_document_csv: bool = False,
+                  unique_key: str | None = None) -> StreamingQuery:
     """Watch ``input_dir``; per micro batch write scored rows to
     ``output_dir/results`` and too-short documents to ``output_dir/errors``
     (P5), both partitioned by batch id, then call ``on_result`` (P6).
 
     ``per_document_csv`` also writes one CSV folder per document under
     ``output_dir/per_document/batch_id=<id>/deck_name=<name>/`` (P4 / A5),
-    replaced as a whole when the batch is retried."""
+    replaced as a whole when the batch is retried.
+
+    ``unique_key``: documents whose key an earlier batch has written are left
+    out.  A batch's scored rows are kept while it is written, so that its
+    results, files and callback share one run of the plan."""
     stream = watch_table(spark, input_dir, schema, fmt, max_files_per_trigger)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        if unique_key is not None:
+            batch = drop_written(batch, f"{output_dir}/results", batch_id, unique_key)
         ext = with_extraction(batch, text_col)
         ok, errors = route_errors(ext)
         scored = analyze(ok.drop("extracted", "extracted_len"), text_col)
         cols = [c for c in scored.columns if c not in ("text", "full_text", "sections", "extracted",
                                                         "extracted_len")]
-        res = scored.select(*cols).withColumn("batch_id", F.lit(batch_id))
+        res = scored.select(*cols).withColumn("batch_id", F.lit(batch_id)).persist(StorageLevel.MEMORY_AND_DISK)
         (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
          .parquet(f"{output_dir}/results"))
         (errors.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
@@ -93,6 +115,7 @@ def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoi
              .partitionBy("batch_id", "deck_name").csv(f"{output_dir}/per_document"))
         if on_result is not None:
             on_result(res, batch_id)
+        res.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

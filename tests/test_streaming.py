@@ -1,3 +1,4 @@
+import pytest
 import os
 import shutil
 import tempfile
@@ -90,4 +91,5 @@ def test_score_stream_and_watermark_dedupe(spark):
         .trigger(availableNow=True).start()
     q.awaitTermination(300)
     assert sorted(r["doc_id"] for r in spark.sql("SELECT doc_id FROM dedupe_out").collect()) == [1, 2]
-    assert dedupe_documents(df, "doc_id") is df
+    with pytest.raises(ValueError):
+        dedupe_documents(df, "doc_id")
