@@ -19,6 +19,7 @@ table gives no block.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -56,27 +57,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for x, i in ids.items() if x.endswith("</w>")]] = True
         self.forget()
 
     def forget(self):
         self.hash, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, pieces: list[str], hashes: np.ndarray):
-        """Joined by spaces, many pieces are one call; a token's offset tells its piece."""
-        counts, ids = np.zeros(len(pieces), np.int64), []
-        groups, at, size = [], 0, 0
-        for i, x in enumerate(pieces):
-            size += len(x) + 1
-            if size > 4000 or i + 1 == len(pieces):
-                groups.append((at, i + 1))
-                at, size = i + 1, 0
-        for (a, b), e in zip(groups, self.tokenizer.encode_batch([" ".join(pieces[a:b]) for a, b in groups], add_special_tokens=False), strict=True):
-            starts = np.cumsum([0] + [len(x) + 1 for x in pieces[a : b - 1]])
-            got = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            counts[a:b] = np.bincount(np.searchsorted(starts, got, "right") - 1, minlength=b - a)
-            ids.append(np.array(e.ids, np.uint32))
-        at = np.cumsum(counts) - counts + len(self.pool)
-        self.pool = np.concatenate([self.pool, *ids])
+        """Joined by spaces, many pieces are one call.  A piece of letters alone ends with the first token that ends a
+        word; of others a token's offset tells its piece."""
+        counts, at, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), len(self.pool)
+        pool, plain = [self.pool], np.fromiter((x.isalpha() if x.isascii() else unicodedata.normalize("NFC", x).lower().isalpha() for x in pieces), bool, len(pieces))
+        for kind in (True, False):
+            of = np.flatnonzero(plain == kind)
+            mine = [pieces[i] for i in of.tolist()]
+            edges = np.flatnonzero(np.diff(np.cumsum([0, *map(len, mine)]) // 4000)) + 1  # some 4000 characters a call
+            edges = np.unique(np.concatenate([[0], edges, [len(mine)]])).tolist()
+            texts = [" ".join(mine[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            if kind:
+                ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+                end = np.flatnonzero(self.ends[ids])
+                if len(end) != len(mine):  # letters to us that are none to the library: all go by offsets
+                    plain[:] = False
+                    continue
+                counts[of] = np.diff(end, prepend=-1)
+            else:
+                got = []
+                for a, b, e in zip(edges, edges[1:], self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=False):
+                    starts = np.cumsum([0] + [len(x) + 1 for x in mine[a : b - 1]])
+                    begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+                    counts[of[a:b]] = np.bincount(np.searchsorted(starts, begin, "right") - 1, minlength=b - a)
+                    got.append(np.array(e.ids, np.uint32))
+                ids = np.concatenate([np.zeros(0, np.uint32), *got])
+            at[of] = size + np.cumsum(counts[of]) - counts[of]
+            size += len(ids)
+            pool.append(ids)
+        self.pool = np.concatenate(pool)
         h = np.concatenate([self.hash, hashes])
         order = np.argsort(h, kind="stable")
         self.hash, self.at, self.n = h[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, counts])[order]
@@ -85,12 +103,15 @@ class Encoder:
         """(ids of all texts with the end id after each, where each text's begin and the end)."""
         w = Words(texts, hashed=False)
         start, end, doc = w.start, w.end, w.doc
-        cut = end.copy()
+        split = np.flatnonzero(_TAIL[w.data[end - 1]] & (end - start > 1))
+        cut, begin = end[split], start[split]
         for _ in range(4):
-            cut = np.where((cut - 1 > start) & _TAIL[w.data[cut - 1]], cut - 1, cut)
-        cut = np.where(_LETTER[w.data[cut - 1]], cut, end) if len(cut) else cut
-        split = np.flatnonzero(cut < end)
-        start, end = np.insert(start, split + 1, cut[split]), np.insert(cut, split + 1, end[split])
+            cut = np.where((cut - 1 > begin) & _TAIL[w.data[cut - 1]], cut - 1, cut)
+        good = _LETTER[w.data[cut - 1]]
+        split, cut = split[good], cut[good]
+        start, last = np.insert(start, split + 1, cut), end[split]
+        end[split] = cut
+        end = np.insert(end, split + 1, last)
         doc = np.insert(doc, split + 1, doc[split])
         # pieces with a special token's first character keep their letters' case
         odd = np.zeros(len(w.data) + 1, np.int64)
