@@ -96,13 +96,14 @@ class SuccessModel:
 
 
 def fit_success_model(df: DataFrame, key: str = "deck_name", num_trees: int = 100, max_depth: int = 30,
-                      seed: int = 42, min_rows: int = 4) -> SuccessModel | None:
+                      seed: int = 42, min_rows: int = 4, max_fit_rows: int = 4000) -> SuccessModel | None:
     """Random-forest regressor on the soft label (100 trees, all features
     per split, seed 42), fitted on the train rows.  Returns None when there
-    are too few rows to split."""
+    are too few rows to split.  At most ``max_fit_rows`` labelled rows, chosen by
+    a hash of the key, are fitted on; predictions cover every row."""
     data = soft_label(derived_features(df), key, seed)
     train, test = split_train_test(data, key, 0.3, seed)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.orderBy(F.xxhash64(key), key).limit(max_fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train.count()
     if n_train < min_rows:
         return None
