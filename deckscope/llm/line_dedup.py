@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .shared import SPACES, col, free_name, lower_ascii, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Bound of the broadcast keys (24 bytes each); a key that is not among them has at most one line in so many.
+HOT_KEYS = 4096
 
 
 def line_keys(text: Column) -> Column:
@@ -44,10 +46,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(
         docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), fp_of.alias("fp"), F.explode(long_keys).alias("k"))
         .select("id", "fp", "k.pos", "k.h1", "k.h2"), "lines")
-    dup = (rows.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))  # one row a document and key, so no key is a hot group
-           .groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
-           .where(F.col("docs") >= min_docs).select("h1", "h2", "keeper"))
-    drop = (rows.join(dup, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
+    dup = stored(
+        rows.groupBy("h1", "h2", "id").agg(F.count("*").alias("lines"))  # one row a document and key, so no key is a hot group
+        .groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines"), F.max("id").alias("keeper"))
+        .where(F.col("docs") >= min_docs), "repeated")
+    # a key of more than one line in HOT_KEYS is hot: there are fewer than HOT_KEYS of them, so they are broadcast, and no key of the shuffle is a large group
+    hot = F.col("lines") * HOT_KEYS > rows.count()
+    hot_keys, other_keys = (F.broadcast(dup.where(hot).select("h1", "h2", "keeper")), dup.where(~hot).select("h1", "h2", "keeper"))
+    met = rows.join(hot_keys, ["h1", "h2"]).unionByName(rows.join(hot_keys.drop("keeper"), ["h1", "h2"], "left_anti").join(other_keys, ["h1", "h2"]))
+    drop = (met.where(F.col("id") != F.col("keeper"))
             .groupBy(F.col("id").alias("drop_id"), F.col("fp").alias("drop_fp")).agg(F.collect_set("pos").alias("drop_pos")))
     drop = drop.select(F.col("drop_id").alias(free_name(docs.columns, "drop_id")), F.col("drop_fp").alias(fp), F.col("drop_pos").alias(gone))
     did = drop.columns[0]
