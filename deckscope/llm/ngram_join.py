@@ -203,8 +203,11 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = stored(components(links), "star-components")
     # what the stars leave: pairs between components that share a short list
     placed = stored(lists.join(comp, "node", "left").select("key", "node", "n", "rest", F.coalesce("comp", "node").alias("comp")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = placed.join(mixed, "key").join(sets.select("node", "bits"), "node")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.col("rest") / F.col("n")).alias("most")).where("lo < hi").select("key", "most")
+    # room for both needs sqrt(share_a * share_b) >= 2 percent / (100 + percent) of what is left of the sets (means of sizes and of rests);
+    # rows that fail even with the list's largest share meet nobody there, so a passage that many unlike sets share gives no pairs to look at
+    shares = F.col("rest") / F.col("n") * F.col("most") >= (2 * percent / (100 + percent)) ** 2 - 1e-9
+    left = placed.join(mixed, "key").where(shares).drop("most").join(sets.select("node", "bits"), "node")
     # partners' sizes are in the same band or the next, so bands are part of the key
     left = left.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent) * 1.000001)).cast("int"))
     x, y = (left.select("key", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "rest", "comp", "bits"))) for s in "ab")
