@@ -4,8 +4,8 @@
 * count   = number of non-overlapping regex matches x weight, capped
 * density = occurrences of terms per 1000 words
 
-Term lists are literal arrays, constant-folded by Catalyst, so one compact
-expression per component stays inside generated code.
+Term lists are literals, so a component is one compact expression.  The ones
+with array lambdas are evaluated outside whole-stage codegen.
 """
 
 from __future__ import annotations

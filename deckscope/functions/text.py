@@ -1,8 +1,8 @@
 """Text column expressions: cleaning, sentence splitting, section routing.
 
 All builders return native Spark ``Column`` expressions (regex, higher-order
-array functions), so they run inside whole-stage codegen with no Python in
-the hot path.  Regex patterns are written in the subset shared by Java regex
+array functions), with no Python in the hot path.  Array lambdas are evaluated
+outside whole-stage codegen.  Regex patterns are written in the subset shared by Java regex
 and RE2 (no look-arounds) so the DuckDB oracle can use the same strings.
 """
 

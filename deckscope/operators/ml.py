@@ -130,8 +130,11 @@ def prediction_ranking(pred: DataFrame) -> DataFrame:
 def cluster_performance(df: DataFrame, k_max: int = 4, seed: int = 42) -> DataFrame | None:
     """Z-scored dimensions, k-means with k = min(4, n); clusters named by
     descending mean composite (strongest group = 'High Performers').  Needs at
-    least 3 rows and 3 dimensions."""
+    least 3 complete rows and 3 dimensions.  A row with a NULL dimension is not
+    fitted on and has a NULL cluster."""
     dims = existing(df, L.DIMENSIONS)
+    given = df
+    df = given.dropna(subset=dims) if dims else given
     n = df.count()
     if n < 3 or len(dims) < 3:
         return None
@@ -147,12 +150,15 @@ def cluster_performance(df: DataFrame, k_max: int = 4, seed: int = 42) -> DataFr
     means = means.withColumn("_r", order).withColumn(
         "cluster_name", F.when(F.col("_r") <= len(L.CLUSTER_NAMES), F.element_at(names, F.col("_r")))
         .otherwise(F.concat(F.lit("Cluster "), F.col("_r").cast("string"))))
-    return out.join(F.broadcast(means.select("cluster", "cluster_name")), "cluster", "left").drop("raw")
+    out = out.join(F.broadcast(means.select("cluster", "cluster_name")), "cluster", "left").drop("raw")
+    lacks = given.where(" or ".join(f"`{c}` is null or isnan(`{c}`)" for c in dims))
+    return out.unionByName(lacks, allowMissingColumns=True)
 
 
 def project_2d(clustered: DataFrame) -> DataFrame:
     """2-D coordinates of the z-scored features (PCA; linear stand-in
-    for the non-linear embedding)."""
+    for the non-linear embedding); rows without a cluster have none."""
+    clustered = clustered.where("features is not null")
     projected = PCA(k=2, inputCol="features", outputCol="xy").fit(clustered).transform(clustered)
     xy = vector_to_array(projected["xy"])
     return projected.select("deck_name", "cluster", "cluster_name", "composite_score",

@@ -7,8 +7,9 @@ distributed forms replace it here:
 
 * ``rank_desc`` (J1): ranks of a rounded score come from the *grouped* score
   counts (one row per distinct rounded value, <= 1001 for scores in [0, 10]),
-  a running sum over that small frame, and a join back.  The join is a plain
-  equi-join: AQE broadcasts the grouped side when its measured size is small.
+  a running sum over that small frame, and a join back.  The grouped side is
+  written, counted and broadcast up to ``BROADCAST_ROWS`` rows, so the large side
+  is not shuffled on a skewed score; beyond that it is a plain equi-join.
 * ``global_positions`` (J2, exact medians): range-partition and sort by the
   order key plus a unique tie-break (so even a single hot value is split over
   many partitions), checkpoint once (stable ids across the two uses), count
@@ -27,6 +28,16 @@ from deckscope import lexicons as L
 from deckscope.session import default_parallelism, ensure_checkpoint_dir
 
 
+#: Rows of a two-column frame that may be broadcast, after counting them.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The stored frame, marked for broadcast if its rows, counted, are at most ``BROADCAST_ROWS``."""
+    df = materialize(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def np_round(c, digits: int = 2) -> Column:
     """Round half to even on the binary value, as numpy/pandas ``round`` does:
     ``rint(x * 10^d) / 10^d``."""
@@ -40,7 +51,7 @@ def rank_desc(df: DataFrame, score_col: str, rank_col: str = "rank") -> DataFram
     counts = df.groupBy(score_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(F.col(score_col).desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select(score_col, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + 1).cast("long").alias(rank_col))
-    return df.join(ranks, score_col, "left")
+    return df.join(small_side(ranks), score_col, "left")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -83,7 +94,7 @@ def global_positions(df: DataFrame, order_cols: list, group_cols: list | None =
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     groups = group_cols or []
-    n = num_partitions or default_parallelism(spark) * 2
+    n = num_partitions or max(default_parallelism(spark) * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged = df.withColumn("_tie", F.monotonically_increasing_id())
     keys = [F.col(g) for g in groups] + list(order_cols) + [F.col("_tie")]
     ordered = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -94,7 +105,7 @@ def global_positions(df: DataFrame, order_cols: list, group_cols: list | None =
     w = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if groups \
         else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    out = ordered.join(per.select("_pid", *groups, "_first", "_before"), ["_pid", *groups], "inner")
+    out = ordered.join(small_side(per.select("_pid", *groups, "_first", "_before")), ["_pid", *groups], "inner")
     out = out.withColumn(pos_col, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long"))
     return out.drop("_tie", "_pid", "_mid", "_first", "_before")
 
@@ -106,11 +117,11 @@ def exact_median(df: DataFrame, value_col: str, group_cols: list | None = None,
     vals = df.select(*groups, value_col).filter(F.col(value_col).isNotNull())
     pos = global_positions(vals, [F.col(value_col)], groups, "_pos")
     if groups:
-        counts = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        counts = pos.groupBy(*groups).agg(F.max("_pos").alias("_n"))
         mid = pos.join(counts, groups, "inner")
         n = F.col("_n")
     else:
-        mid, n = pos, F.lit(vals.count())
+        mid, n = pos, F.lit(pos.agg(F.max("_pos")).first()[0] or 0)
     lo = F.floor((n + 1) / 2)
     hi = F.ceil((n + 1) / 2)
     mid = mid.filter((F.col("_pos") == lo) | (F.col("_pos") == hi))

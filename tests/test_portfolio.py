@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions.mathx import normal_cdf
+from deckscope.operators import ml as ML
 from deckscope.operators import portfolio as P
 from deckscope.operators import ranking as R
 from tests.conftest import one
@@ -82,6 +83,31 @@ def test_rank_method_min(spark):
     assert got == {"b": 1, "a": 2, "c": 2, "d": 4}
 
 
+def test_ranks_and_positions_never_shuffle_the_large_side_on_the_score(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).cast("double").alias("s"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [R.rank_desc(df, "s"), R.global_positions(df, [F.col("s")])]
+        for plan in plans:
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        assert sorted(r["position"] for r in plans[1].collect()) == list(range(1, 1001))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_clusters_of_rows_with_null_dimensions(spark):
+    dims = ML.L.DIMENSIONS
+    rows = [(f"d{i}", float(i % 5), *[float((i * k) % 7) for k in range(1, len(dims) + 1)]) for i in range(12)]
+    rows.append(("hole", 1.0, None, *[1.0] * (len(dims) - 1)))
+    df = spark.createDataFrame(rows, "deck_name string, composite_score double, " + ", ".join(f"{d} double" for d in dims))
+    out = ML.cluster_performance(df)
+    got = {r["deck_name"]: r["cluster_name"] for r in out.collect()}
+    assert len(got) == 13 and got["hole"] is None and all(v for k, v in got.items() if k != "hole")
+    assert ML.project_2d(out).count() == 12
+
+
 def test_normal_cdf_against_math_erf(spark):
     xs = [-4.0, -1.5, -0.3, 0.0, 0.2, 1.0, 2.5, 6.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
