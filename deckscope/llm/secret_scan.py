@@ -92,7 +92,7 @@ def _tested(runs: Column) -> Column:
         F.filter(F.split(r["v"], ""), lambda ch: ch != ""), lambda ch: F.position(ch, r["abc"]) - 1.0).alias("codes")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
     x = F.transform(x, lambda r: F.struct(
-        r["s"].alias("s"), r["e"].alias("e"), F.size(r["codes"]).cast("double").alias("n"),
+        r["s"].alias("s"), r["e"].alias("e"), r["size"].alias("size"), F.size(r["codes"]).cast("double").alias("n"),
         F.least(F.lit(16.0), F.floor(F.size(r["codes"]) / 5.0).cast("double")).alias("bins"),
         F.transform(r["codes"], lambda k: k / r["size"]).alias("u"),  # uniform on 0 to 1
         F.transform(r["codes"], lambda k: F.floor(k * F.least(F.lit(16.0), F.floor(F.size(r["codes"]) / 5.0).cast("double")) / r["size"])).alias("binned"),
@@ -100,14 +100,14 @@ def _tested(runs: Column) -> Column:
         (total(r["codes"]) / F.size(r["codes"])).alias("mean")))
     x = F.transform(x, lambda r: F.struct(
         r["s"].alias("s"), r["e"].alias("e"), r["n"].alias("n"), (r["bins"] - 1).alias("df"),
-        (total(F.transform(F.array_distinct(r["binned"]), lambda k: F.pow(F.size(F.filter(r["binned"], lambda y: y == k)).cast("double"), F.lit(2.0)))) * r["bins"] / r["n"] - r["n"]
-         ).alias("rough"),
+        # Pearson's sum: counts squared over the bins' expected shares; a bin holds as many values as there are whole codes in its range
+        (total(F.transform(F.array_distinct(r["binned"]), lambda k: F.pow(F.size(F.filter(r["binned"], lambda y: y == k)).cast("double"), F.lit(2.0))
+                           / (F.ceil((k + 1) * r["size"] / r["bins"]) - F.ceil(k * r["size"] / r["bins"])))) * r["size"] / r["n"] - r["n"]).alias("rough"),
         total(r["high"]).alias("n1"),
         (total(F.transform(r["high"], lambda k, i: F.when(F.get(r["high"], i - 1) != k, 1.0).otherwise(0.0))) + 1).alias("runs"),
         (total(F.transform(r["u"], lambda k: k)) / r["n"]).alias("m"), r["u"].alias("u")))
     x = F.transform(x, lambda r: F.struct(
         r["s"].alias("s"), r["e"].alias("e"), r["n"].alias("n"), r["df"].alias("df"),
-        # bins of unequal width hold unequal shares; 64 values in at most 16 bins differ by one value, which the tests' level has room for
         F.greatest(F.lit(0.0), r["rough"]).alias("chi"), r["n1"].alias("n1"), r["runs"].alias("runs"),
         total(F.transform(r["u"], lambda k: (k - r["m"]) * (k - r["m"]))).alias("var"),
         total(F.transform(r["u"], lambda k, i: F.coalesce((k - r["m"]) * (F.get(r["u"], i - 1) - r["m"]), F.lit(0.0)))).alias("lag")))
