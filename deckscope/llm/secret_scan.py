@@ -5,7 +5,7 @@ pieces that ``split`` leaves and the matches that ``regexp_extract_all`` gives
 take turns, so running sums of their lengths are the positions (code points).
 
 Battery: every maximal run of 20 or more characters of ``[A-Za-z0-9+/_=-]``
-that an encoding (hex, base32, base64 with digits and both cases) explains and
+(18 or more without the padding, so that a heading's underline is none) that an encoding (hex, base32, base64 with digits and both cases) explains and
 that touches no pattern's span is tested for being uniform and independent:
 chi-squared of the alphabet in as many bins as its length allows (five or more
 expected in each, 16 bins at most), runs above and below the alphabet's
@@ -32,6 +32,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Kind, pattern, group whose length counts, least length.  Runs that are maximal anyway take their least length into the pattern.
 KINDS = (("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16))
 RUN, RUN_MIN = "[A-Za-z0-9+/_=-]{20,}", 20
+#: Least length without padding: 20 characters of base64 and 24 of base32 end on that many or more.
+CORE_MIN = 18
 LEVEL, BINS, BIN = 0.05, 2048, 32
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encoding: what it looks like, its alphabet in order.
@@ -87,7 +89,7 @@ def _tested(runs: Column) -> Column:
     """
     enc = lambda v: F.coalesce(*(F.when(v.rlike(look), F.lit(a)) for _, look, a in ENCODINGS))
     x = F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.rtrim(r["v"], F.lit("=")).alias("v"), enc(r["v"]).alias("abc")))
-    x = F.filter(x, lambda r: r["abc"].isNotNull())
+    x = F.filter(x, lambda r: r["abc"].isNotNull() & (F.char_length(r["v"]) >= CORE_MIN))  # so three bins or more, and no division by zero below
     x = F.transform(x, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.char_length(r["abc"]).cast("double").alias("size"), F.transform(
         F.filter(F.split(r["v"], ""), lambda ch: ch != ""), lambda ch: F.position(ch, r["abc"]) - 1.0).alias("codes")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
