@@ -4,15 +4,20 @@ Patterns: see ``KINDS``.  Positions come without a loop over the text: the
 pieces that ``split`` leaves and the matches that ``regexp_extract_all`` gives
 take turns, so running sums of their lengths are the positions (code points).
 
-Battery: every maximal run of 20 or more characters of ``[A-Za-z0-9+/_=-]``
-(18 or more without the padding, so that a heading's underline is none) that an encoding (hex, base32, base64 with digits and both cases) explains and
-that touches no pattern's span is tested for being uniform and independent:
+Battery: every maximal run of 20 or more characters of ``[A-Za-z0-9+/_-]`` with
+its final padding (18 or more without it, so that a heading's underline is
+none; any other ``=`` ends a run, so that a name is not tested with its value),
+and of a run with slashes every part as long between them, that touches no
+pattern's span, is tested for being uniform and independent over the alphabet
+of its encoding (hex, base32, base62, base64) or else of the kinds of
+characters it uses:
 chi-squared of the alphabet in as many bins as its length allows (five or more
 expected in each, 16 bins at most), runs above and below the alphabet's
 middle, and serial correlation of neighbours.  Simes' rule joins the three.
 Benjamini and Hochberg's rule over the whole table, weighted by length (long
 runs have the power to be told apart, so they may claim more of the level),
-finds the runs that are *not* random; the others are spans of kind ``random``.
+finds the runs that are *not* random; the others are spans of kind ``random``
+(parts only outside of such a run).
 Its threshold comes from a histogram of at most ``BINS`` bins.
 
 Defined cases: null text is empty; no span gives empty lists; a row depends on
@@ -31,7 +36,11 @@ from .shared import col, stored
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern, group whose length counts, least length.  Runs that are maximal anyway take their least length into the pattern.
 KINDS = (("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16))
-RUN, RUN_MIN = "[A-Za-z0-9+/_=-]{20,}", 20
+#: Final padding: '=' that no other run character follows; any other '=' ends a run.
+PAD = "(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+RUN, RUN_MIN = "[A-Za-z0-9+/_-]{18,}" + PAD, 20
+#: The parts of a run between slashes.
+PART = f"(?:(?<=/)[A-Za-z0-9+_-]{{18,}}{PAD}|(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{{18,}}+(?=/))"
 #: Least length without padding: 20 characters of base64 and 24 of base32 end on that many or more.
 CORE_MIN = 18
 LEVEL, BINS, BIN = 0.05, 2048, 32
@@ -41,9 +50,15 @@ ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", DIGITS + "abcdef"),
     ("hex_upper", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", DIGITS + "ABCDEF"),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", UPPER + "234567"),
+    ("base32_lower", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*$", LOWER + "234567"),
+    ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("base64_url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
 )
+#: The rest is tested against the kinds of characters it uses (base36 is the second and third).  Letters stand by how
+#: often texts have them, which is nothing to a random run, but words fill the first bins.
+COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+USED = (("[A-Z]", COMMON.upper()), ("[a-z]", COMMON), ("[0-9]", DIGITS), ("[+]", "+"), ("/", "/"), ("_", "_"), ("-", "-"))
 
 
 def _with_ends(df: DataFrame, name: str, lens: Column, block: int = 64) -> DataFrame:
@@ -83,21 +98,22 @@ def _tail(z: Column) -> Column:
 
 
 def _tested(runs: Column) -> Column:
-    """(s, e, n, p) of the runs that an encoding explains: p joins the three tests by Simes' rule.
+    """(s, e, n, p) of the runs: p joins the three tests by Simes' rule.
 
     Every step is a transform of the one before, so what it names is made once a run.
     """
-    enc = lambda v: F.coalesce(*(F.when(v.rlike(look), F.lit(a)) for _, look, a in ENCODINGS))
+    enc = lambda v: F.coalesce(*(F.when(v.rlike(look), F.lit(a)) for _, look, a in ENCODINGS), F.concat(*(F.when(v.rlike(look), F.lit(a)).otherwise("") for look, a in USED)))
     x = F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.rtrim(r["v"], F.lit("=")).alias("v"), enc(r["v"]).alias("abc")))
-    x = F.filter(x, lambda r: r["abc"].isNotNull() & (F.char_length(r["v"]) >= CORE_MIN))  # so three bins or more, and no division by zero below
+    x = F.filter(x, lambda r: r["v"].rlike("[A-Za-z0-9]") & (F.char_length(r["abc"]) > 1) & (F.char_length(r["v"]) >= CORE_MIN))  # so three bins or more, and no division by zero below
     x = F.transform(x, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.char_length(r["abc"]).cast("double").alias("size"), F.transform(
         F.filter(F.split(r["v"], ""), lambda ch: ch != ""), lambda ch: F.position(ch, r["abc"]) - 1.0).alias("codes")))
+    bins = lambda r: F.least(F.lit(16.0), r["size"], F.floor(F.size(r["codes"]) / 5.0).cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
     x = F.transform(x, lambda r: F.struct(
         r["s"].alias("s"), r["e"].alias("e"), r["size"].alias("size"), F.size(r["codes"]).cast("double").alias("n"),
-        F.least(F.lit(16.0), F.floor(F.size(r["codes"]) / 5.0).cast("double")).alias("bins"),
+        bins(r).alias("bins"),
         F.transform(r["codes"], lambda k: k / r["size"]).alias("u"),  # uniform on 0 to 1
-        F.transform(r["codes"], lambda k: F.floor(k * F.least(F.lit(16.0), F.floor(F.size(r["codes"]) / 5.0).cast("double")) / r["size"])).alias("binned"),
+        F.transform(r["codes"], lambda k: F.floor(k * bins(r) / r["size"])).alias("binned"),
         F.transform(r["codes"], lambda k: F.when(k * 2 >= r["size"], 1.0).otherwise(0.0)).alias("high"),
         (total(r["codes"]) / F.size(r["codes"])).alias("mean")))
     x = F.transform(x, lambda r: F.struct(
@@ -135,10 +151,10 @@ def patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     maybe = {"assign": low.rlike("password|passwd|secret|token|api_?key"), "access": F.col("text").contains("AKIA"), "hex": F.col("text").rlike("[0-9a-f]{16}")}
     for name, pattern, group, least in KINDS:
         df = _with_spans(df, "text", name, pattern, maybe[name], group, least)
-    df = _with_spans(df, "text", "run", RUN, F.col("text").rlike("(?=[A-Za-z+/_=-]*[0-9])" + RUN), 0, RUN_MIN)
-    known = F.concat(*(F.col(k[0]) for k in KINDS))
-    df = df.withColumn("known", known)
-    df = df.withColumn("fresh", F.filter("run", lambda r: (r["v"].rlike("[0-9]")) & ~F.exists(col("known"), lambda k: (k["s"] < r["e"]) & (r["s"] < k["e"])) & (F.size("known") >= 0)))
+    df = _with_spans(df, "text", "run", RUN, F.col("text").rlike("[A-Za-z0-9+/_-]{18}"), 0, RUN_MIN)
+    df = _with_spans(df, "text", "part", PART, F.col("text").rlike("/[A-Za-z0-9+_-]{18}|[A-Za-z0-9+_-]{18}/"), 0, RUN_MIN)
+    df = df.withColumn("known", F.concat(*(F.col(k[0]) for k in KINDS)))
+    df = df.withColumn("fresh", F.filter(F.concat("run", "part"), lambda r: ~F.exists(col("known"), lambda k: (k["s"] < r["e"]) & (r["s"] < k["e"])) & (F.size("known") >= 0)))
     slim = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k)
     return df.select("doc_id", *(slim(k[0]) for k in KINDS), _tested(col("fresh")).alias("runs"))
 
@@ -164,6 +180,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     found = stored(patterns(docs, id_col, text_col), "secrets")
     mean, most = threshold(found, level)
     label = lambda a, i, kind: F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("order"), F.lit(kind).alias("kind"), x["e"].alias("e")))
-    random = F.filter("runs", lambda r: r["p"] * mean / r["n"] > most)
+    found = found.withColumn("runs", F.filter("runs", lambda r: r["p"] * mean / r["n"] > most))
+    random = F.filter("runs", lambda x: ~F.exists("runs", lambda r: (r["s"] <= x["s"]) & (x["e"] <= r["e"]) & (r["n"] > x["n"])))  # no parts of one that is there
     kinds = [label(F.col(k[0]), i, k[0]) for i, k in enumerate(KINDS)] + [label(random, len(KINDS), "random")]
     return found.select("doc_id", F.sort_array(F.concat(*kinds)).alias("spans"))

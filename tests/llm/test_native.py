@@ -60,6 +60,29 @@ def test_secrets_padding_is_no_length(spark):
     assert got == {1: [], 2: [], 3: [], 4: [(2, 22)], 5: []}
 
 
+def test_secrets_names_paths_alphabets(spark):
+    """A name's value, a path's part, and random runs of few kinds of characters; words stay out."""
+    import random
+    import string
+
+    rng = random.Random(7)
+    rows, want = [], {}
+    abc = {"base36": string.ascii_lowercase + string.digits, "upper36": string.ascii_uppercase + string.digits, "letters": string.ascii_letters, "lower": string.ascii_lowercase, "base32": string.ascii_lowercase + "234567"}
+    for k, chars in enumerate(abc.values()):
+        for j in range(40):
+            i, v = 100 * k + j, "".join(rng.choices(chars, k=40))
+            before = ("key=", "see /home/user/data/", "AWS_SECRET_ACCESS_KEY=", "x ")[j % 4]
+            rows.append((i, f"{before}{v}{'/x.txt' if j % 4 == 1 else ''} y"))
+            want[i] = (len(before), len(before) + 40)
+    rows += [(1000, "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (1001, "key=3ax6xnjp29jd6fds4gc373sgvjxteol0")]
+    words = ["internationalization-of-the-operations-2", "/usr/local/share/common/settings/data/2", "the_total_number_of_entries_and_items", "--------------------", "====================a"]
+    rows += [(2000 + i, words[i % 5]) for i in range(200)]
+    got = {r.doc_id: [(x.s, x.e) for x in r.spans if x.kind == "random"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(any(s <= want[i][0] and want[i][1] <= e for s, e in got[i]) for i in want) >= 0.93 * len(want)
+    assert got[1000][-1:] == [(22, 62)] and got[1001] == [(4, 36)]
+    assert sum(bool(got[2000 + i]) for i in range(200)) == 0
+
+
 def test_line_dedup_hard(hard):
     got = line_dedup.dedup_lines(hard, n_lines="n_lines", n_dropped="n_dropped")
     assert got.columns == [*hard.columns, "n_lines", "n_dropped"]
