@@ -116,6 +116,19 @@ def test_ngram_pruning_keeps_the_model_small(spark):
     assert sum(len(k.keys) for k in model.keys[1:]) <= 20 and model.predict([b"the cat"])[0].tolist() == [0]
 
 
+def test_no_ngram_is_dropped(spark):
+    """Every n-gram counts, however many there are, and a model in many blocks scores as one in one."""
+    assert not hasattr(langid, "MOST_NGRAMS")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    one, many = langid.train(docs), langid.train(docs, block=500)
+    assert len(one.blocks) == 1 < 5 < len(many.blocks)
+    total = langid.count_ngrams(docs).where("m > 1").select("m", "h").distinct().count()
+    assert sum(len(k.keys) for k in one.keys[1:]) == sum(len(k.keys) for k in many.keys[1:]) == total
+    w = langid.LetterWords([b"the hand und \xc3\xbcber q xyzzy", "日本".encode()])
+    assert np.allclose(one.word_scores(w), many.word_scores(w), atol=1e-9)
+    assert sorted(langid.identify(docs, one).collect()) == sorted(langid.identify(docs, many).collect())
+
+
 # --- pages ------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var x="</p><p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site name</h1><nav><ul><li><a href=/>Home</a></li></ul></nav></header><div class="cookie-notice">We use cookies</div>
