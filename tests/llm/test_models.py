@@ -157,6 +157,13 @@ def test_template_texts_go(spark):
     assert sorted(r.text for r in got) == [f"Long text number {i}" for i in range(6)]
 
 
+def test_pages_without_text_veto_no_template(spark):
+    rows = [(i, "http://a.org/x", f"<body><div id=x><p>Long text number {i}</p><p>Continue reading</p></div></body>") for i in range(6)]
+    rows += [(6, "http://a.org/y", None), (7, "http://a.org/z", ""), (8, "http://a.org/w", "<body><div id=x></div></body>")]
+    got = html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert sorted(r.text for r in got) == ["", "", "", *(f"Long text number {i}" for i in range(6))]
+
+
 def test_pages_hard(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://h/1", "plain text &amp; more"), (4, "http://h/2", "<p>a<p>b</i></div><b>c"), (5, "http://h/3", "<div" + " x" * 50), (None, "http://h/4", "<article>only</article>"),
             (6, "http://i/", "<p>" + "long word " * 50000), (6, "http://i/", "<p>" + "long word " * 50000), (7, "http://j/", "<script>never closed <p>x"), (8, "http://j/", "<!-- open <p>x"), (9, "http://k/", "<article>" * 300 + "deep")]
