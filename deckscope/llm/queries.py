@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_wrapper, langid, line_dedup, ngram_join, piece_viterbi, quality_cascade, secret_scan, string_tiling, token_files, token_prefix
+from . import html_wrapper, importance_resampling, langid, line_dedup, ngram_join, piece_viterbi, quality_cascade, secret_scan, source_mixing, string_tiling, token_files, token_prefix
 from .shared import read_documents
 
 
@@ -75,7 +75,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_secret_scan, op4_language_id, op5_sentencepiece, op6_token_files, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resampling.resample(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.plan(read_documents(spark, sf_dir)).drop("copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_secret_scan, op4_language_id, op5_sentencepiece, op6_token_files, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules,
+                                   op12_importance_resampling, op13_source_mixing)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -114,4 +124,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL}
+#: CRC-32 of a text's UTF-8 bytes, a byte at a time over its hexadecimal digits.
+_CRC = """
+WITH RECURSIVE step(c, i, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+    SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i, k + 1 FROM step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM step WHERE k = 8)"""
+
+
+def _crc_of(x: str) -> str:
+    """Beside a join with ``crc_table``."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen({x}), 2), lambda p: ('0x' || substr(hex(encode({x})), p, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+_R = importance_resampling
+OP12_SQL = f"""{_CRC},
+f AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+      UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+w AS (SELECT word, {_crc_of("word")} % {_R.BUCKETS} AS bucket FROM (SELECT DISTINCT word FROM f), crc_table),
+n AS (SELECT bucket, (count(*) FILTER (WHERE side = 'd'))::DOUBLE AS s, (count(*) FILTER (WHERE side = 'b'))::DOUBLE AS t FROM f JOIN w USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n) + {_R.BUCKETS}) / ((s + 1) * ((SELECT sum(t) FROM n) + {_R.BUCKETS}))))::BIGINT AS gain FROM n),
+d AS (SELECT id AS doc_id, count(*) AS n_features, sum(gain)::BIGINT AS total FROM f JOIN w USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+x AS (SELECT documents.doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+             ('0x' || substr(sha256('{_R.SEED}:' || documents.doc_id), 1, 8))::BIGINT AS h
+      FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM y WHERE n_features >= {_R.MIN_WORDS})
+SELECT y.doc_id, y.n_features, y.weight, y.score, CASE WHEN place <= {_R.DRAW_PCT} * eligible // 100 THEN place END AS rank
+FROM y LEFT JOIN r ON y.doc_id = r.doc_id
+"""
+
+_M = source_mixing
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           ('0x' || substr(sha256('{_M.SEED}:' || doc_id), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+v AS (SELECT *, (number % 3 + 1)::DOUBLE AS weight, {_M.MOST} * words AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight) AS place, sum(cap) OVER (ORDER BY cap / weight ROWS UNBOUNDED PRECEDING) - cap AS caps,
+             sum(weight) OVER (ORDER BY cap / weight DESC ROWS UNBOUNDED PRECEDING) AS rest FROM v),
+l AS (SELECT ((SELECT sum(words) FROM s) - caps) / rest AS lvl FROM o WHERE weight * (((SELECT sum(words) FROM s) - caps) / rest) <= cap ORDER BY place LIMIT 1),
+t AS (SELECT source, number, words, least(weight * (SELECT lvl FROM l), cap::DOUBLE) AS target FROM v),
+p AS (SELECT doc_id, d.size, words AS source_size, number, target,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (SELECT sum(greatest(least(p.size, floor(target) - (e * source_size + before)), 0)) FROM range({_M.MOST}) AS r(e))::BIGINT AS taken,
+             CASE WHEN target > 0 THEN before / target ELSE 0 END AS u FROM p)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN CASE number % 3
+           WHEN 0 THEN CASE WHEN u <= 0 THEN 0 ELSE 2 * u / (1 + 1) END
+           WHEN 1 THEN CASE WHEN 2 * u <= 0 THEN 0 ELSE 2 * (2 * u) / (3 + sqrt(9 - 4 * (2 * u))) END
+           ELSE CASE WHEN 3 * u < 1 THEN CASE WHEN 3 * u <= 0 THEN 0 ELSE 2 * (3 * u) / (2 + 2) END ELSE CASE WHEN 3 * u - 1 <= 0 THEN 0.5 ELSE 0.5 + 2 * (3 * u - 1) / (2 + sqrt(4 + 16 * (3 * u - 1))) END END END END AS position
+FROM c
+"""
+
+ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_source_mixing": OP13_SQL}
