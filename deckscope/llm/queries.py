@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_wrapper, importance_resampling, langid, line_dedup, ngram_join, piece_viterbi, quality_cascade, secret_scan, source_mixing, string_tiling, token_files, token_prefix
+from . import html_wrapper, importance_resampling, langid, line_dedup, ngram_join, periodic_runs, piece_viterbi, quality_cascade, secret_scan, source_mixing, string_tiling, token_files, token_prefix
 from .shared import read_documents
 
 
@@ -75,6 +75,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("rejected_by") == "").alias("kept"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    found = periodic_runs.detect(docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text")))
+    most = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    found = found.withColumn("most", most)
+    length, period = F.col("most.length"), -F.col("most.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("most.start")).alias("start"), length.alias("length"), period.alias("period"),
+                        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance_resampling.resample(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -85,7 +96,7 @@ def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_secret_scan, op4_language_id, op5_sentencepiece, op6_token_files, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules,
-                                   op12_importance_resampling, op13_source_mixing)}
+                                   op11_periodic_runs, op12_importance_resampling, op13_source_mixing)}
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -137,6 +148,25 @@ def _crc_of(x: str) -> str:
         lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"""
 
 
+_RUN = periodic_runs
+OP11_SQL = f"""{_CRC},
+h AS (SELECT doc_id, {_crc_of("id")} AS h, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+      FROM (SELECT doc_id, doc_id::VARCHAR AS id, text FROM documents), crc_table),
+a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+x AS (SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] ELSE w[i + 1] END AS word
+      FROM (SELECT *, unnest(range(n)) AS i FROM a)),
+eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND {_RUN.EXPONENT} * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM eq)
+      GROUP BY doc_id, q, island HAVING count(*) + q >= greatest({_RUN.SHORTEST}, {_RUN.EXPONENT} * q)),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM s GROUP BY doc_id, s, len),
+t AS (SELECT doc_id, count(*) AS n_runs, min(struct_pack(l := -len, s := s, q := q)) AS most, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, most.s AS start, -most.l AS length, most.q AS period, 1000 * -most.l // most.q AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 _R = importance_resampling
 OP12_SQL = f"""{_CRC},
 f AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
@@ -177,4 +207,4 @@ SELECT doc_id, size, source_size, target, taken,
 FROM c
 """
 
-ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_source_mixing": OP13_SQL}
+ORACLE: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_quality_rules": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_source_mixing": OP13_SQL}
