@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions.mathx import normal_cdf
-from deckscope.operators.ranking import exact_median, global_positions, np_round, top_k
+from deckscope.operators.ranking import np_round, top_k
+from deckscope.operators.selection import medians
 
 FIVE = ["problem_clarity", "market_potential", "traction_strength", "team_experience", "business_model"]
 
@@ -41,18 +42,12 @@ def with_missing_as_zero(df: DataFrame, cols) -> DataFrame:
 # -- I: aggregations --------------------------------------------------------------------
 
 def portfolio_stats(df: DataFrame, col: str = "composite_score") -> DataFrame:
-    """N, mean, sample std, exact median, min, max of the composite.
-
-    One aggregation over the distributed positions (see ``global_positions``):
-    the two middle positions are known from the row count, so the median is
-    a conditional average in the same pass as the other statistics."""
+    """N, mean, sample std, exact median, min, max of the composite; the
+    median by counting selection (no sort, see ``selection``)."""
     vals = df.select(col).filter(F.col(col).isNotNull())
-    n = vals.count()
-    pos = global_positions(vals, [F.col(col)], None, "_pos")
-    lo, hi = (n + 1) // 2, (n + 2) // 2
-    mid = (F.col("_pos") == lo) | (F.col("_pos") == hi)
-    return pos.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-                   F.avg(F.when(mid, F.col(col))).alias("median"), F.min(col).alias("min"), F.max(col).alias("max"))
+    mid = medians(vals, col).first()
+    out = vals.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return out.select("n", "mean", "std", F.lit(mid[0] if mid else None).cast("double").alias("median"), "min", "max")
 
 
 def dimension_averages(df: DataFrame) -> DataFrame:
@@ -86,7 +81,7 @@ def category_stats(df: DataFrame) -> DataFrame:
         F.avg("composite_score").alias("avg_score"), F.count(F.lit(1)).alias("count"),
         F.stddev_samp("composite_score").alias("std_score"), F.avg("problem_clarity").alias("avg_problem"),
         F.avg("market_potential").alias("avg_market"), F.avg("traction_strength").alias("avg_traction"))
-    med = exact_median(df, "composite_score", ["category"], "median_score")
+    med = medians(df, "composite_score", ["category"], "median_score")
     out = agg.join(med, "category", "left")
     return out.select("category", np_round("avg_score", 2).alias("avg_score"),
                       np_round("median_score", 2).alias("median_score"), "count",
@@ -258,8 +253,13 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 
 def category_performance(df: DataFrame) -> DataFrame:
-    """Mean and count of the composite per category."""
-    return df.groupBy("category").agg(F.avg("composite_score").alias("mean"), F.count(F.lit(1)).alias("count"))
+    """Mean and count of the composite per category, when there is more
+    than one; rows without a category are no group, and a frame without the
+    column gives no rows.  The number of groups is a window sum over the
+    grouped frame (one row per category)."""
+    per = _with_category(df).groupBy("category").agg(F.avg("composite_score").alias("mean"), F.count(F.lit(1)).alias("count"))
+    per = per.withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))
+    return per.filter("_groups > 1").drop("_groups")
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
@@ -305,10 +305,13 @@ def performance_tier(score: Column) -> Column:
 
 def tier_hierarchy(df: DataFrame) -> DataFrame:
     """Root count, per-category counts, per (category, tier) counts;
-    a NULL tier is counted above the leaf level only."""
+    a NULL tier is counted above the leaf level only, a missing or NULL
+    category in the root only."""
+    if "category" not in df.columns:
+        df = df.withColumn("category", F.lit(None).cast("string"))
     t = df.withColumn("tier", performance_tier(F.col("composite_score")))
     r = t.rollup("category", "tier").agg(F.count(F.lit(1)).alias("value"), F.grouping_id().alias("_g"))
-    r = r.filter(~((F.col("_g") == 0) & F.col("tier").isNull()))
+    r = r.filter(~((F.col("_g") == 0) & F.col("tier").isNull()) & ((F.col("_g") == 3) | F.col("category").isNotNull()))
     return r.select(
         F.when(F.col("_g") == 3, "Total").when(F.col("_g") == 1, F.col("category"))
         .otherwise(F.concat_ws("-", "category", "tier")).alias("id"),

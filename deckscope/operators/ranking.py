@@ -10,7 +10,7 @@ distributed forms replace it here:
   a running sum over that small frame, and a join back.  The grouped side is
   written, counted and broadcast up to ``BROADCAST_ROWS`` rows, so the large side
   is not shuffled on a skewed score; beyond that it is a plain equi-join.
-* ``global_positions`` (J2, exact medians): range-partition and sort by the
+* ``global_positions`` (J2): range-partition and sort by the
   order key plus a unique tie-break (so even a single hot value is split over
   many partitions), checkpoint once (stable ids across the two uses), count
   rows per (partition, group) -- a frame of partitions x groups -- and add
@@ -110,24 +110,6 @@ def global_positions(df: DataFrame, order_cols: list, group_cols: list | None =
     return out.drop("_tie", "_pid", "_mid", "_first", "_before")
 
 
-def exact_median(df: DataFrame, value_col: str, group_cols: list | None = None, out_col: str = "median") -> DataFrame:
-    """Exact median per group (mean of the two middle values for even counts),
-    from distributed positions; no group is gathered into one buffer."""
-    groups = group_cols or []
-    vals = df.select(*groups, value_col).filter(F.col(value_col).isNotNull())
-    pos = global_positions(vals, [F.col(value_col)], groups, "_pos")
-    if groups:
-        counts = pos.groupBy(*groups).agg(F.max("_pos").alias("_n"))
-        mid = pos.join(counts, groups, "inner")
-        n = F.col("_n")
-    else:
-        mid, n = pos, F.lit(pos.agg(F.max("_pos")).first()[0] or 0)
-    lo = F.floor((n + 1) / 2)
-    hi = F.ceil((n + 1) / 2)
-    mid = mid.filter((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return mid.groupBy(*groups).agg(F.avg(value_col).alias(out_col))
-
-
 def analysis_number(df: DataFrame, order_cols=("timestamp", "deck_name"), out_col: str = "analysis_number") -> DataFrame:
     """1-based sequence over the history in time order."""
     return global_positions(df, [F.col(c) for c in order_cols], None, out_col)

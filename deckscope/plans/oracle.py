@@ -659,6 +659,36 @@ def _sentence_sections():
             f"JOIN (VALUES {terms}) AS t(section, term) ON contains(lower(x.sentence), t.term)")
 
 
+def _user_terms() -> str:
+    return ("SELECT 's' || (item_id % 5) AS section, 'd' || (item_id % 3) AS dimension, 'c' || (item_id % 7) AS component, "
+            "(item_id % 7 + 1) / 2 AS weight, 8.0::DOUBLE AS cap, (item_id % 7 + 1) / 10 AS coef, lower(term) AS term FROM ("
+            "SELECT item_id, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), [substr(text, 1, 3)])) AS term "
+            "FROM (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark)) WHERE term <> ''")
+
+
+@oracle("term_table_sections")
+def _term_table_sections():
+    s = (f"SELECT doc_id, unnest(_s) AS sentence, unnest(generate_series(0, len(_s) - 1)) AS pos FROM "
+         f"(SELECT doc_id, {S.sentences('full_text')} AS _s FROM (SELECT doc_id, {S.clean('text')} AS full_text FROM documents))")
+    return (f"SELECT DISTINCT doc_id, CAST(pos AS INTEGER) AS pos, section FROM ({s}) x "
+            f"JOIN (SELECT DISTINCT section, term FROM ({_user_terms()})) t ON contains(lower(x.sentence), t.term)")
+
+
+@oracle("term_table_scores")
+def _term_table_scores():
+    return (f"WITH t AS (SELECT DISTINCT dimension, component, term, weight, cap, coef FROM ({_user_terms()})), "
+            "p AS (SELECT doc_id, dimension, component, count(DISTINCT term) AS n, max(weight) AS w, max(cap) AS c, max(coef) AS k "
+            "FROM documents JOIN t ON contains(lower(text), t.term) GROUP BY ALL) "
+            "SELECT doc_id, dimension, CAST(sum(n) AS BIGINT) AS hits, least(list_reduce(list(least(n * w, c) * k ORDER BY component), "
+            "lambda a, v: a + v, CAST(0 AS DOUBLE)), 10.0::DOUBLE) AS score FROM p GROUP BY doc_id, dimension")
+
+
+@oracle("table_sentiment")
+def _table_sentiment():
+    cols = ", ".join(f"_{k}_full_text AS {k}" for k in ("pos", "neg", "neu", "compound"))
+    return f"SELECT doc_id, {cols} FROM ({S.with_sentiments(S.sectionized_cte(S.decks_cte()), ['full_text'])})"
+
+
 @oracle("sentiment_labels")
 def _sentiment_labels():
     lab = "CASE WHEN v > 0.1 THEN 'Positive' WHEN v < -0.1 THEN 'Negative' ELSE 'Neutral' END"

@@ -308,6 +308,8 @@ def vs_reference_vector(spark, sf):
 from deckscope.operators import charts as CH  # noqa: E402
 from deckscope.operators import enrich as EN  # noqa: E402
 from deckscope.operators import extract as EX  # noqa: E402
+from deckscope.operators import term_join as TJ  # noqa: E402
+from deckscope.operators import valence_join as VJ  # noqa: E402
 from deckscope.operators.normalize import normalize_results  # noqa: E402
 from deckscope.operators.sections import sentence_sections as _sentence_sections  # noqa: E402
 from deckscope.sources.documents import assemble_pages as _assemble_pages  # noqa: E402
@@ -442,11 +444,31 @@ def deck_names(spark, sf):
 
 @register("sentence_sections")
 def sentence_sections(spark, sf):
-    """H6 / Q5: relational sentence x lexicon theta join (broadcast lexicon)."""
+    """H6 / Q5: sentences with the sections they match, exploded."""
     s = sectionize(_decks(spark, sf))
     return _sentence_sections(s)
 
 
+@register("term_table_sections")
+def term_table_sections(spark, sf):
+    """H6 / Q1: every sentence of the documents against a term table of any size."""
+    d = _docs(spark, sf).withColumn("full_text", T.clean_text(F.col("text")))
+    return TJ.sentence_terms(d, FX.user_terms(spark, sf))
+
+
+@register("term_table_scores")
+def term_table_scores(spark, sf):
+    """Q1: dimension scores from a user's term table."""
+    return TJ.lexicon_scores(_docs(spark, sf), FX.user_terms(spark, sf))
+
+
+@register("table_sentiment")
+def table_sentiment(spark, sf):
+    """C10, table-driven: sentiment of the full texts from a valence table."""
+    d = _decks(spark, sf).withColumn("full_text", T.clean_text(F.col("text")))
+    return VJ.table_sentiment(d, VJ.lexicon_table(spark))
+
+
 @register("sentiment_labels")
 def sentiment_labels(spark, sf):
     """D8."""

@@ -105,6 +105,21 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.when(override, F.least(F.lit(10.0), total + F.lit(3.0))).otherwise(total))
 
 
+def user_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's term table, derived from ``benchmark``: every two
+    neighbouring words of an item (its section by item number) and its first
+    three characters, with weights for the scoring form."""
+    b = read_table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"), "text")
+    n = F.size("w")
+    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
+    terms = F.concat(F.when(n >= 2, pairs).otherwise(F.array()), F.array(F.substring("text", 1, 3)))
+    k = F.col("item_id")
+    return b.select("item_id", F.explode(terms).alias("term")).select(
+        F.concat(F.lit("s"), (k % 5).cast("string")).alias("section"), "term",
+        F.concat(F.lit("d"), (k % 3).cast("string")).alias("dimension"), F.concat(F.lit("c"), (k % 7).cast("string")).alias("component"),
+        ((k % 7 + 1) / 2).cast("double").alias("weight"), F.lit(8.0).alias("cap"), ((k % 7 + 1) / 10).cast("double").alias("coef"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     port = portfolio(spark, sf_dir)

@@ -8,6 +8,7 @@ from deckscope.functions.mathx import normal_cdf
 from deckscope.operators import ml as ML
 from deckscope.operators import portfolio as P
 from deckscope.operators import ranking as R
+from deckscope.operators.selection import medians
 from tests.conftest import one
 
 DIMS = L.DIMENSIONS
@@ -61,10 +62,10 @@ def test_due_diligence_flags(spark):
 def test_exact_median_and_positions_with_hot_key(spark):
     vals = [(i % 7) * 1.0 if i % 3 else 3.0 for i in range(300)]   # value 3.0 holds over a third of rows
     df = spark.createDataFrame([(i, v, "g" if i % 2 else "h") for i, v in enumerate(vals)], "id long, v double, g string")
-    med = one(R.exact_median(df, "v"))["median"]
+    med = one(medians(df, "v"))["median"]
     s = sorted(vals)
     assert med == (s[149] + s[150]) / 2
-    grouped = {r["g"]: r["m"] for r in R.exact_median(df, "v", ["g"], "m").collect()}
+    grouped = {r["g"]: r["m"] for r in medians(df, "v", ["g"], "m").collect()}
     for g in ("g", "h"):
         sv = sorted(v for i, v in enumerate(vals) if ("g" if i % 2 else "h") == g)
         n = len(sv)
