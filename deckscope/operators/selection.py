@@ -20,9 +20,14 @@ from deckscope.operators.ranking import BROADCAST_ROWS, materialize
 BUCKETS = 4096
 
 
-def _open(state: DataFrame) -> tuple[int, int]:
-    """Groups, and groups whose interval is more than one value."""
-    return tuple(state.agg(F.count(F.lit(1)), F.count_if(F.col("_lo") < F.col("_hi"))).first())
+def _held(state: DataFrame):
+    """(the groups' intervals, whether they are few, whether one is open): at
+    most ``BROADCAST_ROWS`` groups stay with the driver, more are stored."""
+    rows = state.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) <= BROADCAST_ROWS:
+        return state.sparkSession.createDataFrame(rows, state.schema), rows, any(r["_lo"] < r["_hi"] for r in rows)
+    state = materialize(state)
+    return state, None, state.filter("_lo < _hi").limit(1).count() > 0
 
 
 def medians(df: DataFrame, value_col: str, group_cols=(), out_col: str = "median", buckets: int = BUCKETS) -> DataFrame:
@@ -38,17 +43,15 @@ def medians(df: DataFrame, value_col: str, group_cols=(), out_col: str = "median
         .select(*[F.col(c).alias(n) for c, n in zip(group_cols, g)], x.alias("_v"))
     vals = materialize(vals)
     state = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    state = materialize(state.filter("_n > 0").withColumn("_below", F.lit(0).cast("long")))  # _below: values under _lo
+    state, few, left = _held(state.filter("_n > 0").withColumn("_below", F.lit(0).cast("long")))  # _below: values under _lo
     k = F.floor((F.col("_n") + 1) / 2)
-    groups, left = _open(state)
 
     def with_state(rows, st):
         """Values with their group's interval; groups may be NULL."""
         if not g:                                         # one row: as literals
-            one = st.first()
-            return rows.withColumns({c: F.lit(one[c]) for c in st.columns}) if one else rows.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in st.dtypes})
+            return rows.withColumns({c: F.lit(few[0][c] if few else None).cast(t) for c, t in st.dtypes})
         st = st.select(*[F.col(c).alias(f"{c}s") for c in g], *[c for c in st.columns if c not in g])
-        if groups <= BROADCAST_ROWS:
+        if few is not None:
             st = F.broadcast(st)
         on = None
         for c in g:
@@ -66,8 +69,7 @@ def medians(df: DataFrame, value_col: str, group_cols=(), out_col: str = "median
         counts = counts.withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
         nxt = counts.filter((F.col("_upto") >= k) & (F.col("_upto") - F.col("_c") < k)) \
             .select(*g, "_n", "_lo", "_hi", (F.col("_upto") - F.col("_c")).alias("_below"))
-        state = materialize(state.filter("_lo = _hi").select(nxt.columns).unionByName(nxt))
-        groups, left = _open(state)
+        state, few, left = _held(state.filter("_lo = _hi").select(nxt.columns).unionByName(nxt))
     near = with_state(vals, state).groupBy(*g).agg(
         F.max("_n").alias("_n"), F.max("_lo").alias("_mid"), F.count_if(F.col("_v") <= F.col("_lo")).alias("_upto"),
         F.min(F.when(F.col("_v") > F.col("_lo"), F.col("_v"))).alias("_up"))
