@@ -408,6 +408,10 @@ def _timeline_frames():
             "FROM h) WHERE rn = 1")
 
 
+ORACLE["history_numbers"] = ORACLE["analysis_number"]
+ORACLE["history_timeline"] = ORACLE["timeline_frames"]
+
+
 @oracle("history_view")
 def _history_view():
     return (_h() + "SELECT deck_name, composite_score, category, timestamp FROM h "

@@ -6,6 +6,8 @@ operator family, each over whole tables (or frames Spark derives from them).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from deckscope.operators.language import language_metrics
 from deckscope.operators.scoring import drop_internal, score_documents
 from deckscope.operators.sections import sectionize
 from deckscope.plans.document_plan import route_errors, with_extraction
+from deckscope.session import ensure_checkpoint_dir
 from deckscope.sources import fixtures as FX
 from deckscope.sources.tables import read_table, spread
 
@@ -308,6 +311,7 @@ def vs_reference_vector(spark, sf):
 from deckscope.operators import charts as CH  # noqa: E402
 from deckscope.operators import enrich as EN  # noqa: E402
 from deckscope.operators import extract as EX  # noqa: E402
+from deckscope.operators import history as HI  # noqa: E402
 from deckscope.operators import term_join as TJ  # noqa: E402
 from deckscope.operators import valence_join as VJ  # noqa: E402
 from deckscope.operators.normalize import normalize_results  # noqa: E402
@@ -327,6 +331,28 @@ def analysis_number(spark, sf):
     return h.select("analysis_id", "deck_name", "composite_score", "analysis_number")
 
 
+def _kept_history(spark, sf):
+    """The history appended as four batches: three in time order, and one of rows that come late for the second month-long stretch."""
+    h, day = _hist(spark, sf), F.col("analysis_date")
+    kept = HI.NumberedHistory(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/history/{uuid.uuid4().hex}", ("timestamp", "deck_name", "analysis_id"), "yyyy-MM")
+    late = (F.date_format(day, "yyyy") == "1995") & (F.col("analysis_id") % 3 == 0)
+    for name, rows in (("a", day < "1994-07-01"), ("b", (day >= "1994-07-01") & (day < "1996-07-01") & ~late), ("c", (day >= "1996-07-01") & ~late), ("late", late)):
+        kept.append(h.filter(rows), name)
+    return kept
+
+
+@register("history_numbers")
+def history_numbers(spark, sf):
+    """J2 kept incrementally: numbers after four appended batches."""
+    return _kept_history(spark, sf).numbered().select("analysis_id", "deck_name", "composite_score", "analysis_number")
+
+
+@register("history_timeline")
+def history_timeline(spark, sf):
+    """J3 from the same kept history."""
+    return _kept_history(spark, sf).timeline()
+
+
 @register("timeline_frames")
 def timeline_frames(spark, sf):
     """J3 (dates as ISO text)."""

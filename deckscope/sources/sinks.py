@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
+from deckscope.sources.committed import CommittedTable
 
 log = logging.getLogger(__name__)
 
@@ -52,12 +53,19 @@ def export_predictions(pred: DataFrame, path: str) -> None:
     pred.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_history(results: DataFrame, path: str) -> None:
-    """Append results to the history table, partitioned by analysis date."""
+def append_history(results: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Append results to the history table, partitioned by analysis date.
+
+    With a ``batch_id`` the append is a committed batch (``sources.committed``;
+    read it with ``CommittedTable(spark, path, ["analysis_date"]).read()``): a
+    retry adds nothing and an append that died shows nothing."""
     out = results
     if "analysis_date" not in out.columns:
         ts = F.col("timestamp") if "timestamp" in out.columns else F.current_timestamp()
         out = out.withColumn("analysis_date", F.to_date(ts))
+    if batch_id is not None:
+        CommittedTable(results.sparkSession, path, ["analysis_date"]).append(out, batch_id)
+        return
     out.write.mode("append").partitionBy("analysis_date").parquet(path)
 
 

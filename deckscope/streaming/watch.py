@@ -11,6 +11,7 @@ of duplicating it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deckscope.plans.document_plan import analyze, route_errors, with_extraction
+from deckscope.sources.committed import CommittedTable, ResultFiles
 from deckscope.sources.documents import BINARY_SCHEMA
+from deckscope.streaming.seen import SeenKeys
 from deckscope.functions.text import deck_name_from_path
 
 PDF_GLOB = "*.[pP][dD][fF]"
@@ -82,7 +85,7 @@ def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoi
                   fmt: str = "parquet", text_col: str = "text", available_now: bool = True,
                   on_result: Callable[[DataFrame, int], None] | None = None,
                   max_files_per_trigger: int | None = None, per_document_csv: bool = False,
-                  unique_key: str | None = None) -> StreamingQuery:
+                  unique_key: str | None = None, committed: bool = False, seen_days: int = 30) -> StreamingQuery:
     """Watch ``input_dir``; per micro batch write scored rows to
     ``output_dir/results`` and too-short documents to ``output_dir/errors``
     (P5), both partitioned by batch id, then call ``on_result`` (P6).
@@ -93,10 +96,36 @@ def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoi
 
     ``unique_key``: documents whose key an earlier batch has written are left
     out.  A batch's scored rows are kept while it is written, so that its
-    results, files and callback share one run of the plan."""
+    results, files and callback share one run of the plan.
+
+    ``committed``: results, errors, per-document files (in hash buckets) and
+    seen keys are committed batches under ``output_dir`` (``sources.committed``,
+    ``streaming.seen``): a batch that died shows nothing, a retried one adds
+    nothing, and ``unique_key`` looks at the keys of the last ``seen_days``
+    days in the batch's buckets instead of all results."""
     stream = watch_table(spark, input_dir, schema, fmt, max_files_per_trigger)
 
+    def commit_batch(batch: DataFrame, batch_id: int) -> None:
+        seen, today = SeenKeys(spark, f"{output_dir}/seen", unique_key or "doc_id", seen_days), date.today()
+        if unique_key is not None:
+            batch = seen.new_rows(batch, batch_id, today)
+        ok, errors = route_errors(with_extraction(batch, text_col))
+        scored = analyze(ok.drop("extracted", "extracted_len"), text_col)
+        res = scored.drop("text", "full_text", "sections", "extracted", "extracted_len").withColumn("batch_id", F.lit(batch_id))
+        results = CommittedTable(spark, f"{output_dir}/results", ["batch_id"])
+        CommittedTable(spark, f"{output_dir}/errors", ["batch_id"]).append(errors.withColumn("batch_id", F.lit(batch_id)), batch_id)
+        results.append(res, batch_id)
+        mine = results.read(lambda m: m["batch"] == str(batch_id))      # what is committed, also after a retry
+        if per_document_csv:
+            ResultFiles(spark, f"{output_dir}/per_document").append(mine, batch_id)
+        if unique_key is not None:
+            seen.remember(batch, batch_id, today)
+        if on_result is not None:
+            on_result(mine, batch_id)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        if committed:
+            return commit_batch(batch, batch_id)
         if unique_key is not None:
             batch = drop_written(batch, f"{output_dir}/results", batch_id, unique_key)
         ext = with_extraction(batch, text_col)
