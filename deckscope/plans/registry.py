@@ -518,20 +518,9 @@ from deckscope.plans.document_plan import analyze  # noqa: E402
 from deckscope.sources import sinks as SK  # noqa: E402
 
 
-_MODELS: dict = {}
-
-
 def _success_model(spark, sf):
-    """The seeded forest for one session and input folder, fitted once and
-    shared by the ML queries (the fit is deterministic)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001
-        app = None
-    key = (id(spark), app, sf)
-    if key not in _MODELS:
-        _MODELS[key] = ML.fit_success_model(_pf(spark, sf))
-    return _MODELS[key]
+    """The forest, fitted anew: some seconds on its bounded sample, and the same for every query."""
+    return ML.fit_success_model(_pf(spark, sf))
 
 
 @register("ml_feature_importance")
