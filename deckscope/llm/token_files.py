@@ -7,9 +7,11 @@ off and A-Z folded first, which the vocabulary's own rules do too.
 
 File format: rows of blocks, ascending by ``doc_id`` over all shards.  A block
 holds the ids of whole documents as ranks by frequency over the whole corpus
-(``vocabulary``: the id of each rank).  Four ranks share a control byte, two
+(the rank table beside the blocks gives the id of each).  Four ranks share a control byte, two
 bits each for 1 to 4 data bytes (least significant first); decoding looks the
 lengths of a control byte up in a table and gathers the bytes with numpy.
+Each block carries the CRC-32 of its bytes; rank table and format version are
+files too, so another session reads everything back from the path alone.
 
 Defined cases: a null or empty text has the end id only; rows of one id (or
 none, which come first) stand side by side, ordered by their ids; an empty
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckscope.session import ensure_checkpoint_dir
+
 from .shared import col, shuffle_partitions, stored
 from .texts import BYTE_VALUES, Words, hash_of, rolled, slices, texts_of
 
@@ -232,7 +237,9 @@ def by_frequency(encoded: DataFrame) -> np.ndarray:
     return np.array([r.id for r in counts], np.uint32)
 
 
-BLOCKS = "shard int, before bigint, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, control binary, data binary"
+BLOCKS = "shard int, before bigint, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, control binary, data binary, crc bigint"
+#: Version of the files' format; readers refuse others.
+FORMAT = 1
 
 
 def write_blocks(encoded: DataFrame, ids: np.ndarray) -> DataFrame:
@@ -251,8 +258,9 @@ def write_blocks(encoded: DataFrame, ids: np.ndarray) -> DataFrame:
             control, data = encode_ranks(ranks)
             known = np.array([d is not None for d in docs])
             values = np.array([d if d is not None else 0 for d in docs], "<i8")
-            row = [[shard], [before], [len(docs)], [len(ranks)], [known.tobytes() + values.tobytes()], [np.array([len(x) for x in parts], "<u8").tobytes()], [control], [data]]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            row = [shard, before, len(docs), len(ranks), known.tobytes() + values.tobytes(), np.array([len(x) for x in parts], "<u8").tobytes(), control, data]
+            row = [[x] for x in (*row, _crc(row[4:]))]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64()]
             return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], BLOCKS.replace(" binary", "").replace(" bigint", "").replace(" int", "").split(", "))
 
         for batch in batches:
@@ -270,13 +278,41 @@ def write_blocks(encoded: DataFrame, ids: np.ndarray) -> DataFrame:
     return encoded.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions(*order).select(*order).mapInArrow(run, BLOCKS)
 
 
-def write_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(the files as a table of blocks, the id of each rank)."""
+def _crc(parts: list[bytes]) -> int:
+    crc = 0
+    for x in parts:
+        crc = zlib.crc32(x, crc)
+    return crc
+
+
+def save_files(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The files under ``path``: ``blocks`` (ranks), ``ranks`` (the id of each rank, at most the vocabulary) and, last, ``format`` (version, files' ids).
+
+    They stand alone: :func:`load_files` needs the path only."""
+    spark = docs.sparkSession
     if dict(docs.dtypes)[id_col] != "bigint":
         docs = docs.withColumn(id_col, col(id_col).cast("bigint"))
     encoded = stored(encode_texts(docs, vocabulary, id_col, text_col), "token-ids", codec="zstd")
     ids = by_frequency(encoded)
-    return stored(write_blocks(encoded, ids), "token-files", codec="zstd"), ids
+    write_blocks(encoded, ids).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    spark.createDataFrame(list(enumerate(ids.tolist())), "rank long, id long").write.parquet(f"{path}/ranks")
+    spark.createDataFrame([(FORMAT, len(ids), _crc([ids.astype("<u4").tobytes()]))], "version int, ids long, crc long").write.parquet(f"{path}/format")
+
+
+def load_files(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(the files' blocks, the id of each rank), from the path alone; an error if the version or the rank table is not what was written."""
+    told = spark.read.parquet(f"{path}/format").first()
+    ids = np.array([r.id for r in sorted(spark.read.schema("rank long, id long").parquet(f"{path}/ranks").collect())], np.uint32)
+    if told.version != FORMAT or told.ids != len(ids) or told.crc != _crc([ids.astype("<u4").tobytes()]):
+        raise ValueError(f"{path} holds no token files of version {FORMAT}")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), ids
+
+
+def write_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(the files as a table of blocks, the id of each rank), written under ``path`` (else in the shared folder) and read back."""
+    path = path or f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/tables/token-files-{uuid.uuid4().hex}"
+    save_files(docs, vocabulary, path, id_col, text_col)
+    return load_files(docs.sparkSession, path)
 
 
 def read_documents_ids(blocks: DataFrame, ids: np.ndarray, make, schema: str) -> DataFrame:
@@ -292,6 +328,8 @@ def read_documents_ids(blocks: DataFrame, ids: np.ndarray, make, schema: str) ->
         by_rank, offset = shared.value
         for batch in batches:
             for r in batch.to_pylist():
+                if _crc([r[c] for c in ("doc_ids", "lengths", "control", "data")]) != r["crc"]:
+                    raise ValueError(f"block at {r['before']} of file {r['shard']} is not what was written")
                 got = by_rank[decode_ranks(r["control"], r["data"], r["n_ids"])]
                 n = r["n_docs"]
                 known, values = np.frombuffer(r["doc_ids"][:n], bool), np.frombuffer(r["doc_ids"][n:], "<i8")

@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from deckscope.llm import piece_viterbi, token_files, token_prefix
 from deckscope.llm.queries import QUERIES, tokenizer_path
 
@@ -72,6 +74,22 @@ def test_files_empty(spark):
     assert token_files.read_documents_ids(blocks, ids, token_files.digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").count() == 0
 
 
+def test_files_stand_alone(spark, tmp_path):
+    """Another session reads them from the path alone; damaged and foreign files are told."""
+    path, schema = str(tmp_path / "files"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    token_files.save_files(docs, token_files.vocabulary_text(tokenizer_path("word_bpe_49k.json")), path)
+    other = spark.newSession()
+    blocks, ids = token_files.load_files(other, path)
+    assert sorted(token_files.read_documents_ids(blocks, ids, token_files.digest, schema).collect()) == sorted(QUERIES["op6_token_files"](spark, SF).collect())
+    damaged = blocks.withColumn("data", F.concat(F.substring("data", 1, 5), F.lit("x").cast("binary"), F.expr("substring(data, 7)")))
+    with pytest.raises(Exception, match="is not what was written"):
+        token_files.read_documents_ids(damaged, ids, token_files.digest, schema).count()
+    other.createDataFrame([(token_files.FORMAT + 1, len(ids), 0)], "version int, ids long, crc long").write.mode("overwrite").parquet(f"{path}/format")
+    with pytest.raises(ValueError, match="version"):
+        token_files.load_files(other, path)
+
+
 def byte_counter():
     return token_prefix.Counter(token_prefix.Vocabulary(token_files.vocabulary_text(tokenizer_path("byte_bpe_50k.json"))))
 
