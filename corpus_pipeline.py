@@ -5,8 +5,8 @@ stage's result as Parquet into the shared checkpoint folder and reads it back
 as the next one's documents.  All stages but the last return the columns of
 ``documents``.
 
-Defined cases are those of the operators; a document whose id is null is kept
-by the stages that compare documents unless a document with an id is like it.
+Defined cases are those of the operators; of rows that are like each other one
+stays, also where they share an id or have none.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from deckscope.llm import line_dedup, ngram_join, piece_viterbi, quality_cascade, string_tiling
 from deckscope.llm.queries import model_bytes, tokenizer_path
-from deckscope.llm.shared import read_documents, stored
+from deckscope.llm.shared import col, free_name, read_documents, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,18 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of like documents the one with the smallest id; documents without words are like none."""
-    alike = ngram_join.join_similar(docs).select(F.col("doc_id").alias("like_id"), "component_id")
-    gone = alike.where("like_id <> component_id").select("like_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["like_id"], "left_anti")
+    """One row of each group of like ones: the smallest id (none comes last), then the first row; rows without words are like none.
+
+    Decided by row, not by id: rows are numbered, and the numbered rows stored, before they are compared."""
+    row = free_name(docs.columns, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    alike = ngram_join.join_similar(numbered, row).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    groups = alike.where("row <> component_id").select("component_id").distinct()
+    members = stored(alike.join(groups, "component_id").join(ids, "row"), "alike")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    gone = members.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*(col(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
