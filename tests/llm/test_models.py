@@ -374,6 +374,20 @@ def test_pipeline(spark):
     assert len(P.STAGES) == 5 and 0 < len(got) < len(docs)
 
 
+def test_pipeline_near_duplicates_by_row(spark):
+    """An id with two texts, copies under one id, copies without an id: one row of each group stays, and no other goes."""
+    import corpus_pipeline as P
+
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, words("a"), "x"), (2, words("a"), "x"), (2, words("b"), "x"), (3, words("c"), "x"), (3, words("c"), "x"), (None, words("d"), "x"), (None, words("d"), "x"),
+            (None, words("a"), "x"), (9, words("e") + " end", "x"), (8, words("e"), "x"), (4, "", "x"), (4, "", "x"), (5, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _row", "2 as component_id").repartition(3)
+    out = P.near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    want = [(1, words("a")), (2, words("b")), (3, words("c")), (None, words("d")), (8, words("e")), (4, ""), (4, ""), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as P
 
