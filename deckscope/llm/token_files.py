@@ -41,6 +41,8 @@ from .texts import BYTE_VALUES, Words, hash_of, rolled, slices, texts_of
 END_ID = 1
 #: Distinct pieces a task remembers at most, and ids of a block at most (a longer document is a block of its own).
 REMEMBERED, BLOCK_IDS = 500_000, 1 << 19
+#: Texts of some 4000 characters whose encodings are held at once.
+GROUP = 32
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _TAIL = np.zeros(256, bool)
@@ -70,6 +72,12 @@ class Encoder:
     def forget(self):
         self.hash, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    @staticmethod
+    def _encoded(call, texts: list[str]) -> Iterator:
+        """The library's encodings, ``GROUP`` texts at a time: they are large beside the ids that are kept."""
+        for a in range(0, len(texts), GROUP):
+            yield from call(texts[a : a + GROUP], add_special_tokens=False)
+
     def _learn(self, pieces: list[str], hashes: np.ndarray):
         """Joined by spaces, many pieces are one call.  A piece of letters alone ends with the first token that ends a
         word; of others a token's offset tells its piece."""
@@ -82,7 +90,7 @@ class Encoder:
             edges = np.unique(np.concatenate([[0], edges, [len(mine)]])).tolist()
             texts = [" ".join(mine[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
             if kind:
-                ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+                ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self._encoded(self.tokenizer.encode_batch_fast, texts))])
                 end = np.flatnonzero(self.ends[ids])
                 if len(end) != len(mine):  # letters to us that are none to the library: all go by offsets
                     plain[:] = False
@@ -90,7 +98,7 @@ class Encoder:
                 counts[of] = np.diff(end, prepend=-1)
             else:
                 got = []
-                for a, b, e in zip(edges, edges[1:], self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=False):
+                for a, b, e in zip(edges, edges[1:], self._encoded(self.tokenizer.encode_batch, texts), strict=False):
                     starts = np.cumsum([0] + [len(x) + 1 for x in mine[a : b - 1]])
                     begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
                     counts[of[a:b]] = np.bincount(np.searchsorted(starts, begin, "right") - 1, minlength=b - a)
