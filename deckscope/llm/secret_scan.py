@@ -17,7 +17,9 @@ middle, and serial correlation of neighbours.  Simes' rule joins the three.
 Benjamini and Hochberg's rule over the whole table, weighted by length (long
 runs have the power to be told apart, so they may claim more of the level),
 finds the runs that are *not* random; the others are spans of kind ``random``
-(parts only outside of such a run).
+(parts only outside of such a run).  What touches or holds a span is told by
+binary searches in sorted starts and ends, so a text of very many runs takes
+time near their number.
 Its threshold comes from a histogram of at most ``BINS`` bins.
 
 Defined cases: null text is empty; no span gives empty lists; a row depends on
@@ -92,6 +94,19 @@ def _with_spans(df: DataFrame, text: str, name: str, pattern: str, maybe: Column
     return df.drop(*(f"{name}_{x}" for x in "mgabce"))
 
 
+def _with_sorted_ends(df: DataFrame, name: str, *spans: str) -> DataFrame:
+    """Adds ``{name}_s`` and ``{name}_e``: starts and ends of the spans, each sorted."""
+    both = F.concat(*spans)
+    return df.withColumns({f"{name}_s": F.sort_array(F.transform(both, lambda k: k["s"])), f"{name}_e": F.sort_array(F.transform(both, lambda k: k["e"]))})
+
+
+def _below(name: str, x: Column) -> Column:
+    """How many of a sorted column of numbers are less than x: a binary search, so a span costs 31 looks however many there are."""
+    steps = F.array(*(F.lit(1 << k).cast("long") for k in range(30, -1, -1)))
+    fits = lambda at, k: (at + k <= F.size(name)) & (F.get(col(name), (at + k - 1).cast("int")) < x)
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda at, k: F.when(fits(at, k), at + k).otherwise(at))
+
+
 def _tail(z: Column) -> Column:
     """The normal distribution's share above z, at least 1e-16."""
     return F.greatest(F.lit(1e-16), (1 - erf(z / F.lit(2.0 ** 0.5))) / 2)
@@ -153,8 +168,9 @@ def patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         df = _with_spans(df, "text", name, pattern, maybe[name], group, least)
     df = _with_spans(df, "text", "run", RUN, F.col("text").rlike("[A-Za-z0-9+/_-]{18}"), 0, RUN_MIN)
     df = _with_spans(df, "text", "part", PART, F.col("text").rlike("/[A-Za-z0-9+_-]{18}|[A-Za-z0-9+_-]{18}/"), 0, RUN_MIN)
-    df = df.withColumn("known", F.concat(*(F.col(k[0]) for k in KINDS)))
-    df = df.withColumn("fresh", F.filter(F.concat("run", "part"), lambda r: ~F.exists(col("known"), lambda k: (k["s"] < r["e"]) & (r["s"] < k["e"])) & (F.size("known") >= 0)))
+    df = _with_sorted_ends(df, "known", *(k[0] for k in KINDS))
+    # as many spans begin before a run's end as end up to its start: none touches it
+    df = df.withColumn("fresh", F.filter(F.concat("run", "part"), lambda r: _below("known_s", r["e"]) == _below("known_e", r["s"] + 1)))
     slim = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k)
     return df.select("doc_id", *(slim(k[0]) for k in KINDS), _tested(col("fresh")).alias("runs"))
 
@@ -181,6 +197,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
     mean, most = threshold(found, level)
     label = lambda a, i, kind: F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("order"), F.lit(kind).alias("kind"), x["e"].alias("e")))
     found = found.withColumn("runs", F.filter("runs", lambda r: r["p"] * mean / r["n"] > most))
-    random = F.filter("runs", lambda x: ~F.exists("runs", lambda r: (r["s"] <= x["s"]) & (x["e"] <= r["e"]) & (r["n"] > x["n"])))  # no parts of one that is there
+    found = _with_sorted_ends(found, "runs", "runs")
+    # no parts of one that is there: runs are apart and parts lie in them apart, so what begins up to a span's start and has not ended before its end holds it
+    random = F.filter("runs", lambda x: _below("runs_s", x["s"] + 1) - _below("runs_e", x["e"]) < 2)
     kinds = [label(F.col(k[0]), i, k[0]) for i, k in enumerate(KINDS)] + [label(random, len(KINDS), "random")]
     return found.select("doc_id", F.sort_array(F.concat(*kinds)).alias("spans"))

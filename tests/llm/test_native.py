@@ -60,6 +60,29 @@ def test_secrets_padding_is_no_length(spark):
     assert got == {1: [], 2: [], 3: [], 4: [(2, 22)], 5: []}
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(3)
+    hexes = [f"{rng.getrandbits(128):032x}  dir/file{i}.bin" for i in range(20_000)]
+    paths = ["/".join("".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=20)) for _ in range(3)) for _ in range(4_000)]
+    rows = [(1, "\n".join(hexes)), (2, "\n".join(paths + hexes[:4_000])), (3, "\n".join(paths[:7]))]
+    t = time.time()
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - t < 60
+    for i, text in rows:
+        known = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+        assert [(s, e) for k, s, e in got[i] if k == "hex"] == known
+        random_ones = [(s, e) for k, s, e in got[i] if k == "random"]
+        lines = [(m.start(), m.end()) for m in re.finditer("[^\n]+", text) if "/" in m.group() and "file" not in m.group()]
+        whole = set(lines)
+        assert all((s, e) in whole or any(a <= s and e <= b for a, b in lines) for s, e in random_ones[:200])
+        assert all(a[1] <= b[0] for a, b in zip(random_ones, random_ones[1:], strict=False))  # no part of a run that is there
+    assert got[3] and len(got[2]) > 7_000
+
+
 def test_secrets_names_paths_alphabets(spark):
     """A name's value, a path's part, and random runs of few kinds of characters; words stay out."""
     import random
