@@ -9,6 +9,11 @@ never overlap but may stand in any order, so a passage that was cut up and put
 together anew is caught.  A document is contaminated by an item if its tiles
 cover at least ``percent`` of the item's tokens.
 
+Seeds first tell, each counted once a text, which items they could cover far
+enough; for those the pairs of places become runs on their diagonals, ``CHUNK``
+pairs at a time, so a word repeated all over a text and an item takes the
+memory of its runs and not of its pairs.
+
 The items of one block (``BLOCK_CHARS`` of text at most, whatever the size of
 the benchmark) go to all tasks; a larger benchmark takes more passes.
 
@@ -35,6 +40,8 @@ from .texts import PUNCTUATION, Words, hash_of, rolled, slices, texts_of
 MIN_MATCH, PERCENT = 5, 50
 #: Characters of test items that go to the tasks at once.
 BLOCK_CHARS = 1 << 24
+#: Pairs of places that are looked at at once (32 bytes each, some times over).
+CHUNK = 1 << 20
 
 
 class Items:
@@ -55,52 +62,116 @@ class Items:
                 item = words.doc[at][order]
                 self.seeds[m] = SortedKeys(keys), np.append(first, len(order)), item, (at - words.first[words.doc[at]])[order]
 
-    def hits(self, words: Words) -> tuple[np.ndarray, ...]:
-        """(text, item, place in the text, place in the item, tokens) of all shared seeds."""
-        out = [np.zeros((0, 5), np.int64)]
-        sums = rolled(words.hash)
+    def likely(self, words: Words) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of seed tokens: it, the seeds' places in the texts and their keys, and the pairs (text times the number of items, plus item) whose
+        seeds cover enough of the item; tiles cover no more.  A text counts a key once, however often it has it."""
+        out, sums, many = [], rolled(words.hash), len(self.size)
         for m, (keys, first, item, place) in self.seeds.items():
             at = np.arange(max(0, len(words.hash) - m + 1))
             at = at[words.doc[at] == words.doc[at + m - 1]] if len(at) else at
             hit, k = keys.hits(hash_of(sums, at, at + m))
-            n = first[k + 1] - first[k]
-            which = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at[hit], n)
-            out.append(np.stack([words.doc[at], item[which], at - words.first[words.doc[at]], place[which], np.full(len(at), m)], axis=1))
-        return tuple(np.concatenate(out).T)
+            at = at[hit]
+            once = np.unique(words.doc[at] * np.int64(len(keys.keys) + 1) + k)
+            doc, key = once // (len(keys.keys) + 1), once % (len(keys.keys) + 1)
+            pairs = []
+            for a, b in chunks(first[key + 1] - first[key], edges=doc):
+                which, n = expand(first, key[a:b])
+                pair, j = np.repeat(doc[a:b], n) * many + item[which], place[which]
+                order = np.lexsort((j, pair))
+                pair, j = pair[order], j[order]
+                new = np.diff(pair, prepend=-1) != 0
+                # tokens from the last seed's end on, in order of places
+                fresh = np.where(new, m, np.minimum(m, np.diff(j, prepend=0)))
+                starts = np.flatnonzero(new)
+                covered = np.add.reduceat(fresh, starts) if len(starts) else fresh
+                pair = pair[starts]
+                pairs.append(pair[100 * covered >= self.percent * self.size[pair % many]])
+            out.append((m, at, k, np.concatenate([np.zeros(0, np.int64), *pairs])))
+        return out
+
+    def common(self, words: Words) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, seed tokens, places in the text, places in the item, seeds in a row) of the pairs that ``likely`` leaves: their maximal common runs.
+
+        Pairs of places exist for ``CHUNK`` at a time only; what is kept of them are runs."""
+        many = len(self.size)
+        for m, at, k, pairs in self.likely(words):
+            _, first, item, place = self.seeds[m]
+            doc = words.doc[at]
+            for d, lo, hi in groups(pairs // many):
+                here = slice(*np.searchsorted(doc, [d, d + 1]))
+                at_d, k_d, runs, wanted = at[here] - words.first[d], k[here], np.zeros((0, 4), np.int64), np.zeros(many, bool)
+                wanted[pairs[lo:hi] % many] = True
+                for a, b in chunks(first[k_d + 1] - first[k_d]):
+                    which, n = expand(first, k_d[a:b])
+                    i = np.repeat(at_d[a:b], n)
+                    good = wanted[item[which]]
+                    which, i = which[good], i[good]
+                    seeds = np.stack([item[which], place[which] - i, i, np.ones(len(i), np.int64)], axis=1)
+                    runs = np.concatenate([runs, joined(seeds)])
+                runs = joined(runs)
+                for t, a, b in groups(runs[:, 0]):
+                    yield d, t, m, runs[a:b, 2], runs[a:b, 1] + runs[a:b, 2], runs[a:b, 3]
 
     def tiled(self, words: Words) -> list[tuple[int, int, int]]:
         """(text, item, covered tokens of the item) of contaminated pairs."""
-        doc, item, i, j, m = self.hits(words)
-        order = np.lexsort((i, i - j, item, doc))
-        doc, item, i, j, m = (x[order] for x in (doc, item, i, j, m))
-        edges = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1, [len(doc)]]) if len(doc) else np.zeros(1, int)
         out = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            size = int(self.size[item[a]])
-            reach = np.zeros(size + 1, np.int64)
-            np.add.at(reach, j[a:b], 1)
-            np.add.at(reach, j[a:b] + m[a], -1)
-            if 100 * int((np.cumsum(reach)[:-1] > 0).sum()) >= self.percent * size:  # seeds cover all that tiles can
-                covered = tile(i[a:b], j[a:b], int(m[a]), size)
-                if 100 * covered >= self.percent * size:
-                    out.append((int(doc[a]), int(item[a]), covered))
-        return out
+        for doc, item, m, i, j, seeds in self.common(words):
+            size = int(self.size[item])
+            covered = tile(i, j, seeds + m - 1, m, size)
+            if 100 * covered >= self.percent * size:
+                out.append((doc, item, covered))
+        return sorted(out)
+
+
+def groups(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of stretches of equal values."""
+    turn = np.flatnonzero(np.diff(x)) + 1
+    if len(x):
+        for a, b in zip([0, *turn.tolist()], [*turn.tolist(), len(x)], strict=True):
+            yield int(x[a]), a, b
+
+
+def chunks(n: np.ndarray, edges: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches whose ``n`` sum to about ``CHUNK``; where ``edges`` are given, they end only where those change."""
+    total, a = np.cumsum(n), 0
+    ends = np.arange(1, len(n) + 1) if edges is None else np.append(np.flatnonzero(np.diff(edges)) + 1, len(n)) if len(n) else np.zeros(0, np.int64)
+    sums = total[ends - 1]
+    while a < len(n):
+        k = np.searchsorted(sums, (total[a - 1] if a else 0) + CHUNK, "right")
+        b = int(ends[max(k - 1, np.searchsorted(ends, a, "right"))])
+        yield a, b
+        a = b
+
+
+def expand(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the entries of all ``keys``, how many each has)."""
+    n = first[keys + 1] - first[keys]
+    return np.repeat(first[keys], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), n
+
+
+def joined(runs: np.ndarray) -> np.ndarray:
+    """Runs (item, diagonal, place in the text, seeds) in order, those that follow each other put together."""
+    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    if not len(runs):
+        return runs
+    new = np.ones(len(runs), bool)
+    new[1:] = (np.diff(runs[:, 0]) != 0) | (np.diff(runs[:, 1]) != 0) | (runs[1:, 2] != runs[:-1, 2] + runs[:-1, 3])
+    out = runs[new]
+    out[:, 3] = np.add.reduceat(runs[:, 3], np.flatnonzero(new))
+    return out
 
 
-def tile(i: np.ndarray, j: np.ndarray, m: int, size: int) -> int:
-    """Tokens of an item of ``size`` that greedy tiles cover; seeds of ``m`` tokens at (i, j), sorted by diagonal."""
-    turn = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
-    first, last = np.concatenate([[0], turn]), np.concatenate([turn, [len(i)]]) - 1
-    runs = [(-int(i[b] - i[a] + m), int(j[a]), int(i[a])) for a, b in zip(first, last, strict=True)]  # maximal common runs
+def tile(i: np.ndarray, j: np.ndarray, n: np.ndarray, m: int, size: int) -> int:
+    """Tokens of an item of ``size`` that greedy tiles cover; maximal common runs of ``n`` tokens at (i, j), ``m`` at least."""
+    runs = list(zip((-n).tolist(), j.tolist(), i.tolist(), strict=True))
     heapq.heapify(runs)
-    in_text, in_item, covered = set(), np.zeros(size, bool), 0
+    base = int(i.min())
+    in_text, in_item, covered = np.zeros(int((i + n).max()) - base, bool), np.zeros(size, bool), 0
     while runs and covered < size:
         n, y, x = heapq.heappop(runs)
-        free = np.array([not in_item[y + k] and x + k not in in_text for k in range(-n)])
+        free = ~(in_item[y : y - n] | in_text[x - base : x - base - n])
         if free.all():
-            in_item[y : y - n] = True
-            in_text.update(range(x, x - n))
+            in_item[y : y - n] = in_text[x - base : x - base - n] = True
             covered -= n
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))

@@ -339,6 +339,27 @@ def test_tiling_is_greedy_string_tiling(spark):
     assert string_tiling.drop_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
+def test_tiling_of_repeated_words_keeps_runs_not_pairs(monkeypatch):
+    import tracemalloc
+
+    from deckscope.llm.texts import PUNCTUATION, Words
+
+    rng = random.Random(9)
+    items = [(1, "a " * 9), (2, "a b " * 7), (3, "a a b a b b a a"), (4, "b"), (5, "a b a"), (6, "c " + "a " * 6 + "b c a b")]
+    texts = [" ".join(rng.choices("abc", weights=[6, 3, 1], k=rng.randint(0, 40))) for _ in range(60)] + ["a " * 50, "b a " * 30]
+    want = sorted((d, i, c) for d, t in enumerate(texts) for i, (_, s) in enumerate(items) for c, n in [tiles(t, s)] if c and 100 * c >= string_tiling.PERCENT * n)
+    for chunk in (1, 7, string_tiling.CHUNK):
+        monkeypatch.setattr(string_tiling, "CHUNK", chunk)
+        assert sorted(string_tiling.Items(items).tiled(Words([t.encode() for t in texts], space=PUNCTUATION))) == want and len(want) > 100
+    monkeypatch.undo()
+    big = string_tiling.Items([(1, "word " * 240), (2, "word " * 200 + "other text that is not there " * 10)])
+    tracemalloc.start()
+    found = big.tiled(Words([b"word " * 200_000], space=PUNCTUATION))  # 48 million pairs of places
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, 0, 240), (0, 1, 200)] and peak < 500e6
+
+
 def test_tiling_in_blocks(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, QUERIES["op7_decontamination"](spark, SF).collect()))
