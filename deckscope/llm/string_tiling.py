@@ -150,10 +150,11 @@ def expand(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def joined(runs: np.ndarray) -> np.ndarray:
-    """Runs (item, diagonal, place in the text, seeds) in order, those that follow each other put together."""
-    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+    """Runs (item, diagonal, place in the text, seeds), given by place, in order; those that follow each other put together."""
     if not len(runs):
         return runs
+    low, high = int(runs[:, 1].min()), int(runs[:, 1].max())
+    runs = runs[np.argsort(runs[:, 0] * (high - low + 1) + (runs[:, 1] - low), kind="stable")]
     new = np.ones(len(runs), bool)
     new[1:] = (np.diff(runs[:, 0]) != 0) | (np.diff(runs[:, 1]) != 0) | (runs[1:, 2] != runs[:-1, 2] + runs[:-1, 3])
     out = runs[new]
@@ -165,15 +166,20 @@ def tile(i: np.ndarray, j: np.ndarray, n: np.ndarray, m: int, size: int) -> int:
     """Tokens of an item of ``size`` that greedy tiles cover; maximal common runs of ``n`` tokens at (i, j), ``m`` at least."""
     runs = list(zip((-n).tolist(), j.tolist(), i.tolist(), strict=True))
     heapq.heapify(runs)
-    base = int(i.min())
+    base, reach = int(i.min()), np.zeros(size + 1, np.int64)
+    np.add.at(reach, j, 1)
+    np.add.at(reach, j + n, -1)
+    most = int((np.cumsum(reach) > 0).sum())  # tokens in any run
     in_text, in_item, covered = np.zeros(int((i + n).max()) - base, bool), np.zeros(size, bool), 0
-    while runs and covered < size:
+    while runs and covered < most:
         n, y, x = heapq.heappop(runs)
         free = ~(in_item[y : y - n] | in_text[x - base : x - base - n])
         if free.all():
             in_item[y : y - n] = in_text[x - base : x - base - n] = True
             covered -= n
             continue
+        if np.count_nonzero(free) < m:
+            continue
         edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= m:
