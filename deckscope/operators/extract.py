@@ -67,6 +67,40 @@ def diagnose_files(files: DataFrame) -> DataFrame:
         (large | ~enc).alias("can_process"))
 
 
+def diagnose(files: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """B1, both halves in one row a document: file facts ``(id, path, length,
+    encrypted, open_error)`` (the last two may be missing) joined with the page
+    table's one aggregate.
+
+    The first that holds decides: too large (warning, still processable), could
+    not be opened (error, with its reason), encrypted (error), no readable page
+    (warning), else ok; the first three say nothing of the pages.  A file
+    without pages has none to read; pages without a file row have no name or
+    size.  One row a file row: an id that several files share is joined to each."""
+    for c, kind in (("encrypted", "boolean"), ("open_error", "string")):
+        if c not in files.columns:
+            files = files.withColumn(c, F.lit(None).cast(kind))
+    f = files.select(id_col, "path", (F.col("length") / F.lit(1024.0 * 1024.0)).alias("file_size_mb"),
+                     F.coalesce("encrypted", F.lit(False)).alias("_encrypted"), F.col("open_error").alias("_error"))
+    p = diagnose_pages(pages, id_col).select(id_col, *(F.col(c).alias(f"_{c}") for c in ("pages", "has_text", "has_images", "text_sample")))
+    j = f.join(p, id_col, "full")
+    large = F.coalesce(F.col("file_size_mb") > L.MAX_FILE_SIZE_MB, F.lit(False))
+    failed, locked = F.col("_error").isNotNull(), F.coalesce("_encrypted", F.lit(False))
+    seen = ~(large | failed | locked)
+    has_text, has_images = F.coalesce("_has_text", F.lit(False)), F.coalesce("_has_images", F.lit(False))
+    blank = seen & ~has_text & ~has_images
+    when = lambda c: F.when(seen, c)
+    return j.select(
+        id_col, T.deck_name_from_path(F.col("path")).alias("deck_name"), F.element_at(F.split("path", "/"), -1).alias("filename"), "file_size_mb",
+        when(F.coalesce("_pages", F.lit(0).cast("long"))).alias("pages"), F.when(~large & ~failed, locked).alias("encrypted"),
+        when(has_text).alias("has_text"), when(has_images).alias("has_images"), when(F.coalesce("_text_sample", F.lit(""))).alias("text_sample"),
+        F.when(large | blank, "warning").when(failed | locked, "error").otherwise("ok").alias("status"),
+        F.when(large, F.format_string("Large file (%.1fMB) - may be slow", np_round(F.col("file_size_mb"), 1)))
+        .when(failed, F.concat(F.lit("Cannot open PDF: "), "_error")).when(locked, F.lit("PDF is password protected"))
+        .when(blank, F.lit("No readable content detected")).alias("message"),
+        (large | seen).alias("can_process"))
+
+
 def diagnosis_summary(diag: DataFrame) -> DataFrame:
     """B2: processable / total and the status counts, one row."""
     return diag.agg(

@@ -18,7 +18,7 @@ import sys
 
 from deckscope import lexicons as L
 from deckscope.operators.ranking import materialize, summary_table
-from deckscope.plans.document_plan import analyze, batch_run_metrics, route_errors, with_extraction
+from deckscope.plans.document_plan import analyze, route_errors, timed_run, with_extraction
 from deckscope.plans.portfolio_plan import write_report
 from deckscope.session import get_spark
 from deckscope.sources import sinks as SK
@@ -28,14 +28,13 @@ from deckscope.sources.tables import spread
 def run_batch(spark, input_path: str, output: str, responses: str | None = None) -> dict:
     docs = spread(spark.read.parquet(input_path))
     resp = spark.read.parquet(responses) if responses else None
-    results = materialize(analyze(docs, responses=resp, keep_text=False)
-                          .drop("text", "extracted", "full_text", "sections"))
+    results, metrics = timed_run(docs, lambda d: materialize(analyze(d, responses=resp, keep_text=False)
+                                                             .drop("text", "extracted", "full_text", "sections")))
     SK.write_ranked_csv(summary_table(results, materialize_input=False), f"{output}/ranked")
     _, errors = route_errors(with_extraction(docs))
     errors.write.mode("overwrite").parquet(f"{output}/errors")
     report = write_report(results, f"{output}/report")
     SK.append_history(results.select("deck_name", "category", *L.DIMENSIONS, "composite_score"), f"{output}/history")
-    metrics = batch_run_metrics(with_extraction(docs)).first().asDict()
     return {"metrics": metrics, "report": report}
 
 

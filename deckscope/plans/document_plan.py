@@ -8,7 +8,10 @@ plan, so one bad document never stops the others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
@@ -82,11 +85,32 @@ def results(df: DataFrame, text_col: str = "text", responses: DataFrame | None =
     )
 
 
+def timed_run(docs: DataFrame, work: Callable[[DataFrame], object], text_col: str = "text") -> tuple[object, dict]:
+    """I15 without a second pass: (what ``work`` gives, the run's metrics).
+
+    ``work`` takes the documents and writes what it makes of them; the counts
+    are observed in that job while the rows go by, so ``docs`` is read once.
+    ``total_seconds`` is the driver's clock around ``work``,
+    ``average_seconds`` that over all documents (None without any).  The first
+    job that reads all of ``docs`` gives the counts; a stage that is computed
+    again after a lost executor may be counted twice, so
+    :func:`batch_run_metrics` stays for exact counts."""
+    seen = Observation()
+    length = F.length(T.strip_ws(F.coalesce(F.col(text_col), F.lit(""))))
+    watched = docs.observe(seen, F.count_if(length >= L.MIN_TEXT_LENGTH).alias("succeeded"),
+                           F.count_if(length < L.MIN_TEXT_LENGTH).alias("failed"), F.count(F.lit(1)).alias("total"))
+    start = time.monotonic()
+    out = work(watched)
+    seconds = time.monotonic() - start
+    counts = {k: int(v or 0) for k, v in seen.get.items()}
+    return out, {**counts, "total_seconds": seconds, "average_seconds": seconds / counts["total"] if counts["total"] else None}
+
+
 def batch_run_metrics(extracted: DataFrame) -> DataFrame:
     """Documents processed / failed / total in a run (one row, one
     pass).  ``extracted`` is the output of :func:`with_extraction`.
-    Per-document wall time is not measured inside a distributed plan; stage
-    timings are in the Spark event log."""
+    For run time see :func:`timed_run`; the time of one document is not
+    measured inside a distributed plan."""
     ok = F.col("extracted_len") >= L.MIN_TEXT_LENGTH
     return extracted.agg(F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"),
                          F.count(F.lit(1)).alias("total"))

@@ -757,3 +757,51 @@ def _collect_results():
     b = (f"SELECT s.doc_id, s.deck_name, s.composite_score, NULL::VARCHAR AS category, l.readability_score, "
          f"'documents' AS batch FROM ({scored}) s JOIN ({lang}) l USING (doc_id)")
     return f"{a} UNION ALL {b}"
+
+
+def _on_hard(name: str, rows: str = "true") -> str:
+    """The statement of ``name`` on the hard rows that ``rows`` names."""
+    return ORACLE[name].replace(S.portfolio_cte(), f"SELECT * FROM ({S.hard_portfolio_cte()}) WHERE {rows}")
+
+
+for _name in ("portfolio_stats", "batch_summary", "score_histogram"):
+    ORACLE[f"hard_{_name}"] = _on_hard(_name)
+for _name in ("category_performance", "category_distribution"):
+    ORACLE[f"hard_{_name}"] = _on_hard(_name, "category IS NOT NULL")
+# rows without a category count in the root alone
+ORACLE["hard_tier_hierarchy"] = f"SELECT * FROM ({_on_hard('tier_hierarchy')}) WHERE id IS NOT NULL"
+
+
+@oracle("diagnose")
+def _diagnose():
+    n = "sum(coalesce(length(text), 0))"
+    f = (f"SELECT conv_id AS doc_id, {n} * (conv_id % 3) * 100000 AS length, conv_id % 11 = 0 AS locked, "
+         f"CASE WHEN conv_id % 13 = 0 THEN 'bad table ' || CAST(conv_id AS VARCHAR) END AS error FROM conversations GROUP BY conv_id "
+         f"UNION ALL SELECT conv_id + 1000000000, {n}, false, NULL FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id")
+    mb = f"length / {S.num(1024 * 1024)}"
+    kind = (f"CASE WHEN {mb} > {L.MAX_FILE_SIZE_MB} THEN 'large' WHEN error IS NOT NULL THEN 'error' WHEN locked THEN 'locked' "
+            f"WHEN coalesce(d.has_text, false) OR coalesce(d.has_images, false) THEN 'read' ELSE 'blank' END")
+    j = (f"SELECT f.doc_id, {mb} AS mb, error, {kind} AS kind, d.pages, d.has_text, d.has_images, d.text_sample "
+         f"FROM ({f}) f LEFT JOIN ({_diagnosis()}) d USING (doc_id)")
+    seen = lambda x: f"CASE WHEN kind IN ('read', 'blank') THEN {x} END"
+    return (f"SELECT doc_id, 'deck_' || CAST(doc_id AS VARCHAR) AS deck_name, 'deck_' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename, "
+            f"mb AS file_size_mb, {seen('coalesce(pages, 0)')} AS pages, "
+            f"CASE WHEN kind NOT IN ('large', 'error') THEN kind = 'locked' END AS encrypted, {seen('coalesce(has_text, false)')} AS has_text, "
+            f"{seen('coalesce(has_images, false)')} AS has_images, {seen('coalesce(text_sample, ' + chr(39) * 2 + ')')} AS text_sample, "
+            f"CASE kind WHEN 'large' THEN 'warning' WHEN 'blank' THEN 'warning' WHEN 'read' THEN 'ok' ELSE 'error' END AS status, "
+            f"CASE kind WHEN 'large' THEN printf('Large file (%.1fMB) - may be slow', {S.np_round('mb', 1)}) "
+            f"WHEN 'error' THEN 'Cannot open PDF: ' || error WHEN 'locked' THEN 'PDF is password protected' "
+            f"WHEN 'blank' THEN 'No readable content detected' END AS message, kind IN ('large', 'read', 'blank') AS can_process FROM ({j})")
+
+
+@oracle("distinct_decks_by_year")
+def _distinct_decks_by_year():
+    return (f"SELECT strftime(analysis_date, '%Y') AS year, count(deck_name) AS n_values, count(DISTINCT deck_name) AS n_exact, "
+            f"true AS within_bound FROM ({S.history_cte()}) GROUP BY 1")
+
+
+@oracle("vocabulary_by_language")
+def _vocabulary_by_language():
+    w = (r"SELECT coalesce(lang, 'none') AS lang, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word FROM documents")
+    count = "count(*) AS n_values, count(DISTINCT word) AS n_exact, true AS within_bound"
+    return f"WITH w AS ({w}) SELECT lang, {count} FROM w GROUP BY lang UNION ALL SELECT 'all', {count} FROM w HAVING count(*) > 0"

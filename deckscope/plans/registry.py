@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions import text as T
+from deckscope.operators import distinct_sketch as DS
 from deckscope.operators.enrich import enrich
 from deckscope.operators.language import language_metrics
 from deckscope.operators.scoring import drop_internal, score_documents
@@ -435,6 +436,12 @@ def page_diagnosis(spark, sf):
     return EX.diagnose_pages(FX.page_table(spark, sf))
 
 
+@register("diagnose")
+def diagnose(spark, sf):
+    """B1, file and page half in one row."""
+    return EX.diagnose(FX.file_table(spark, sf), FX.page_table(spark, sf))
+
+
 @register("diagnosis_summary")
 def diagnosis_summary(spark, sf):
     """B2."""
@@ -611,3 +618,46 @@ def collect_results_q(spark, sf):
     b = analyze(_docs(spark, sf), with_language=True).select("doc_id", "deck_name", "composite_score",
                                                              "readability_score")
     return collect_results(a.withColumn("batch", F.lit("decks")), b.withColumn("batch", F.lit("documents")))
+
+
+# -- distinct counts by sketches ------------------------------------------------------------
+
+@register("distinct_decks_by_year")
+def distinct_decks_by_year(spark, sf):
+    """I16 over the history: sketches by month, united by year, held against
+    exact counts (whether each estimate is within its bound)."""
+    h = FX.history(spark, sf).select(F.date_format("analysis_date", "yyyy-MM").alias("month"), "deck_name")
+    year = F.substring("month", 1, 4).alias("year")
+    found = DS.estimates(DS.merged(DS.sketches(h, ["month"], "deck_name").select("*", year), ["year"]))
+    exact = h.groupBy(year).agg(F.count_distinct("deck_name").alias("n_exact"))
+    return found.join(exact, "year").select("year", "n_values", "n_exact", DS.within_bound().alias("within_bound"))
+
+
+@register("vocabulary_by_language")
+def vocabulary_by_language(spark, sf):
+    """D4 over the corpus: distinct words of each language's documents and of
+    all, sketches united, held against exact counts."""
+    w = _docs_words(spark, sf)
+    by_lang = DS.sketches(w, ["lang"], "word")
+    found = DS.estimates(by_lang.unionByName(DS.merged(by_lang.withColumn("lang", F.lit("all")), ["lang"])))
+    exact = w.distinct().withColumn("lang", F.explode(F.array("lang", F.lit("all")))).groupBy("lang").agg(F.count_distinct("word").alias("n_exact"))
+    return found.join(exact, "lang").select("lang", "n_values", "n_exact", DS.within_bound().alias("within_bound"))
+
+
+def _docs_words(spark, sf) -> DataFrame:
+    d = spread(read_table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text"))
+    return d.select("lang", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+
+
+# -- the same operators on NULL scores, NULL groups and repeated names -----------------------
+
+def _hard(name: str, build) -> None:
+    QUERIES[f"hard_{name}"] = lambda spark, sf: build(FX.hard_portfolio(spark, sf))
+
+
+_hard("portfolio_stats", lambda df: P.portfolio_stats(df).select("n", *[r6(c).alias(c) for c in ("mean", "std", "median", "min", "max")]))
+_hard("category_performance", lambda df: P.category_performance(df).withColumn("mean", r6("mean")))
+_hard("category_distribution", lambda df: P.category_distribution(df).select("category", "count", r6("percent").alias("percent")))
+_hard("tier_hierarchy", P.tier_hierarchy)
+_hard("batch_summary", lambda df: P.batch_summary(df).withColumn("portfolio_avg", r6("portfolio_avg")))
+_hard("score_histogram", lambda df: P.histogram(df).withColumns({"bin_lo": r6("bin_lo"), "bin_hi": r6("bin_hi")}))

@@ -147,6 +147,14 @@ def portfolio_cte() -> str:
             f"ELSE ({total}) END AS composite_score FROM ({base})")
 
 
+def hard_portfolio_cte() -> str:
+    no_score = f"deck_key % 7 = 0 OR category = {q(PORTFOLIO_CATEGORIES[-1])}"
+    return (f"SELECT * REPLACE (CASE WHEN NOT ({no_score}) THEN composite_score END AS composite_score, "
+            f"CASE WHEN deck_key % 6 <> 0 THEN market_potential END AS market_potential, "
+            f"CASE WHEN deck_key % 5 <> 0 THEN category END AS category, "
+            f"'Deck ' || CAST(deck_key // 3 AS VARCHAR) AS deck_name) FROM ({portfolio_cte()})")
+
+
 def history_cte() -> str:
     return (f"SELECT o.o_orderkey AS analysis_id, p.*, CAST(o.o_orderdate AS TIMESTAMP) AS timestamp, "
             f"CAST(o.o_orderdate AS DATE) AS analysis_date FROM orders o JOIN ({portfolio_cte()}) p "

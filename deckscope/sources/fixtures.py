@@ -168,6 +168,31 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "text", ((F.col("conv_id") + F.col("turn")) % 3).cast("int").alias("n_images"))
 
 
+def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a conversation, its size grown from its text (some beyond the
+    limit), some encrypted or not to be opened, and for every fifth a second
+    file without pages."""
+    conv = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    k = F.col("conv_id")
+    row = lambda i, n, locked, error: F.struct(i.alias("doc_id"), F.concat(F.lit("/in/deck_"), i.cast("string"), F.lit(".pdf")).alias("path"),
+                                               n.alias("length"), locked.alias("encrypted"), error.alias("open_error"))
+    own = row(k, F.col("n") * (k % 3) * 100_000, k % 11 == 0, F.when(k % 13 == 0, F.concat(F.lit("bad table "), k.cast("string"))))
+    second = row(k + 1_000_000_000, F.col("n"), F.lit(None).cast("boolean"), F.lit(None).cast("string"))
+    return conv.select(F.inline(F.when(k % 5 == 0, F.array(own, second)).otherwise(F.array(own))))
+
+
+def hard_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``portfolio`` with NULL composites, dimensions and categories, names
+    that several rows share and, for one category, no score at all."""
+    k, p = F.col("deck_key"), portfolio(spark, sf_dir)
+    no_score = (k % 7 == 0) | (F.col("category") == PORTFOLIO_CATEGORIES[-1])
+    return p.withColumns({
+        "composite_score": F.when(~no_score, F.col("composite_score")),
+        "market_potential": F.when(k % 6 != 0, F.col("market_potential")),
+        "category": F.when(k % 5 != 0, F.col("category")),
+        "deck_name": F.concat(F.lit("Deck "), F.floor(k / 3).cast("string"))})
+
+
 def extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three extractor outputs per document, derived from ``documents``:
     the first extractor returns the text for one document in three, the
