@@ -253,11 +253,12 @@ def batch_summary(df: DataFrame) -> DataFrame:
 
 
 def category_performance(df: DataFrame) -> DataFrame:
-    """Mean and count of the composite per category, when there is more
-    than one; rows without a category are no group, and a frame without the
-    column gives no rows.  The number of groups is a window sum over the
-    grouped frame (one row per category)."""
-    per = _with_category(df).groupBy("category").agg(F.avg("composite_score").alias("mean"), F.count(F.lit(1)).alias("count"))
+    """Mean and number of the composites per category, when there is more
+    than one; rows without a category are no group, a category without a
+    composite has a NULL mean and the count 0, and a frame without the column
+    gives no rows.  The number of groups is a window sum over the grouped frame
+    (one row per category)."""
+    per = _with_category(df).groupBy("category").agg(F.avg("composite_score").alias("mean"), F.count("composite_score").alias("count"))
     per = per.withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))
     return per.filter("_groups > 1").drop("_groups")
 

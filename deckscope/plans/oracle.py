@@ -225,7 +225,7 @@ def _batch_summary():
 
 @oracle("category_performance")
 def _category_performance():
-    return _p() + f"SELECT category, {r6('avg(composite_score)')} AS mean, count(*) AS count FROM p GROUP BY category"
+    return _p() + f"SELECT category, {r6('avg(composite_score)')} AS mean, count(composite_score) AS count FROM p GROUP BY category"
 
 
 @oracle("correlation_matrix")

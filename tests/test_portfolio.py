@@ -151,3 +151,8 @@ def test_missing_dimension_counts_as_zero(spark):
     df = spark.createDataFrame([("a", "SaaS", 5.0)], "deck_name string, category string, composite_score double")
     r = one(P.benchmark_comparison(df))
     assert r["market_vs_benchmark"] == pytest.approx(0.0 - 7.9)
+
+
+def test_category_performance_counts_composites(spark):
+    df = spark.createDataFrame([("a", 4.0), ("a", None), ("b", None), (None, 9.0)], "category string, composite_score double")
+    assert sorted(tuple(x) for x in P.category_performance(df).collect()) == [("a", 4.0, 1), ("b", None, 0)]
