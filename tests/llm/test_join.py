@@ -73,3 +73,32 @@ def test_components(spark):
         up[y] = x
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
+
+
+@pytest.mark.parametrize(("buckets", "rows"), [(1, 1000), (700, 3)])
+def test_common_shingles(spark, monkeypatch, buckets, rows):
+    """A shingle of every document, lists of many unlinked documents dealt to several tasks, one bucket or hundreds: links as of all pairs."""
+    monkeypatch.setattr(ngram_join, "bucket_count", lambda docs: buckets)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", rows)
+    rng = random.Random(7)
+    half = " ".join(f"c{i}" for i in range(18))
+    docs = [(i, "every document begins like this " + t) for i, t in near_copies(3, groups=6)]
+    docs += [(1000 + i, f"every document begins like this {half} " + " ".join(f"u{rng.randint(0, 9)}" for _ in range(9))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_similar(df).collect()}
+    assert got == brute.components(docs)
+
+
+def test_hot_shingle_is_an_entry_a_block(spark):
+    """What a bucket's task gets of a shingle of every document does not grow with the documents of a block."""
+    docs = spark.range(5000).selectExpr("id", "concat('a b c d e ', 'x', id, ' y', id, ' z', id) as text").coalesce(1)
+    rows = docs.mapInArrow(lambda x: ngram_join._blocks(x, 5, 4), ngram_join._PACKED).where("bucket < 4").collect()
+    assert sum(len(r.hot) // 5 for r in rows) == 1 and sum(len(r.keys) // 5 for r in rows) == 5000 * 3
+    assert [int.from_bytes(r.many, "little") for r in rows if r.many] == [5000]
+
+
+def test_buckets_follow_the_table(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    few = ngram_join.bucket_count(docs)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 1024)
+    assert few == ngram_join.BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")) < ngram_join.bucket_count(docs)
