@@ -121,17 +121,19 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + {_Q.WINDOW - 1}], ' ') AS win
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, sum(least({_Q.WINDOW}, coalesce(nxt - i, {_Q.WINDOW}))) AS n
         FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM dup) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) FILTER (WHERE trim(l, {_SP}) <> '') - count(DISTINCT l) FILTER (WHERE trim(l, {_SP}) <> '') AS n_dup, count(*) AS n_lines
-          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) GROUP BY doc_id),
+lines AS (SELECT doc_id, sum(n - 1) AS n_dup, sum((n - 1) * length(l)) AS dup_chars
+          FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE trim(l, {_SP}) <> '' GROUP BY doc_id, l) GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-             CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(lines.n_dup AS BIGINT) AS n_dup_lines,
-             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, lines.n_lines
-      FROM d JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id)
+             CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n_dup, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines.dup_chars, 0) AS dup_chars, length(t) AS n_chars,
+             len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letters
+      FROM d LEFT JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > {_Q.MAX_REPEAT_PCT} * n_words AS base_failed,
        NOT (n_words < {_Q.MIN_WORDS} OR 100 * n_repeat_words > {_Q.MAX_REPEAT_PCT} * n_words
             OR word_chars < {_Q.MIN_MEAN} * n_words OR word_chars > {_Q.MAX_MEAN} * n_words
-            OR 100 * n_symbols > {_Q.MAX_SYMBOLS_PCT} * n_words OR 100 * n_dup_lines > {_Q.MAX_DUP_LINES_PCT} * n_lines) AS kept
+            OR 100 * n_symbols > {_Q.MAX_SYMBOLS_PCT} * n_words OR 100 * dup_chars > {_Q.MAX_DUP_LINES_PCT} * n_chars
+            OR 100 * n_letters < {_Q.MIN_LETTERS_PCT} * n_words) AS kept
 FROM m
 """
 

@@ -41,6 +41,16 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
 
 
+def quality_kept(text):
+    """No rule rejects."""
+    text = text or ""
+    n, chars, symbols, _, repeats = quality(text)
+    lines = Counter(x for x in text.split("\n") if WORD.search(x))
+    letters = sum(any(c.isalpha() for c in w) for w in WORD.findall(text))
+    return not (n < 20 or 100 * repeats > 30 * n or chars < 3 * n or chars > 10 * n or 100 * symbols > 10 * n
+                or 100 * sum((k - 1) * len(x) for x, k in lines.items()) > 30 * len(text) or 100 * letters < 50 * n)
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

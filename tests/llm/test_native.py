@@ -141,6 +141,28 @@ def test_quality_order_changes_nothing(spark):
     assert quality_cascade.keep_good(docs).columns == docs.columns
 
 
+def test_quality_kept(spark):
+    """Verdicts against a plain version, also of a short line repeated in a clean text, long repeated lines and texts of numbers."""
+    clean = " ".join(f"w{'abcdefgh'[i % 8] * (1 + i % 5)}{i}" for i in range(100))
+    rows = [(1, f"see below\n{clean}\nsee below"), (2, f"{clean}\n{clean}"), (3, " ".join(str(1000 + i) for i in range(60))), (4, clean + "\n" + "\n".join(["a line that comes again"] * 20)),
+            (5, clean), (6, None), (7, ""), (8, " ".join(f"{1000 + i} слово{i}" for i in range(30))), (9, "\n" * 50 + clean)]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r.rejected_by == "" for r in quality_cascade.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute.quality_kept(t) for i, t in rows}
+    assert [got[i] for i in range(1, 10)] == [True, False, False, False, True, False, False, True, True]
+
+
+def test_quality_order_by_what_is_left(spark):
+    """A rule whose rejections another one has already made comes late; costs are measured seconds."""
+    late = quality_cascade.Rule("again", "", lambda t, w: F.size(w).cast("long"), lambda m, t, w: m < 20, "words", 1)
+    sure = quality_cascade.Rule("some", "", lambda t, w: F.size(w).cast("long"), lambda m, t, w: m % 2 == 1, "words", 1)
+    df = spark.range(2000).selectExpr("id", "concat('t', id, repeat(' word', if(id % 10 < 6, 4, 30) + cast(id % 2 as int))) as text")
+    found = quality_cascade.rule_order(df, rules=(quality_cascade.RULES[0], late, sure))
+    by = {x["name"]: x for x in found}
+    assert sorted(x["rejects"] for x in found)[0] == 0 and by["some"]["rejects"] > 0 and all(x["cost"] >= 0 for x in found)
+    assert min(by["again"]["rejects"], by["few_words"]["rejects"]) == 0
+
+
 def test_quality_short_circuit(spark):
     """The first failing rule of the order is named, and later ones are not looked at."""
     df = spark.createDataFrame([(1, "few"), (2, "abcd " * 30), (3, None)], "doc_id long, text string")
