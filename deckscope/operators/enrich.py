@@ -137,7 +137,9 @@ def parse_responses(responses: DataFrame, id_col: str = "doc_id", order_col: str
     Each answer row is parsed where it is read (narrow), and only the parsed
     values are grouped by document, so the shuffle carries short strings.
     Of several answers of one kind for a document the last by ``order_col``
-    counts; without such a column they are an error, not a silent choice."""
+    counts; without such a column they are an error, not a silent choice.
+    ``_resp_failed`` tells that the document has a row of kind ``error``: the
+    model job failed on it, whatever else it answered."""
     kind = F.col("kind")
     r = _nonempty(F.col("response"))
     parsed = responses.select(
@@ -145,14 +147,16 @@ def parse_responses(responses: DataFrame, id_col: str = "doc_id", order_col: str
         F.when(kind == "summary", parse_bullets(r)).alias("_resp_summary"),
         F.when(kind == "category", match_category(r)).alias("_resp_category"),
         F.when(kind == "insight", trim_insight(r)).alias("_resp_insight"),
-        F.when(kind == "competitive", r).alias("_resp_competitive"))
+        F.when(kind == "competitive", r).alias("_resp_competitive"),
+        (kind == "error").alias("_resp_failed"))
+    failed = F.coalesce(F.bool_or("_resp_failed"), F.lit(False)).alias("_resp_failed")
     if order_col is not None:
         last = [F.max_by(f"_resp_{k}", F.when(F.col(f"_resp_{k}").isNotNull(), F.col("_order"))).alias(f"_resp_{k}") for k in RESPONSE_KINDS]
-        return parsed.groupBy(id_col).agg(*last)
+        return parsed.groupBy(id_col).agg(*last, failed)
     twice = lambda k: F.raise_error(F.format_string("several %s answers for one document; give order_col", F.lit(k)))
     return parsed.groupBy(id_col).agg(*[
         F.when(F.count(f"_resp_{k}") > 1, twice(k).cast("string")).otherwise(F.max(f"_resp_{k}")).alias(f"_resp_{k}")
-        for k in RESPONSE_KINDS])
+        for k in RESPONSE_KINDS], failed)
 
 
 HEAVY_TEXT = ["text", "extracted", "full_text", "sections", "sentences"]
@@ -168,11 +172,14 @@ def enrich(df: DataFrame, responses: DataFrame | None = None, id_col: str = "doc
     guards) is computed first, in the narrow per-document projection.  With
     a ``responses`` table, the answers are parsed on their own side and then
     joined by ``id_col``; pass ``keep_text=False`` to drop the heavy text
-    columns before that join so only short per-document rows are shuffled."""
+    columns before that join so only short per-document rows are shuffled.
+    A document with an answer row of kind ``error`` takes none of its answers:
+    summary, category and insight are the rule-based ones, without the guards
+    for short texts but the category's own, and the competitive text says so."""
     n = F.length(F.coalesce(F.col("full_text"), F.lit("")))
     out = with_rule_category(df, "_rule_category", "full_text", category_terms)
     out = out.withColumns({
-        "_fallback_summary": F.when(n < 100, F.lit(L.SUMMARY_SHORT)).otherwise(fallback_summary(F.col("sections"))),
+        "_fallback_summary": fallback_summary(F.col("sections")),
         "_len_full": n,
     })
     if not keep_text:
@@ -180,19 +187,21 @@ def enrich(df: DataFrame, responses: DataFrame | None = None, id_col: str = "doc
     if responses is not None:
         out = out.join(parse_responses(responses, id_col), id_col, "left")
     else:
-        out = out.withColumns({f"_resp_{k}": F.lit(None).cast("string") for k in RESPONSE_KINDS})
+        out = out.withColumns({f"_resp_{k}": F.lit(None).cast("string") for k in RESPONSE_KINDS} | {"_resp_failed": F.lit(False)})
+    failed = F.coalesce("_resp_failed", F.lit(False))
+    out = out.withColumns({f"_resp_{k}": F.when(~failed, F.col(f"_resp_{k}")) for k in RESPONSE_KINDS})
     long_enough = F.col("_len_full") >= 100
     out = out.withColumn("category", F.when(F.col("_len_full") < 50, F.lit("Other")).otherwise(
         F.coalesce(F.col("_resp_category"), F.col("_rule_category"))))
     out = out.withColumns({
-        "summary": F.when(~long_enough, F.lit(L.SUMMARY_SHORT)).otherwise(
+        "summary": F.when(~long_enough & ~failed, F.lit(L.SUMMARY_SHORT)).otherwise(
             F.coalesce(F.col("_resp_summary"), F.col("_fallback_summary"))),
         "investability_insight": F.coalesce(F.col("_resp_insight"),
                                             fallback_insight(F.col("composite_score"), F.col("category"))),
-        "competitive_analysis": F.when(~long_enough, F.lit(L.COMPETITIVE_SHORT)).otherwise(
+        "competitive_analysis": F.when(failed, F.lit(L.ANALYSIS_FAILED)).when(~long_enough, F.lit(L.COMPETITIVE_SHORT)).otherwise(
             F.coalesce(F.col("_resp_competitive"), F.lit(L.COMPETITIVE_MISSING))),
     })
-    return out.drop("_rule_category", "_fallback_summary", "_len_full", *[f"_resp_{k}" for k in RESPONSE_KINDS])
+    return out.drop("_rule_category", "_fallback_summary", "_len_full", "_resp_failed", *[f"_resp_{k}" for k in RESPONSE_KINDS])
 
 
 # -- areas and advice -----------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from deckscope import lexicons as L
 from deckscope.functions.mathx import normal_cdf
-from deckscope.operators.ranking import np_round, top_k
+from deckscope.operators.ranking import np_round, small_side, top_k
 from deckscope.operators.selection import medians
 
 FIVE = ["problem_clarity", "market_potential", "traction_strength", "team_experience", "business_model"]
@@ -140,20 +140,24 @@ def portfolio_risk(df: DataFrame) -> DataFrame:
 def market_trends(df: DataFrame, k: int = 3) -> DataFrame:
     """Top-3 categories by mean composite and by mean market potential
     (when more than one row), and the five dimension means; long form
-    ``(trend, position, name, value)``."""
-    by_cat = _with_category(df).groupBy("category").agg(F.avg("composite_score").alias("c"), F.avg("market_potential").alias("m"),
-                                        F.count(F.lit(1)).alias("_cnt"))
-    by_cat = by_cat.withColumn("_n", F.sum("_cnt").over(Window.partitionBy())).filter(F.col("_n") > 1)
-
-    def topk(col, trend):
-        t = by_cat.orderBy(F.col(col).desc(), F.col("category")).limit(k)
-        t = t.select(F.lit(trend).alias("trend"), F.col("category").alias("name"), F.col(col).alias("value"))
-        return t
-
-    cats = topk("c", "top_performing_categories").unionByName(topk("m", "highest_market_potential_categories"))
-    dims = df.agg(*[F.avg(d).alias(d) for d in existing(df, FIVE)]).unpivot([], existing(df, FIVE), "name", "value")
-    dims = dims.select(F.lit("dimension_strengths").alias("trend"), "name", "value")
-    return cats.unionByName(dims)
+    ``(trend, name, value)``; an empty frame gives no rows.  One pass: grouping sets give the categories' and
+    the total row, and positions are numbered over these (a row a category)."""
+    five = existing(df, FIVE)
+    if "category" not in df.columns:
+        df = df.withColumn("category", F.lit(None).cast("string"))
+    means = [F.avg(d).alias(f"_avg_{d}") for d in five]
+    g = df.groupingSets([["category"], []], "category").agg(
+        F.grouping_id().alias("_all"), F.avg("composite_score").alias("_c"), F.avg("market_potential").alias("_m"),
+        F.count("category").alias("_n"), *means)
+    g = g.filter((F.col("_all") == 1) | F.col("category").isNotNull())
+    place = lambda c: F.row_number().over(Window.partitionBy("_all").orderBy(F.col(c).desc(), F.col("category")))
+    g = g.withColumns({"_pc": place("_c"), "_pm": place("_m"), "_n": F.max("_n").over(Window.partitionBy())})
+    row = lambda trend, name, value: F.struct(F.lit(trend).alias("trend"), name.alias("name"), value.alias("value"))
+    cat = (F.col("_all") == 0) & (F.col("_n") > 1)
+    items = [F.when(cat & (F.col(p) <= k), row(t, F.col("category"), F.col(c)))
+             for t, c, p in (("top_performing_categories", "_c", "_pc"), ("highest_market_potential_categories", "_m", "_pm"))]
+    items += [F.when(F.col("_all") == 1, row("dimension_strengths", F.lit(d), F.col(f"_avg_{d}"))) for d in five]
+    return g.select(F.inline(F.filter(F.array(*items), lambda x: x.isNotNull())))
 
 
 def benchmark_table(spark) -> DataFrame:
@@ -164,11 +168,18 @@ def benchmark_table(spark) -> DataFrame:
 
 def benchmark_comparison(df: DataFrame, benchmarks: DataFrame | None = None) -> DataFrame:
     """H1 + M3: compare with the category benchmark (inner: rows without a
-    benchmark are dropped).  The benchmark table is a dimension table of one
-    row per category; it is broadcast."""
-    bench = benchmarks if benchmarks is not None else benchmark_table(df.sparkSession)
+    benchmark are dropped).  A caller's table is stored and counted: broadcast
+    up to ``ranking.BROADCAST_ROWS`` rows, else joined by a shuffle; a category
+    that it names twice is an error, not a doubled row."""
+    if benchmarks is None:
+        bench = F.broadcast(benchmark_table(df.sparkSession))
+    else:
+        bench = small_side(benchmarks)
+        twice = bench.groupBy("category").count().filter((F.col("count") > 1) & F.col("category").isNotNull()).first()
+        if twice:
+            raise ValueError(f"several benchmarks for category {twice['category']!r}")
     d = with_missing_as_zero(df, ["market_potential", "traction_strength", "team_experience"])
-    j = d.join(F.broadcast(bench), "category", "inner")
+    j = d.join(bench, "category", "inner")
     pct = F.least(F.lit(99.0), F.greatest(F.lit(1.0), normal_cdf(F.col("composite_score"), F.col("b_composite_score"),
                                                                    F.lit(L.BENCHMARK_SD)) * F.lit(100.0)))
     return j.select(
@@ -383,8 +394,9 @@ def due_diligence_flags(df: DataFrame) -> DataFrame:
 def recommendations(df: DataFrame) -> DataFrame:
     """M6 + H3 + L1 + K6: STRONG_BUY top 3; CONSIDER 6 <= c < 7 with market
     or traction >= 8; WATCH 4 <= c < 6 with team >= 7; each tier without the
-    names of earlier tiers (anti-joins), and in CONSIDER and WATCH one row per
-    name; sorted by priority, score desc."""
+    names of earlier tiers, and in CONSIDER and WATCH one row per name (rows
+    without a name are one); sorted by priority, score desc.  One grouping by
+    name serves both lower tiers."""
     d = with_missing_as_zero(df, ["market_potential", "traction_strength", "team_experience"])
     c = F.col("composite_score")
     cat = F.coalesce(F.col("category"), F.lit("Unknown")) if "category" in df.columns else F.lit("Unknown")
@@ -392,27 +404,23 @@ def recommendations(df: DataFrame) -> DataFrame:
     d = d.withColumns({"_cat": cat, "_cat_s": cat_s})
     rest = [x for x in ("market_potential", "traction_strength", "team_experience", "_cat", "_cat_s") if x in d.columns]
 
-    def one_per_name(tier: DataFrame) -> DataFrame:  # of a name's rows the best score, then the greatest other values
-        kept = tier.groupBy("deck_name").agg(F.max(F.struct("composite_score", *rest)).alias("_row"))
-        return kept.select("deck_name", "_row.*")
-
     strong = top_k(d, 3).select(
         F.lit("STRONG_BUY").alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
         F.format_string(L.REASON_STRONG_BUY, F.col("_cat_s")).alias("reasoning"), F.lit("HIGH").alias("confidence"),
         F.lit(1).alias("priority"))
-    gems = d.filter((c >= 6) & (c < 7) & ((F.col("market_potential") >= 8) | (F.col("traction_strength") >= 8)))
-    gems = one_per_name(gems).join(strong.select(F.col("deck").alias("deck_name")), "deck_name", "left_anti")
+    gem = (c >= 6) & (c < 7) & ((F.col("market_potential") >= 8) | (F.col("traction_strength") >= 8))
+    hope = (c >= 4) & (c < 6) & (F.col("team_experience") >= 7)
+    row = F.struct("composite_score", *rest)     # of a name's rows the best score, then the greatest other values
+    per = d.filter(gem | hope).groupBy("deck_name").agg(F.max(F.when(gem, row)).alias("_gem"), F.max(F.when(hope, row)).alias("_hope"))
+    per = per.join(F.broadcast(strong.select(F.col("deck").alias("deck_name"))), "deck_name", "left_anti")   # three rows at most
+    per = per.select("deck_name", F.col("_gem").isNotNull().alias("_is_gem"), F.coalesce("_gem", "_hope").alias("_row")).select("deck_name", "_is_gem", "_row.*")
     area = F.when(F.col("market_potential") >= 8, F.lit("market potential")).otherwise(F.lit("traction"))
-    consider = gems.select(
-        F.lit("CONSIDER").alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
-        F.format_string(L.REASON_CONSIDER, area, F.col("_cat_s")).alias("reasoning"), F.lit("MEDIUM").alias("confidence"),
-        F.lit(2).alias("priority"))
-    earlier = strong.select("deck").unionByName(consider.select("deck")).withColumnRenamed("deck", "deck_name")
-    watch = one_per_name(d.filter((c >= 4) & (c < 6) & (F.col("team_experience") >= 7))).join(earlier, "deck_name", "left_anti")
-    watch = watch.select(
-        F.lit("WATCH").alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
-        F.lit(L.REASON_WATCH).alias("reasoning"), F.lit("LOW").alias("confidence"), F.lit(3).alias("priority"))
-    return strong.unionByName(consider).unionByName(watch).orderBy("priority", F.col("score").desc(), "deck")
+    pick = lambda a, b: F.when(F.col("_is_gem"), a).otherwise(b)
+    others = per.select(
+        pick(F.lit("CONSIDER"), F.lit("WATCH")).alias("type"), F.col("deck_name").alias("deck"), c.alias("score"), F.col("_cat").alias("category"),
+        pick(F.format_string(L.REASON_CONSIDER, area, F.col("_cat_s")), F.lit(L.REASON_WATCH)).alias("reasoning"),
+        pick(F.lit("MEDIUM"), F.lit("LOW")).alias("confidence"), pick(F.lit(2), F.lit(3)).alias("priority"))
+    return strong.unionByName(others).orderBy("priority", F.col("score").desc(), "deck")
 
 
 def landscape_quadrant(market: Column, traction: Column) -> Column:

@@ -138,10 +138,13 @@ def top_k(df: DataFrame, k: int, score_col: str = "composite_score", tie_col: st
 
 def bottom_k(df: DataFrame, k: int = 3, score_col: str = "composite_score", tie_col: str = "deck_name") -> DataFrame:
     """K3: when more than 3 rows, the last ``min(k, n-3)`` rows of the ranked
-    table (lowest scores), listed in ranked order."""
-    n = df.count()
-    m = min(k, n - 3) if n > 3 else 0
-    low = df.orderBy(F.col(score_col).asc(), F.col(tie_col).desc()).limit(m)
+    table (lowest scores), listed in ranked order.  No count job: of the k + 3
+    lowest rows, numbered, those with three above them in that list are kept
+    (the windows hold k + 3 rows at most)."""
+    order = [F.col(score_col).asc(), F.col(tie_col).desc()]
+    low = df.orderBy(*order).limit(k + 3)
+    low = low.withColumns({"_at": F.row_number().over(Window.partitionBy().orderBy(*order)), "_of": F.count(F.lit(1)).over(Window.partitionBy())})
+    low = low.filter((F.col("_at") <= k) & (F.col("_at") <= F.col("_of") - 3)).drop("_at", "_of")
     return low.orderBy(F.col(score_col).desc(), F.col(tie_col))
 
 

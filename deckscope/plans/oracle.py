@@ -558,6 +558,15 @@ def _enrich_with_responses():
             f"AS competitive_analysis FROM ({step})")
 
 
+@oracle("enrich_after_errors")
+def _enrich_after_errors():
+    lines, pad = S.fallback_summary_sql()
+    base = f"SELECT *, {lines} AS _lines FROM ({S.enriched_cte(S.decks_cte())})"
+    failed = (f"SELECT doc_id, category, array_to_string(list_concat(_lines, {pad}), chr(10)) AS summary, investability_insight, "
+              f"{S.q(L.ANALYSIS_FAILED)} AS competitive_analysis FROM ({base}) WHERE doc_id % 3 = 0")
+    return f"SELECT * FROM ({ORACLE['enrich_with_responses']}) WHERE doc_id % 3 <> 0 UNION ALL {failed}"
+
+
 @oracle("prompts")
 def _prompts():
     n = "length(coalesce(full_text, ''))"

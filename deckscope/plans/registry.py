@@ -424,6 +424,15 @@ def enrich_with_responses(spark, sf):
     return e.select("doc_id", "category", "summary", "investability_insight", "competitive_analysis")
 
 
+@register("enrich_after_errors")
+def enrich_after_errors(spark, sf):
+    """E11, the path of failed model calls: one document in three has an error row beside its answers."""
+    r = FX.responses(spark, sf)
+    errors = r.filter((F.col("kind") == "summary") & (F.col("doc_id") % 3 == 0)).withColumns({"kind": F.lit("error"), "response": F.lit("timeout")})
+    e = EN.enrich(_scored(spark, sf), r.unionByName(errors), keep_text=False)
+    return e.select("doc_id", "category", "summary", "investability_insight", "competitive_analysis")
+
+
 @register("prompts")
 def prompts(spark, sf):
     """Prompt rows for an external batch-inference job."""

@@ -73,3 +73,19 @@ def test_advice_rows(spark):
     rows = sorted((r["deck_name"], r["pos"], r["area"], r["advice"]) for r in E.improvement_advice(df).collect())
     assert rows == [("a", 0, None, L.NO_WEAK_AREAS), ("b", 0, "Problem Clarity", L.ADVICE[0][1]),
                     ("b", 1, "Overall Confidence", L.ADVICE[6][1])]
+
+
+def test_failed_model_calls_take_the_rules(spark):
+    """A document with an error row takes no answer, however short it is; others keep theirs."""
+    from deckscope.operators.enrich import enrich
+    text = "We sell software to hospitals. Our market is large and growing. " * 3
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "Tiny.")], "doc_id long, full_text string")
+    sections = "named_struct(" + ", ".join(f"'{k}', full_text" for k, _ in L.SUMMARY_SECTIONS) + ") as sections"
+    docs = docs.selectExpr("*", sections, "cast(6.0 as double) as composite_score")
+    answers = spark.createDataFrame([(1, "competitive", "Many rivals"), (1, "insight", "Good. More"), (2, "competitive", "Many rivals"), (2, "insight", "Good. More"),
+                                     (2, "error", None), (3, "error", "timeout"), (9, "error", "timeout")], "doc_id long, kind string, response string")
+    got = {r.doc_id: r for r in enrich(docs, answers).collect()}
+    assert sorted(got) == [1, 2, 3] and "_resp_failed" not in got[1].asDict()
+    assert (got[1].competitive_analysis, got[1].investability_insight) == ("Many rivals", "Good")
+    assert got[2].competitive_analysis == got[3].competitive_analysis == L.ANALYSIS_FAILED
+    assert got[2].investability_insight != "Good" and got[2].summary == got[1].summary and got[3].summary != L.SUMMARY_SHORT

@@ -9,7 +9,8 @@ from deckscope.operators import ml as ML
 from deckscope.operators import portfolio as P
 from deckscope.operators import ranking as R
 from deckscope.operators.selection import medians
-from tests.conftest import one
+from deckscope.sources import fixtures as FX
+from tests.conftest import SF_SMALL, one
 
 DIMS = L.DIMENSIONS
 
@@ -156,3 +157,28 @@ def test_missing_dimension_counts_as_zero(spark):
 def test_category_performance_counts_composites(spark):
     df = spark.createDataFrame([("a", 4.0), ("a", None), ("b", None), (None, 9.0)], "category string, composite_score double")
     assert sorted(tuple(x) for x in P.category_performance(df).collect()) == [("a", 4.0, 1), ("b", None, 0)]
+
+
+def test_benchmarks_of_the_caller_are_checked(spark, monkeypatch):
+    """Same rows by broadcast and by shuffle; a category named twice is an error."""
+    pf, own = FX.portfolio(spark, SF_SMALL), P.benchmark_table(spark)
+    want = sorted(map(tuple, P.benchmark_comparison(pf).collect()), key=str)
+    assert want == sorted(map(tuple, P.benchmark_comparison(pf, own).collect()), key=str)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 2)
+    assert want == sorted(map(tuple, P.benchmark_comparison(pf, own).collect()), key=str)
+    with pytest.raises(ValueError, match="several benchmarks"):
+        P.benchmark_comparison(pf, own.unionByName(own.limit(1)))
+
+
+def test_bottom_rows_without_a_count(spark):
+    for n in range(9):
+        df = spark.range(n).selectExpr("concat('d', id) as deck_name", "cast(floor(id / 2) as double) as composite_score")
+        ranked = [r.deck_name for r in df.orderBy(F.col("composite_score").desc(), "deck_name").collect()]
+        assert [r.deck_name for r in R.bottom_k(df, 3).collect()] == (ranked[max(3, n - 3):] if n > 3 else [])
+
+
+def test_one_scan_for_trends_and_two_for_recommendations(spark):
+    pf = FX.portfolio(spark, SF_SMALL)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(P.market_trends(pf)).count("FileScan") == plan(pf).count("FileScan")
+    assert plan(P.recommendations(pf)).count("FileScan") <= 3 * plan(pf).count("FileScan")
