@@ -112,3 +112,24 @@ def test_no_category(spark):
     assert P.category_performance(df.drop("category")).count() == 0
     assert sorted(tuple(r) for r in P.tier_hierarchy(df).collect()) == [("SaaS", "SaaS", "Total", 2), ("SaaS-Investment Ready", "Investment Ready", "SaaS", 1), ("Total", "Portfolio", "", 3)]
     assert [tuple(r) for r in P.tier_hierarchy(df.drop("category")).collect()] == [("Total", "Portfolio", "", 3)]
+
+
+def test_term_index_looks_at_bytes_in_place():
+    """Random texts of few letters: pieces cross the texts' edges, repeat and overlap; terms shorter and longer than a piece."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choices("abé𝒳", k=n)).encode()
+    terms = sorted({make(rng.randint(1, 7)) for _ in range(120)})
+    shifts = [rng.randint(0, max(len(t) - TJ.GRAM, 0)) for t in terms]
+    texts = [make(rng.randint(0, 60)) for _ in range(200)]
+    text, number = TJ.TermIndex(list(range(7, 7 + len(terms))), terms, shifts).find(texts)
+    assert list(zip(text.tolist(), number.tolist())) == [(i, 7 + k) for i, x in enumerate(texts) for k in sorted(range(len(terms)), key=lambda k: k) if terms[k] in x]
+
+
+def test_lexicon_scores_hits_meet_no_shuffle(spark):
+    """The hits, far more than the texts, are counted where they arise: behind the texts' lists no exchange but broadcasts."""
+    df = spark.createDataFrame([(i % 7, f"growth and margin {i}") for i in range(40)] + [(None, "margin"), (None, "growth")], "doc_id long, text string")
+    table = spark.createDataFrame([("d", "a", t, 1.0, 10.0, 0.5) for t in ("Growth", "growth", "margin", "n")], "dimension string, component string, term string, weight double, cap double, coef double")
+    out = TJ.lexicon_scores(df, table)
+    plan = _plan(out)
+    assert plan[: plan.index("MapInArrow")].count("Exchange hashpartitioning") == 1
+    assert {(r.doc_id, r.hits, r.score) for r in out.collect()} == {(i, 3, 1.5) for i in (*range(7), None)}
