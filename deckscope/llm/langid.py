@@ -16,8 +16,9 @@ all it backs off to are in one block (beside the single characters, which each
 has), so a character is looked up in one.  Tasks hold a block at a time.
 Temperature of
 the score and rejection (``rejected``: a cross-entropy above that of 99.9 % of
-the predicted language's own texts) are calibrated on a bounded sample,
-``SAMPLE_ROWS``, of training rows.
+the predicted language's own texts, to a thousandth of a nat) are calibrated on
+all training rows: texts are measured once, and what is summed is a row a
+language and thousandth.
 
 Defined cases: null text or none with a letter is ``und`` with score 0; without
 any training row all texts are; equal cross-entropies go to the first language
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe_merges import SortedKeys, symbol_hash
 from .shared import col, stored
@@ -41,7 +43,8 @@ from .texts import SLICE, hash_of, rolled, slices, texts_of
 ORDER = 4
 #: N-grams of a block (one more only if a single last but one character has them), slices of texts a block is read for.
 BLOCK_NGRAMS, HELD_SLICES = 1_000_000, 16
-SAMPLE_ROWS = 4000
+#: Of the score's temperature, those that are tried; parts of a nat in which cross-entropies are counted.
+SCALES, PARTS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0), 1000
 BORDER = 0x10FFFF
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
@@ -233,7 +236,10 @@ class Model:
         """(language index, -1 for none; score; rejected)."""
         if not self.langs:
             return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        e = self.cross_entropy(texts)
+        return self.decide(self.cross_entropy(texts))
+
+    def decide(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``predict`` from the cross-entropies."""
         none = np.isnan(e[:, 0])
         e = np.where(none[:, None], 0.0, e)
         best = e.argmin(1)
@@ -253,8 +259,10 @@ def _collect_counts(counts: DataFrame, most: int) -> DataFrame:
     return counts
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, most: int | None = None, sample_rows: int = SAMPLE_ROWS, block: int = BLOCK_NGRAMS) -> Model:
-    """The model of all n-grams; only if a caller gives ``most``, the rarest beyond are left out of its tables."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, most: int | None = None, sample_rows: int | None = None, block: int = BLOCK_NGRAMS, calibrated: bool = True) -> Model:
+    """The model of all n-grams, calibrated on all rows; only if a caller gives ``most``, the rarest beyond are left out of its tables, and ``sample_rows``, that many rows calibrate it.
+
+    ``calibrated=False``: for a caller who measures the texts anyway and goes on with :func:`calibrate`."""
     counts = stored(count_ngrams(docs, text_col, lang_col, order), "ngrams")
     rows = stored(continuations(counts), "continuations")
     tops = rows.groupBy("lang", "m").agg(F.count_if(F.col("raw") == 1).alias("ones"), F.count_if(F.col("raw") == 2).alias("twos")).collect()  # languages times orders
@@ -284,36 +292,67 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order
             keep[here] &= np.isin(columns["suffix"][here], columns["h"][below])
         blocks.append(docs.sparkSession.sparkContext.broadcast(Block({x: v[keep] for x, v in columns.items()}, discounts)))
     model = Model(langs, blocks, starts)
-    _calibrate(model, docs.where(col(lang_col).isNotNull()).select(col(text_col), col(lang_col)).where(F.pmod(F.xxhash64(col(text_col)), F.lit(4)) == 0).limit(sample_rows))
+    if calibrated:
+        rows = docs.where(col(lang_col).isNotNull())
+        calibrate(model, measure(rows if sample_rows is None else rows.limit(sample_rows), model, text_col, [lang_col]), lang_col)
     return model
 
 
-def _calibrate(model: Model, sample: DataFrame) -> None:
-    place = {x: i for i, x in enumerate(model.langs)}
+def measure(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``_e`` of every row: its text's cross-entropy in each of the model's languages (NaN without a letter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = texts_of(batch.column(0)), batch.column(1).to_pylist()
+            texts = texts_of(batch.column(0))
             for a, b in model.slices(texts):
-                e = model.cross_entropy(texts[a:b])
-                yield pa.record_batch([pa.array([place.get(x, -1) for x in langs[a:b]], pa.int32()), pa.array(e.tolist(), pa.list_(pa.float64()))], ["truth", "e"])
-
-    rows = sample.mapInArrow(run, "truth int, e array<double>").toArrow()  # SAMPLE_ROWS rows at most
-    truth, e = rows["truth"].to_numpy(), np.array(rows["e"].to_pylist(), float).reshape(-1, len(model.langs))
-    good = ~np.isnan(e).any(1) & (truth >= 0) if len(e) else np.zeros(0, bool)
-    truth, e = truth[good], e[good]
-    if not len(e):
-        return
-    own = e[np.arange(len(e)), truth]
+                e = model.cross_entropy(texts[a:b]) if model.langs else np.zeros((b - a, 0))
+                yield pa.record_batch([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(e.tolist(), pa.list_(pa.float64()))], [*keep, "_e"])
 
-    def loss(scale):
-        z = -scale * e
-        return (np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) + scale * own).mean()
+    schema = T.StructType([*(T.StructField(k, docs.schema[k].dataType) for k in keep), T.StructField("_e", T.ArrayType(T.DoubleType()))])
+    return docs.select(col(text_col), *[col(k) for k in keep]).mapInArrow(run, schema)
 
-    model.scale = min((1.0, 2.0, 5.0, 10.0, 20.0, 50.0), key=loss)
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), k)
+
+
+def calibrate(model: Model, measured: DataFrame, lang_col: str = "lang") -> None:
+    """Sets the model's temperature and rejection from all rows of ``measured`` with one of its languages."""
+    if not model.langs:
+        return
+    place = {x: i for i, x in enumerate(model.langs)}
+    names = ["truth", "part", "n", *(f"loss{i}" for i in range(len(SCALES)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            truth = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
+            e = _matrix(batch.column(1), len(place))
+            good = ~np.isnan(e).any(1) & (truth >= 0)
+            truth, e = truth[good], e[good]
+            own = e[np.arange(len(e)), truth]
+            key, of = np.unique(np.column_stack([truth, np.ceil(own * PARTS).astype(np.int64)]), axis=0, return_inverse=True)
+            sums = [np.bincount(of, minlength=len(key))]
+            for scale in SCALES:
+                z = -scale * (e - own[:, None])
+                most = z.max(1, keepdims=True)
+                loss = np.log(np.exp(z - most).sum(1)) + most[:, 0]
+                sums.append(np.zeros(len(key), np.int64))
+                np.add.at(sums[-1], of, np.rint(loss * 1e6).astype(np.int64))  # whole numbers: sums are the same in any order
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (key[:, 0], key[:, 1], *sums)], names)
+
+    rows = measured.select(col(lang_col).cast("string"), "_e").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    rows = sorted(rows.groupBy("truth", "part").agg(*[F.sum(x).alias(x) for x in names[2:]]).collect())  # a row a language and thousandth of a nat
+    if not rows:
+        return
+    table = np.array([tuple(r) for r in rows], object)
+    losses = [sum(table[:, 3 + i]) for i in range(len(SCALES))]
+    model.scale = SCALES[losses.index(min(losses))]
     for k in range(len(model.langs)):
-        if (mine := own[truth == k]).size:
-            model.worst[k] = np.quantile(mine, 0.999) + 0.1
+        mine = table[table[:, 0] == k]
+        if len(mine):
+            up_to = np.cumsum(mine[:, 2])
+            at = int(np.flatnonzero(1000 * up_to >= 999 * up_to[-1])[0])
+            model.worst[k] = mine[at, 1] / PARTS + 0.1
 
 
 def held_out(id_: Column) -> Column:
@@ -322,13 +361,17 @@ def held_out(id_: Column) -> Column:
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of every row, from its text alone."""
+    return decide(measure(docs, model, text_col, [id_col]), model, id_col)
+
+
+def decide(measured: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """:func:`identify` of measured rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*model.langs, UNKNOWN]
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in model.slices(texts):
-                best, score, rejected = model.predict(texts[a:b])
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([names[i] for i in best]), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            n = batch.num_rows
+            best, score, rejected = model.decide(_matrix(batch.column(1), len(model.langs))) if model.langs else (np.full(n, -1), np.zeros(n), np.zeros(n, bool))
+            yield pa.record_batch([batch.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(col(id_col), col(text_col)).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, rejected boolean")
+    return measured.select(col(id_col), "_e").mapInArrow(run, f"doc_id {dict(measured.dtypes)[id_col]}, lang_pred string, score double, rejected boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_wrapper, importance_resampling, langid, line_dedup, ngram_join, periodic_runs, piece_viterbi, quality_cascade, secret_scan, source_mixing, string_tiling, token_files, token_prefix
-from .shared import read_documents
+from .shared import read_documents, stored
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,11 @@ def tokenizer_path(name: str) -> str:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     out = langid.held_out(F.col("doc_id"))
-    model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~out).select("text", "lang"))
-    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+    train = docs.where(F.col("doc_id").isNotNull() & ~out)
+    model = langid.train(train.select("text", "lang"), calibrated=False)
+    measured = stored(langid.measure(docs, model, "text", ["doc_id", "lang"]), "cross-entropies")  # each text once: to calibrate and to decide
+    langid.calibrate(model, measured.where(F.col("doc_id").isNotNull() & ~out))
+    return langid.decide(measured, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def model_bytes(path: str) -> bytes:

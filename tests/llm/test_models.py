@@ -117,6 +117,20 @@ def test_ngram_pruning_keeps_the_model_small(spark):
     assert sum(len(k.keys) for k in model.keys[1:]) <= 20 and model.predict([b"the cat"])[0].tolist() == [0]
 
 
+def test_calibration_takes_every_row(spark):
+    """Temperature and rejection by a plain count over all training rows, however they are dealt; more than 4000 of them."""
+    rng = np.random.default_rng(4)
+    words = {"en": "the cat and dog that sat there with hand".split(), "de": "der hund und die katze sass dort mit hand".split()}
+    rows = [(i, " ".join(rng.choice(words[x], 4)), x) for i in range(2600) for x in words] + [(1, None, "en"), (2, "12", "de"), (3, "xyzzy", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, other = langid.train(df), langid.train(df.repartition(5))
+    for k, lang in enumerate(model.langs):
+        own = np.sort(model.cross_entropy([t.encode() for _, t, x in rows if x == lang and t and t != "12"])[:, k])
+        want = np.ceil(own * langid.PARTS)[-(-999 * len(own) // 1000) - 1] / langid.PARTS + 0.1
+        assert model.worst[k] == other.worst[k] == want
+    assert model.scale == other.scale and sorted(langid.identify(df, model).collect(), key=str) == sorted(langid.identify(df, other).collect(), key=str)
+
+
 def test_no_ngram_is_dropped(spark):
     """Every n-gram counts, however many there are, and a model in many blocks scores as one in one."""
     assert not hasattr(langid, "MOST_NGRAMS")
