@@ -49,7 +49,8 @@ def clean_text(c) -> Column:
     """
     t = F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"{WS_CLASS}+", " ")
     t = F.trim(F.regexp_replace(t, DROP_CLASS, " "))
-    return F.when(F.length(t) > MIN_CLEAN_LENGTH, t).otherwise(F.lit(""))
+    # one use of ``t``: a length test beside it would clean every text twice
+    return F.regexp_replace(t, rf"(?s)\A.{{0,{MIN_CLEAN_LENGTH}}}\z", "")
 
 
 def split_sentences(c) -> Column:
@@ -81,21 +82,27 @@ def section_texts(sentences: Column, section_terms: dict[str, list[str]],
     Multi-label (a sentence can go to several sections), sentence order kept.
     ``sentences`` must be the output of :func:`split_sentences`; pass the
     same split of the lower-cased text as ``sentences_lc`` so each sentence is
-    lower-cased once, not once per section.  Membership is one regex
-    alternation of the escaped terms per section (a literal substring test).
+    lower-cased once, not once per section.  Membership is a literal substring
+    test of the section's terms up to the first that is there.
 
     With ``text_lc`` (the lower-cased whole text) a section whose terms occur
     nowhere in the text is '' without visiting its sentences: a term inside a
     sentence is also inside the text, so the pre-check only skips work.
     """
-    def matcher(pattern):
+    def matcher(terms):
+        def any_in(x):
+            hit = F.lit(not terms)
+            for t in terms:
+                hit = hit | x.contains(F.lit(t))
+            return hit
+
         if sentences_lc is None:
-            return lambda s: F.lower(s).rlike(pattern)
-        return lambda s, i: F.element_at(sentences_lc, i + 1).rlike(pattern)
+            return lambda s: any_in(F.lower(s))
+        return lambda s, i: any_in(F.get(sentences_lc, i))
 
     out = {}
     for name, terms in section_terms.items():
-        hit = F.filter(sentences, matcher(terms_regex(terms)))
+        hit = F.filter(sentences, matcher(terms))
         joined = F.array_join(F.transform(hit, lambda s: F.concat(s, F.lit(". "))), "")
         if text_lc is not None:
             present = None

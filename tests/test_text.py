@@ -79,3 +79,25 @@ def test_missing_sections_and_select_existing(spark):
     missing = sorted(r["section"] for r in missing_sections(df).collect())
     assert missing == ["ask", "business_model"]
     assert select_existing(df, ["word_count", "nope", "deck_name"]).columns == ["word_count", "deck_name"]
+
+
+def test_clean_text_is_worked_out_once(spark):
+    """The kept text is no second cleaning beside its length test."""
+    from pyspark.sql import functions as F
+
+    from deckscope.functions import text as T
+    rows = ["a b\n\tc" * 3, "0123456789", "01234567890", "  01234567\n89 ", "", None, "𝒳" * 10, "𝒳" * 11, "*" * 30, "0123456789\n*"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string").select("x", T.clean_text(F.col("x")).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.DROP_CLASS) == 1
+    assert [r.c for r in df.collect()] == ["a b ca b ca b c", "", "01234567890", "01234567 89", "", "", "", "𝒳" * 11, "", ""]
+
+
+def test_sections_by_substring(spark):
+    from pyspark.sql import functions as F
+
+    from deckscope.functions import text as T
+    terms = {"a": ["c++ (x", "é"], "b": [], "c": ["|", "z.z"]}
+    df = spark.createDataFrame([(["uses C++ (X here", "zaz", "É"],)], "s array<string>")
+    got = df.select(F.struct(*[c.alias(k) for k, c in T.section_texts(F.col("s"), terms).items()]).alias("r")).first().r
+    assert (got.a, got.b, got.c) == ("uses C++ (X here. É. ", "uses C++ (X here. zaz. É. ", "")
