@@ -281,6 +281,57 @@ def test_rows_come_from_the_wrapper(spark, monkeypatch):
     assert {r.text for r in got} == {""}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_are_read_by_the_expressions(spark, monkeypatch, limit):
+    """Empty expressions explain no text; where a paragraph may not come again, pages with more than one have no slots there."""
+    rows, want = divs(30)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    plain = getattr(html_wrapper, "aligned", html_wrapper.infer_wrappers)
+
+    def got(expression):
+        monkeypatch.setattr(html_wrapper, "aligned", lambda *a: plain(*a).withColumn("expression", expression), raising=False)
+        return {r.page_id: r.text for r in html_wrapper.extract(df, broadcast_bytes=limit).collect()}
+
+    assert got(F.col("expression")) == want
+    assert set(got(F.lit("")).values()) == {""}
+    texts = got(F.when(F.col("expression") == "h1 (p)+", "h1 p").otherwise(F.col("expression")))
+    once = [i for i, _, page in rows if page.count("<p>") == 1]
+    assert once and len(once) < 30
+    for i in want:
+        assert texts[i] == want[i] if i in once else not any(x in texts[i] for x in re.findall("<(?:h1|p)>([^<]*)", rows[i][2]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_expressions_are_matched_as_regular_expressions(seed):
+    """Against Python's own: written, read back and matched on streams of their own and on others."""
+    rng = random.Random(seed)
+    for _ in range(300):
+        node = html_wrapper.Node()
+        for _ in range(rng.randint(1, 4)):
+            node.align([rng.choice("abcd#") for _ in range(rng.randint(0, 5))])
+        items = html_wrapper.read_expression(html_wrapper.expression(node.items()))
+        assert items == node.items()
+        codes = dict(html_wrapper.rules(items))
+        for _ in range(30):
+            s = [rng.choice("abcd#e") for _ in range(rng.randint(0, 5))]
+            assert html_wrapper.explained([codes.get(x) for x in (*s, "")]) == bool(re.fullmatch(pattern(items), "".join(f"{x} " for x in s)))
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_labels_with_signs_of_expressions(spark, limit):
+    """Classes, ids and element names with brackets, marks, spaces and line ends, and pages whose parts stand in other orders."""
+    odd = ["<div class='w-[calc(1+2)] a?b'>{}</div>", "<p id='a (b)+ \n?'>{}</p>", "<x(y)?>{}</x(y)?>", "<p id='\\'>{}</p>"]
+    rng = random.Random(7)
+    rows, want = [], {}
+    for i in range(9):
+        parts = [(rng.choice(odd), f"text {i} {k}") for k in range(6)]
+        rows.append((i, "http://h/", f"<body><div>{''.join(x.format(t) for x, t in parts)}</div></body>"))
+        want[i] = " ".join(t for _, t in parts)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_wrapper.extract(df, broadcast_bytes=limit).collect()} == want
+    assert {html_wrapper.expression(html_wrapper.read_expression(r.expression)) == r.expression for r in html_wrapper.infer_wrappers(df).collect()} == {True}
+
+
 def test_long_template_texts_and_repeated_pages(spark):
     """A constant text of any length goes; copies of one page agree with themselves only."""
     long = "we use this very long sentence on each page of ours " * 4
